@@ -36,7 +36,7 @@ class LineRules:
 
 MARK = "[#*$%&|<>{}\\[\\]^~=]|!!|\\?\\?"
 OTHER = "[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]"
-SEPARATORS = "\\s[|>»›·•/]\\s.*\\s[|>»›·•/]\\s"
+SEPARATORS = "\\s[|>»›·•/]\\s[^\\n]*\\s[|>»›·•/]\\s"
 MENU = "(?i)^\\W*(home|menu|login|log in|sign in|sign up|search|next|previous|back|contact|contact us|about|about us|share|print|top|skip to (main )?content)\\W*$"
 NOTICE = "(?i)\\b(all rights reserved|accept (all )?cookies|we use cookies|cookie policy|privacy policy|terms of (use|service)|enable javascript|click here|read more|subscribe to our|sign up for our|powered by)\\b"
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import line_dedup
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .storage import columns
+from .url_filters import PATTERN_RULES, host_rule, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +24,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality").select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+#: The host rules of the URL query.
+HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [host_rule(v, r) for v, r in HOST_RULES] + list(PATTERN_RULES)
+    return url_filters(columns(table(spark, sf_dir, "pages"), "page_id", "url"), rules).drop("url")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), Fraction(85, 100), 4)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_url_filters": op3_url_filters, "op4_ngram_join": op4_ngram_join, "op5_line_dedup": op5_line_dedup}
 ORACLE_SQL: dict[str, str] = {}
