@@ -7,10 +7,16 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_scan import license_scan
 from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .oracle import LINE_DEDUP, quality_rules_sql, url_filters_sql
+from .packing import pack
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .storage import columns
+from .suffix_dedup import suffix_dedup
 from .url_filters import PATTERN_RULES, host_rule, url_filters
 
 
@@ -24,13 +30,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality").select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), 400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The host rules of the URL query.
 HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [host_rule(v, r) for v, r in HOST_RULES] + list(PATTERN_RULES)
-    return url_filters(columns(table(spark, sf_dir, "pages"), "page_id", "url"), rules).drop("url")
+    return url_filters(columns(table(spark, sf_dir, "pages"), "page_id", "url"), rules).drop("url", "matched")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +53,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_url_filters": op3_url_filters, "op4_ngram_join": op4_ngram_join, "op5_line_dedup": op5_line_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", *[F.col(f"license.{n}").alias(n) for n in names])
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    sha = F.sha2(F.encode(F.col("secrets.base"), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *[F.col(f"secrets.{n}").alias(n) for n in ("n_assign", "n_access", "n_hex")], sha, F.col("secrets.spans").alias("spans"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix_sources(columns(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op8_secret_scan, op9_mixing, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP}

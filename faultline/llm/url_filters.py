@@ -53,7 +53,7 @@ PATTERN_RULES = tuple(UrlRule(f"word:{w}", "block", f"(^|[^a-z0-9]){w}([^a-z0-9]
 
 def _after_scheme(url: Column) -> Column:
     at = F.locate("://", url)
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+    return F.when(at > 0, url.substr(at + 3, F.length(url)))
 
 
 def host_of(url: Column) -> Column:
