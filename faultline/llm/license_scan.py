@@ -32,8 +32,6 @@ NOTICES = {
     "licensed under cc by sa": ("cc-by-sa", 0.9),
     "licensed under cc0": ("cc0", 0.9),
     "public domain": ("public-domain", 0.5),
-    "licensed under the": ("notice", 0.4),
-    "released under the": ("notice", 0.4),
 }
 BASE_SCORE, TAG_SCORE, BROKEN_TAG_SCORE = 0.9, 1.0, 0.5
 TAG = "spdx license identifier"
@@ -129,15 +127,18 @@ def scan(text: str) -> tuple:
     words = words_of(text)
     line = " " + b" ".join(words).decode() + " "
     places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    longest: dict[int, tuple[int, str]] = {}  # of the notices that begin at a place
     for end, (size, kind, label, s) in automaton().iter(line):
         if kind == "tag":
             tagged = True
             continue
-        labels.add(label)
         score = max(score, s)
         if kind == "base":
             base.add(label)
             places.append(end - size + 1)
+        else:
+            longest[end - size] = max(longest.get(end - size, (0, "")), (size, label))
+    labels |= base | {label for _, label in longest.values()}
     expressions, binding = [], None
     for m in TAG_TEXT.finditer(text) if tagged else ():
         found = parse(m[1])

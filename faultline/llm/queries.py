@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from .embedding_dedup import embedding_dedup
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -21,6 +23,7 @@ from .url_filters import PATTERN_RULES, host_rule, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +62,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"license.{n}").alias(n) for n in names])
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
     sha = F.sha2(F.encode(F.col("secrets.base"), "UTF-8"), 256).alias("base_sha256")
@@ -74,5 +81,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op8_secret_scan, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op7_embedding_dedup, op8_secret_scan, op9_mixing, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP}
