@@ -100,7 +100,7 @@ def url_filters(pages: DataFrame, rules: list[UrlRule], key: str = "page_id", ur
     index = F.broadcast(index) if len(rarest) <= BROADCAST_RULES else index
     found = rows.withColumn("target", target).withColumn("lowered", lowered).withColumn("t", F.explode_outer(tokens)).join(index, "t", "left")
     # a listed rule's path keeps its case
-    hit = F.when(F.when(F.col("listed"), F.col("target")).otherwise(F.col("lowered")).rlike(F.col("pattern")), F.col("rank"))
+    hit = F.when(F.regexp_like(F.when(F.col("listed"), F.col("target")).otherwise(F.col("lowered")), F.col("pattern")), F.col("rank"))
     always = F.greatest(F.lit(-1), F.lit(-1), *[F.when((F.col("target") if r.listed else F.col("lowered")).rlike(r.pattern), rank).otherwise(-1) for rank, r in ranked if not r.literals])
     best = found.groupBy("k", "u", "p").agg(F.max("n").alias("n"), F.max(F.greatest(F.coalesce(hit, F.lit(-1)), always)).alias("rank"))
     names = _rows(spark, [(rank, r.name, r.verdict, r.listed) for rank, r in ranked], ("rank", "name", "v", "listed"), ("int", "string", "string", "boolean"))
