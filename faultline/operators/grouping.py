@@ -29,7 +29,7 @@ class TemplateTree:
 
     def _leaf(self, tokens: list[str], grow: bool) -> tuple:
         path: tuple = (len(tokens),)
-        for token in tokens[: DEPTH - 2]:
+        for token in tokens[: DEPTH - 3]:  # besides the root, the length and the leaf
             known = self.children.setdefault(path, set())
             if any(c.isdigit() for c in token):
                 token = WILDCARD
