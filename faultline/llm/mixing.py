@@ -21,7 +21,7 @@ from .expressions import words
 from .storage import Workspace
 
 #: Documents in a bucket, about; a source has one bucket for each so many.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 @dataclass(frozen=True)
