@@ -182,13 +182,15 @@ def _verified(p: int, q: int):
     return run
 
 
-def _crossing(p: int, q: int):
+def _crossing(p: int, q: int, forest: bool):
     """Of rows (key, i, j, block, a, component, n, sketch) in order of (key, i, j): pairs of different components in the blocks
-    i and j whose sizes and sketches allow a link."""
+    i and j whose sizes and sketches allow a link. For a forest, a pair counts as a link at once, so that further pairs of what
+    it joins are left out."""
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
         i, j, block, a, comp, n = (t.column(c).to_numpy() for c in ("i", "j", "block", "a", "component", "n"))
+        comp = comp.copy()
         bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), _U).reshape(len(a), -1)
         left = np.flatnonzero(block == i[0])
         right = np.flatnonzero(block == j[0])
@@ -198,7 +200,13 @@ def _crossing(p: int, q: int):
             r = r[(comp[r] != comp[x]) & (p * np.maximum(n[r], n[x]) <= q * np.minimum(n[r], n[x]))]
             if len(r):
                 # |A ^ B| <= (q - p) / (q + p) * (|A| + |B|)
-                r = r[np.bitwise_count(bits[r] ^ bits[x]).sum(1) * (q + p) <= (q - p) * (n[r] + n[x])]
+                apart = np.bitwise_count(bits[r] ^ bits[x]).sum(1)
+                near = apart.astype(np.int64) * (q + p) <= (q - p) * (n[r] + n[x])
+                r, apart = r[near], apart[near]
+                if len(r) and forest:
+                    r = r[np.argsort(apart, kind="stable")]
+                    r = r[np.unique(comp[r], return_index=True)[1]]  # the nearest of each component
+                    comp[np.isin(comp, comp[r])] = comp[x]
                 if len(r):
                     found.append(np.stack((np.minimum(a[r], a[x]), np.maximum(a[r], a[x])), 1))
         if found:
@@ -262,17 +270,21 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
 
     links = space.write(verified(stars), "links")
     linked = components(links, space)
-    # second round: pairs in a bucket that the first left in different components
-    members = shared.join(classes.select("h1", "n", "sketch", F.col("rep").alias("a")), "h1").join(linked.withColumnRenamed("id", "a"), "a", "left")
-    members = space.write(members.select("key", "a", "n", "sketch", F.coalesce("component", "a").alias("component")), "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    mixed = space.write(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "n", "sketch")
-    crossing = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(p, q), "a long, b long").distinct()
-    crossing = space.write(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
-    more = space.write(verified(crossing), "more")
-    linked = components(links.union(more), space)
+    # pairs in a bucket that are in different components still: first a forest of the nearest, which joins most that can be
+    # joined, then all that are left
+    tried = stars
+    for forest in (True, False):
+        members = shared.join(classes.select("h1", "n", "sketch", F.col("rep").alias("a")), "h1").join(linked.withColumnRenamed("id", "a"), "a", "left")
+        members = space.write(members.select("key", "a", "n", "sketch", F.coalesce("component", "a").alias("component")), "members")
+        mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+        mixed = space.write(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+        dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "n", "sketch")
+        crossing = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(p, q, forest), "a long, b long").distinct()
+        crossing = space.write(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
+        tried = tried.union(crossing)
+        links = links.union(space.write(verified(crossing), "more"))
+        linked = components(links, space)
     groups = space.write(classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "groups")
     found = prints.join(groups, ["n", "h1", "h2"], "left")
     shown = lambda c: F.when(c != -(2**63), c)
