@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 import re
 
-#: Words in a worker's cache; a full cache is emptied.
-CACHE_WORDS = 2_000_000
+#: Entries of a worker's two caches, about 200 bytes each; a full cache is emptied.
+CACHE_WORDS, CACHE_PIECES = 100_000, 250_000
 #: White space for str.split but not for the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _OWN = re.compile("[!-~\xa1-ɏ]+")
@@ -67,8 +67,9 @@ class WordTokens:
         return found
 
     def ids(self, text: str) -> bytes:
-        if len(self.words) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         if _ODD_SPACE.search(text):
             return self.whole(text)
