@@ -2,7 +2,8 @@
 
 A string of random characters falls into short tokens, so it has few characters a token under a public vocabulary, where words
 and identifiers have many. Candidates are long runs of the characters that keys are made of; digests of the usual lengths, UUIDs
-and identifiers made of words are left out before tokens are counted.
+and identifiers are left out before tokens are counted. An identifier is made of real words, which have many letters a token
+themselves; candidates without a digit, or of digits and separators only, are left out too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile("([0-9a-f]+|[0-9A-F]+)")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
-WORD = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}")
+LETTERS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+SWITCH = re.compile("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: A run of letters is a word from so many letters on, at so many letters a token.
+WORD_CHARS = 3
 
 
 @dataclass(frozen=True)
@@ -56,12 +60,22 @@ def encoding(path: str | None):
     return _LOADED[path]
 
 
-def known(candidate: str) -> bool:
-    """A digest of a usual length, a UUID, or an identifier of words and short numbers."""
-    if (DIGEST.fullmatch(candidate) and len(candidate) in DIGEST_CHARS) or UUID.fullmatch(candidate):
+def identifier(candidate: str, path: str | None = None) -> bool:
+    """Numbers with separators, or mostly real words: three quarters of the letters stand in words, which are a third of the
+    characters at least, with at most three switches between letters and digits. Capitals count as words only by their tokens."""
+    letters = sum(c.isalpha() for c in candidate)
+    if not letters:
         return True
-    left = WORD.sub("", candidate)
-    return len(re.sub("[+/_=-]", "", left)) * 10 <= len(candidate)
+    if len(SWITCH.findall(candidate)) > 3:
+        return False
+    runs = [r for r in LETTERS.findall(candidate) if len(r) >= WORD_CHARS]
+    words = sum(len(r) for r in runs if len(r) >= WORD_CHARS * len(encoding(path).encode_ordinary(" " + r.lower())))
+    return words * 4 >= letters * 3 and words * 3 >= len(candidate)
+
+
+def known(candidate: str, path: str | None = None) -> bool:
+    """A digest of a usual length, a UUID, or an identifier of words and numbers."""
+    return bool((DIGEST.fullmatch(candidate) and len(candidate) in DIGEST_CHARS) or UUID.fullmatch(candidate)) or identifier(candidate, path)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,7 +94,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], test: TokenEffici
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or s.isdigit() or known(s):
+        if not any(c.isdigit() for c in s) or s.isdigit() or known(s, test.path):
             continue
         if any(a < m.end() and m.start() < z for a, _, z in taken):
             continue

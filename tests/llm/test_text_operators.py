@@ -197,6 +197,21 @@ def test_secret_scan(docs, rows, empty, written):
     assert secret_scan(empty).count() == 0
 
 
+def test_random_keys_of_any_alphabet_are_found():
+    from faultline.llm.secret_scan import TokenEfficiency, random_spans
+
+    rng, digits, low = random.Random(4), "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    up = low.upper()
+    for alphabet in (up + digits[2:8], up + digits, low + digits, low + digits[2:8], up + low + digits, up + low + digits + "+/", up + low + digits + "-_", digits + "ABCDEF"):
+        for length in (20, 24, 30, 48, 63):
+            keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
+            keys = [k for k in keys if any(c.isdigit() for c in k)]
+            found = sum(random_spans(k, [], TokenEfficiency()) == [(0, 3, length)] for k in keys)
+            assert found >= 0.97 * len(keys), (alphabet, length, found)
+    for name in ("MY_LONG_IDENTIFIER_WITH_WORDS_2024", "HTTP_STATUS_CODE_404_NOT_FOUND", "org/apache/log4j2/core/Logger", "2024-01-15-12-30-45-00", "AWS_S3_BUCKET_NAME_PROD_01"):
+        assert not random_spans(name, [], TokenEfficiency()), name
+
+
 def test_mixing(docs, rows, empty):
     from faultline.llm.mixing import mix_sources, mixed
 
