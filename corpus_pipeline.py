@@ -38,11 +38,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates (five words, 0.8)."""
+    """Keeps one row of each group of near duplicates (five words, 0.8): that of the least id, a null one being the least.
+
+    Every row is a document of its own here, whatever its id: repeated rows are near duplicates, and rows of a null id needn't be.
+    A text without words is like no other and stays, each row of it.
+    """
     ship(spark)
-    groups = ngram_join(docs, Fraction(4, 5), 5).where("component_id = doc_id").select("doc_id").distinct()
-    first = docs.join(groups, "doc_id", "left_semi")
-    return _as_documents(first, docs)
+    row = "row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    # written, so that all later reads see the same numbers
+    numbered = Workspace(spark, "pipeline-rows").write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join(numbered, Fraction(4, 5), 5, key=row).select(row, "component_id")
+    ids = numbered.select(row, F.col("doc_id").alias("id"))
+    # structs compare a null as the least
+    kept = ids.join(groups, row).groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return _as_documents(numbered.join(kept, row, "left_semi"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

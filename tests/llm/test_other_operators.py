@@ -129,3 +129,24 @@ def test_pipeline(spark, tmp_path):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)
     again = corpus_pipeline.run(spark, path)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in again.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect())
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, written):
+    import corpus_pipeline
+
+    from tests.llm.corpus import prose
+
+    rng = random.Random(5)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    rows = [(5, a), (5, a), (7, a + " more"), (None, b), (8, b), (None, b + " more"), (None, c), (9, d), (9, d), (9, e), (4, a + " end"), (None, e)]
+    docs = written([(i, t, "en", "s", len(t), f"r{k}") for k, (i, t) in enumerate(rows)], schema)
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(rows[int(r.row[1:])] == (r.doc_id, r.text) for r in got)
+    group = lambda t: next(k for k, x in enumerate((a, b, c, d, e)) if t.startswith(x))
+    # one row a group, of its least id, a null one first
+    assert sorted((group(r.text), -1 if r.doc_id is None else r.doc_id) for r in got) == [(0, 4), (1, -1), (2, -1), (3, 9), (4, -1)]
+    assert stage(spark, written([], schema, 1), "").count() == 0
