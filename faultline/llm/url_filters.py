@@ -38,7 +38,7 @@ def host_rule(verdict: str, rule: str) -> UrlRule:
     """A rule ``host/path``: it fits the host and its subdomains if the URL's path starts with the rule's. Longer ones win."""
     host, slash, rest = rule.partition("/")
     whole = re.findall("[a-z0-9]+", host) + re.findall("[a-z0-9]+(?=[^a-z0-9])", rest if slash else "")
-    return UrlRule(rule, verdict, f"^([^/]*\\.)?{re.escape(host)}{re.escape(slash + rest)}", tuple(dict.fromkeys(whole)), 1_000_000 + len(rule), True)
+    return UrlRule(rule, verdict, f"^([^/?#]*\\.)?{re.escape(host)}{re.escape(slash + rest)}", tuple(dict.fromkeys(whole)), 1_000_000 + len(rule), True)
 
 
 #: Words of hosts and paths that the method blocks by itself.

@@ -41,6 +41,15 @@ def test_url_filters(written):
     assert [r.verdict for r in url_filters(written([(1, "http://a.b/12"), (2, "http://a.b/123")], "page_id long, url string"), any_rule).orderBy("page_id").collect()] == ["allow", "block"]
 
 
+def test_host_rules_leave_queries_and_fragments_alone(written):
+    from faultline.llm.queries import HOST_RULES
+    from faultline.llm.url_filters import host_rule, url_filters
+
+    urls = ["http://blog.org?ref=www.example.com/en/a", "http://blog.org?u=x.example.com/en/", "http://blog.org#x.example.com/en/", "http://blog.org?a.com/", "http://blog.org#a.net/es/", "http://blog.org?a.net/fr/", "http://x.example.com/en/?a.net/fr/"]
+    out = url_filters(written(list(enumerate(urls)), "page_id long, url string"), [host_rule(v, r) for v, r in HOST_RULES]).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in out} == {**{i: (None, "allow") for i in range(6)}, 6: ("example.com/en/", "block")}
+
+
 def test_lattice_points_are_nearest():
     from faultline.llm.embedding_dedup import ROOTS, nearest
 
