@@ -45,12 +45,12 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     """If a line fails a rule. Lines without a word pass: they hold no text to lose."""
 
     def fails(n: Column) -> Column:
-        punctuation = (F.regexp_count(line, F.lit(MARK)) * 100 > n * rules.marks_percent) | (F.regexp_count(line, F.lit(OTHER)) * 100 > n * rules.other_percent)
+        punctuation = (F.regexp_count(line, F.lit(MARK)).cast("long") * 100 > n * rules.marks_percent) | (F.regexp_count(line, F.lit(OTHER)).cast("long") * 100 > n * rules.other_percent)
         navigation = line.rlike(SEPARATORS) | ((n <= 60) & line.rlike(MENU))
         boilerplate = (n <= rules.notice_chars) & line.rlike(NOTICE)
         return punctuation | navigation | boilerplate
 
-    return let(F.length(line), fails) & line.rlike("[^ \\t-\\r]")
+    return let(F.length(line).cast("long"), fails) & line.rlike("[^ \\t-\\r]")
 
 
 def repeated_words(word_list: Column) -> Column:
@@ -91,7 +91,7 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "
             n_words.alias("n_words"), solid.cast("long").alias("word_chars"), F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), b.n.alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept_lines)).cast("long").alias("n_failed_lines"),
-            b.failed.alias("base_failed"), (~b.failed & (F.length(F.array_join(kept_lines, "\n")) * 100 >= F.length(t) * rules.least_kept_percent)).alias("kept"), F.array_join(kept_lines, "\n").alias("clean_text"),
+            b.failed.alias("base_failed"), (~b.failed & (F.length(F.array_join(kept_lines, "\n")).cast("long") * 100 >= F.length(t).cast("long") * rules.least_kept_percent)).alias("kept"), F.array_join(kept_lines, "\n").alias("clean_text"),
         ))
 
     result = let(whole, lambda t: let(words(t), lambda w: let(F.split(t, "\n"), lambda lines: let(F.filter(lines, lambda x: ~line_fails(x, rules)), lambda kept: judged(t, w, lines, kept)))))

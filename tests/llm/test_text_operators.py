@@ -197,6 +197,15 @@ def test_secret_scan(docs, rows, empty, written):
     assert secret_scan(empty).count() == 0
 
 
+def test_quality_rules_of_a_very_long_text(written):
+    """100 times its length is beyond 32 bits."""
+    from faultline.llm.quality_rules import quality_rules
+
+    text = " ".join(chr(97 + i % 26) * (400_000 + i) for i in range(60))
+    q = quality_rules(written([(1, text)], "doc_id long, text string", 1)).select("quality.kept", "quality.n_words", "quality.word_chars").collect()
+    assert [tuple(r) for r in q] == [(True, 60, len(text) - 59)]
+
+
 def test_random_keys_of_any_alphabet_are_found():
     from faultline.llm.secret_scan import TokenEfficiency, random_spans
 
