@@ -34,8 +34,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), 400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = suffix_dedup(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), 400, 50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", (F.col("n_passage_words") > 0).alias("has_repeated_passage"))
 
 
 #: The host rules of the URL query.

@@ -32,10 +32,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
 
     def write(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
         """Writes ``df`` and reads it again with the schema it had."""
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        self.paths.setdefault(name, []).append(path)
         schema = df.schema
         df.write.parquet(path)
         del df
@@ -43,12 +45,27 @@ class Workspace:
             free_shuffles(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
+    def remove(self, *names: str) -> None:
+        """Deletes the tables written under these names; what was made of them must have been written itself."""
+        context = self.spark.sparkContext
+        for path in (p for n in names for p in self.paths.pop(n, [])):
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Seconds between two collections of the driver's garbage at least.
+PAUSE = 3.0
+_last = {"at": 0.0}
+
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished queries: it acts when the driver's JVM collects garbage."""
+    """Lets Spark's cleaner drop the shuffle files of finished queries: it acts when the driver's JVM collects garbage. Steps that
+    follow each other fast are left to the next call."""
+    if time.monotonic() - _last["at"] < PAUSE:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
+    _last["at"] = time.monotonic()
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -8,6 +8,9 @@ position of each window of as many: the window's least local hash, which equal w
 substring is bound to the choice of its own window, so no repeat is missed. Chosen positions whose half is repeated are ranked
 over the whole span of the positions bound to them; where that is repeated too, all of them are, and only the borders of repeats
 are ranked position by position at the full length.
+
+The same is done, in the same sorts, over the sequence of words: a passage of so many words that stands elsewhere is reported
+even where its bytes are fewer than the threshold of removal.
 """
 
 from __future__ import annotations
@@ -20,21 +23,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shingles import BYTES, chunks, mix, powers, texts
+from .shingles import BYTES, chunks, mix, powers, texts, word_hashes
 from .storage import Workspace
 
 _U = np.uint64
-#: Bytes that the local hash of a position covers.
-LOCAL = 16
+#: Symbols that the local hash of a position covers, for bytes and for words.
+LOCAL = (16, 4)
+#: The kinds of symbols; a row's number is even for its bytes and odd for its words.
+OF_BYTES, OF_WORDS = 0, 1
+
+
+def symbols(kind: int, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of some texts' symbols, side by side, and where each text begins and the last ends."""
+    if kind == OF_BYTES:
+        return BYTES[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+    values, cuts = word_hashes(offsets, data)
+    return values + _U(0x9E3779B97F4A7C15), cuts
 
 
 class Ranks:
-    """Fingerprints of the substrings of some texts."""
+    """Fingerprints of the substrings of some texts' symbols."""
 
-    def __init__(self, b: np.ndarray):
-        self.up, self.down = powers(len(b) + 1)
-        self.total = np.zeros(len(b) + 1, _U)
-        np.cumsum(BYTES[b] * self.up[: len(b)], out=self.total[1:])
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = powers(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, _U)
+        np.cumsum(values * self.up[: len(values)], out=self.total[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(_U))
@@ -49,21 +62,21 @@ def least_of(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - span)], v[width - span :]) if span < width else v
 
 
-def chosen(b: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chosen position, first, last position bound to it) for texts that lie in ``b`` between ``cuts``.
+def chosen(values: np.ndarray, cuts: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chosen position, first, last position bound to it) for texts that lie in ``values`` between ``cuts``.
 
-    Position p, where ``length`` bytes of its text begin, is bound to the position of the least local hash (the first of equals)
-    among p, ..., p + length // 2.
+    Position p, where ``length`` symbols of its text begin, is bound to the position of the least local hash (the first of
+    equals; it covers ``reach`` symbols) among p, ..., p + length // 2.
     """
     width = length - length // 2 + 1
     none = np.zeros(0, np.int64)
-    if len(b) < length:
+    if len(values) < length:
         return none, none, none
-    local, span = BYTES[b], 1
-    while span < LOCAL:  # ranks of pairs at growing offsets
+    local, span = values, 1
+    while span < reach:  # ranks of pairs at growing offsets
         local = mix(local[:-span] * _U(0x9E3779B97F4A7C15) + local[span:])
         span *= 2
-    bits = max(len(b) - 1, 1).bit_length()
+    bits = max(len(values) - 1, 1).bit_length()
     least = least_of((local >> _U(bits) << _U(bits)) | np.arange(len(local), dtype=_U), width)
     at = (least & _U((1 << bits) - 1)).astype(np.int64)
     lengths = np.diff(cuts)
@@ -76,59 +89,63 @@ def chosen(b: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray, np
     return a[new], p[new], p[np.append(new[1:], len(p)) - 1]
 
 
-def _chosen_rows(batch: pa.RecordBatch, length: int):
-    """(text numbers, chosen position, first, last within the text, rank of the half, rank of the span)."""
-    offsets, data = texts(batch.column(1))
+def _chosen_rows(column, lengths: tuple[int, int]):
+    """(kind, text numbers, chosen position, first, last within the text, rank of the half, rank of the span)."""
+    offsets, data = texts(column)
     for i, j in chunks(offsets):
-        b = data[offsets[i] : offsets[j]]
-        cuts = offsets[i : j + 1] - offsets[i]
-        a, lo, hi = chosen(b, cuts, length)
-        if len(a):
-            ranks = Ranks(b)
-            half = ranks(a, a + length // 2)
-            # positions bound to different places of equal spans must not meet
-            whole = mix(ranks(lo, hi + length) + (a - lo).astype(_U) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(_U))
-            doc = np.searchsorted(cuts, a, "right") - 1
-            base = cuts[doc]
-            yield doc + i, a - base, lo - base, hi - base, half, whole
-
-
-def _halves(length: int):
+        for kind, length in enumerate(lengths):
+            if not length:
+                continue
+            values, cuts = symbols(kind, offsets[i : j + 1], data)
+            a, lo, hi = chosen(values, cuts, length, LOCAL[kind])
+            if len(a):
+                ranks = Ranks(values)
+                half = ranks(a, a + length // 2)
+                # positions bound to different places of equal spans must not meet
+                whole = mix(ranks(lo, hi + length) + (a - lo).astype(_U) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(_U))
+                doc = np.searchsorted(cuts, a, "right") - 1
+                base = cuts[doc]
+                yield kind, doc + i, a - base, lo - base, hi - base, half, whole
+
+
+def _halves(lengths: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (found := [x[4] for x in _chosen_rows(batch, length)]):
+            if batch.num_rows and (found := [x[5] for x in _chosen_rows(batch.column(1), lengths)]):
                 rank, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(n)], ["half", "n"])
 
     return run
 
 
-def _spans(length: int):
+def _spans(lengths: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column(0).to_numpy()
-                for doc, a, lo, hi, half, whole in _chosen_rows(batch, length):
-                    yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rows[doc]), pa.array(lo), pa.array((hi - lo).astype(np.int32))], ["half", "whole", "row", "lo", "more"])
+                for kind, doc, _, lo, hi, half, whole in _chosen_rows(batch.column(1), lengths):
+                    yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rows[doc] + kind), pa.array(lo), pa.array((hi - lo).astype(np.int32))], ["half", "whole", "row", "lo", "more"])
 
     return run
 
 
-def _positions(length: int):
-    """Of rows (row, text, spans as lo, more): (rank, row, p) at the full length."""
+def _positions(lengths: tuple[int, int]):
+    """Of rows (row, text, spans as kind, lo, more): (rank, row, p) at the full length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = texts(batch.column(1))
             for k, (row, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                ranks = Ranks(data[offsets[k] : offsets[k + 1]])
-                lo, more = spans.values.field("lo").to_numpy(), spans.values.field("more").to_numpy().astype(np.int64)
-                n = more + 1
-                p = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                r = ranks(p, p + length).view(np.int64)
-                for i in range(0, len(p), 1 << 17):
-                    z = min(i + (1 << 17), len(p))
-                    yield pa.RecordBatch.from_arrays([pa.array(r[i:z]), pa.array(np.full(z - i, row)), pa.array(p[i:z])], ["rank", "row", "p"])
+                of = spans.values.field("kind").to_numpy()
+                for kind in np.unique(of).tolist():
+                    ranks = Ranks(symbols(kind, offsets[k : k + 2], data)[0])
+                    lo = spans.values.field("lo").to_numpy()[of == kind]
+                    n = spans.values.field("more").to_numpy()[of == kind].astype(np.int64) + 1
+                    p = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    r = ranks(p, p + lengths[kind]).view(np.int64)
+                    for i in range(0, len(p), 1 << 17):
+                        z = min(i + (1 << 17), len(p))
+                        yield pa.RecordBatch.from_arrays([pa.array(r[i:z]), pa.array(np.full(z - i, row + kind)), pa.array(p[i:z])], ["rank", "row", "p"])
 
     return run
 
@@ -153,8 +170,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(batch.num_rows - 1, 1)
 
 
+def _covered(lo: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+    """Which of n symbols lie in the spans."""
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(z, minlength=n + 1))[:n] > 0
+
+
 def _kept(name: str):
-    """Of rows (key, text, spans as lo, z): (key, n_bytes, n_removed, n_spans, kept)."""
+    """Of rows (key, text, spans as kind, lo, z): (key, n_bytes, n_removed, n_spans, kept, n_passage_words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,46 +185,58 @@ def _kept(name: str):
             for k, spans in enumerate(batch.column(2)):
                 b = data[offsets[k] : offsets[k + 1]]
                 if not spans.is_valid or not len(spans.values):
-                    rows.append((len(b), 0, 0, b.tobytes()))
+                    rows.append((len(b), 0, 0, b.tobytes(), 0))
                     continue
-                lo, z = spans.values.field("lo").to_numpy(), spans.values.field("z").to_numpy()
-                gone = np.cumsum(np.bincount(lo, minlength=len(b) + 1) - np.bincount(z, minlength=len(b) + 1))[: len(b)] > 0
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(b), int(gone.sum()), runs, b[~gone].tobytes()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], [name, "n_bytes", "n_removed", "n_spans", "kept"])
+                kind, lo, z = (spans.values.field(c).to_numpy() for c in ("kind", "lo", "z"))
+                words = kind == OF_WORDS
+                in_passages = int(_covered(lo[words], z[words], int(z[words].max())).sum()) if words.any() else 0
+                gone = _covered(lo[~words], z[~words], len(b))
+                runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                rows.append((len(b), int(gone.sum()), runs, b[~gone].tobytes(), in_passages))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], [name, "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) for each row of ``docs``; ``kept`` is the bytes left, joined.
+def suffix_dedup(docs: DataFrame, length: int = 400, passage_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, n_passage_words) for each row of ``docs``; ``kept`` is the bytes left, joined.
 
     A byte goes if a string of ``length`` bytes that covers it also begins anywhere else, in this text or another, overlapping
     or not; all is judged on the texts as given. Texts are their UTF-8 bytes (null: none) and strings never cross texts.
-    ``length`` is 32 at least. Repeated rows are texts of their own, so a repeated row of ``length`` bytes or more loses all.
-    Null keys are kept; an empty table gives an empty table; other columns are left out. ``docs`` has to give the same rows in
-    the same order whenever it is read, as a written table does. Equality is that of 64-bit fingerprints.
+    n_passage_words counts the words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) that stand in ``passage_words`` words in a row which
+    also begin anywhere else; they are reported, not removed (0 for ``passage_words`` leaves them out: 0 words are reported).
+    ``length`` is 32 at least, ``passage_words`` 8 or 0. Repeated rows are texts of their own, so a repeated row of ``length``
+    bytes or more loses all. Null keys are kept; an empty table gives an empty table; other columns are left out. A row is known
+    by a 63-bit hash of its key and text, whatever the order or the file splits it is read in; rows of equal key and text have
+    equal results. Equality of strings is that of 64-bit fingerprints.
     """
-    if length < 2 * LOCAL:
-        raise ValueError(f"length must be {2 * LOCAL} at least")
-    space = Workspace(docs.sparkSession, "suffix-dedup")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{key}`").alias("key"))
-    rows = numbered.select("row", "text")
-    halves = rows.mapInArrow(_halves(length), "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1").select("half")
+    if length < 2 * LOCAL[OF_BYTES] or passage_words and passage_words < 2 * LOCAL[OF_WORDS]:
+        raise ValueError(f"length must be {2 * LOCAL[OF_BYTES]} at least, passage_words {2 * LOCAL[OF_WORDS]} or 0")
+    space, lengths = Workspace(docs.sparkSession, "suffix-dedup"), (length, passage_words)
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    named = named.select(F.xxhash64("key", "text").bitwiseAND(-2).alias("row"), "text", "key")
+    rows = named.select("row", "text")
+    halves = rows.mapInArrow(_halves(lengths), "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1").select("half")
     halves = space.write(halves, "halves")
-    spans = rows.mapInArrow(_spans(length), "half long, whole long, row long, lo long, more int").join(halves, "half")
+    spans = rows.mapInArrow(_spans(lengths), "half long, whole long, row long, lo long, more int").join(halves, "half")
     spans = space.write(spans.select("half", "whole", "row", "lo", "more"), "spans")
+    space.remove("halves")
     wholes = spans.groupBy("half", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "more")).alias("first"))
     wholes = space.write(wholes, "wholes")
-    settled = space.write(spans.join(wholes.where("n > 1").select("half", "whole"), ["half", "whole"]).select("row", "lo", (F.col("lo") + F.col("more") + length).alias("z")), "settled")
+    size = F.when(F.col("row").bitwiseAND(1) == OF_WORDS, passage_words).otherwise(length)
+    settled = space.write(spans.join(wholes.where("n > 1").select("half", "whole"), ["half", "whole"]).select("row", "lo", (F.col("lo") + F.col("more") + size).alias("z")), "settled")
+    space.remove("spans")
     # borders: spans of their own kind, and one of each repeated kind they may share single positions with
     open_halves = space.write(wholes.groupBy("half").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("half"), "open")
-    asked = wholes.join(open_halves, "half").select("first.row", "first.lo", "first.more").groupBy("row").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
-    asked = space.write(asked, "asked")
-    positions = rows.join(asked, "row").select("row", "text", "spans").mapInArrow(_positions(length), "rank long, row long, p long")
+    base, kind = F.col("row").bitwiseAND(-2).alias("row"), F.col("row").bitwiseAND(1).cast("int").alias("kind")
+    asked = wholes.join(open_halves, "half").select("first.row", "first.lo", "first.more").select(base, F.struct(kind, "lo", "more").alias("span"))
+    asked = space.write(asked.groupBy("row").agg(F.collect_list("span").alias("spans")), "asked")
+    space.remove("wholes", "open")
+    positions = rows.join(asked, "row").select("row", "text", "spans").mapInArrow(_positions(lengths), "rank long, row long, p long")
     positions = space.write(positions.repartition("rank").sortWithinPartitions("rank").mapInArrow(_repeated, "row long, p long"), "positions")
-    gone = settled.union(positions.select("row", F.col("p").alias("lo"), (F.col("p") + length).alias("z"))).groupBy("row").agg(F.collect_list(F.struct("lo", "z")).alias("spans"))
-    gone = space.write(gone, "gone")
-    schema = T.StructType([T.StructField(key, numbered.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return numbered.join(gone, "row", "left").select("key", "text", "spans").mapInArrow(_kept(key), schema)
+    gone = settled.union(positions.select("row", F.col("p").alias("lo"), (F.col("p") + size).alias("z"))).select(base, F.struct(kind, "lo", "z").alias("span"))
+    gone = space.write(gone.groupBy("row").agg(F.collect_list("span").alias("spans")), "gone")
+    space.remove("settled", "asked", "positions")
+    schema = T.StructType([T.StructField(key, named.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("n_passage_words", T.LongType())])
+    return named.join(gone, "row", "left").select("key", "text", "spans").mapInArrow(_kept(key), schema)

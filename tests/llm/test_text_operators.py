@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.corpus import SCHEMA, documents, prose
@@ -81,24 +82,87 @@ def test_line_dedup(docs, rows, empty):
     assert {i: v[0] for i, v in three.items()} == want
 
 
+def repeats(sequences, length):
+    """For each key, which symbols stand in ``length`` symbols in a row that begin anywhere else too."""
+    seen = Counter(s[p : p + length] for s in sequences.values() for p in range(len(s) - length + 1))
+    gone = {}
+    for i, s in sequences.items():
+        g = np.zeros(len(s), bool)
+        for p in range(len(s) - length + 1):
+            if seen[s[p : p + length]] > 1:
+                g[p : p + length] = True
+        gone[i] = g
+    return gone
+
+
+def expected_suffix_dedup(texts, length, passage):
+    out = {}
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    words = repeats({i: tuple(WORD.findall((t or "").translate(LOWER))) for i, t in texts.items()}, passage)
+    for i, gone in repeats(data, length).items():
+        b = data[i]
+        runs = sum(bool(gone[k]) and (k == 0 or not gone[k - 1]) for k in range(len(b)))
+        out[i] = (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone]), int(words[i].sum()))
+    return out
+
+
 def test_suffix_dedup(docs, rows, empty):
     from faultline.llm.suffix_dedup import suffix_dedup
 
-    for length in (32, 100, 401):
-        texts = {i: (t or "").encode() for i, t, *_ in rows}
-        seen = Counter(b[p : p + length] for b in texts.values() for p in range(len(b) - length + 1))
-        got = collected(suffix_dedup(docs, length), "n_bytes", "n_removed", "n_spans", "kept")
-        for i, b in texts.items():
-            gone = np.zeros(len(b) + 1, bool)
-            for p in range(len(b) - length + 1):
-                if seen[b[p : p + length]] > 1:
-                    gone[p : p + length] = True
-            gone = gone[: len(b)]
-            runs = sum(bool(gone[k]) and (k == 0 or not gone[k - 1]) for k in range(len(b)))
-            assert got[i] == (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone])), (length, i)
+    for length, passage in ((32, 8), (100, 50), (401, 33)):
+        got = collected(suffix_dedup(docs, length, passage), "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")
+        want = expected_suffix_dedup({i: t for i, t, *_ in rows}, length, passage)
+        for i in want:
+            assert got[i] == want[i], (length, i)
     assert suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_odd_rows(written):
+    """Null keys, repeated rows, and texts above the chunk of 1 MiB that share a passage across its border."""
+    from faultline.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(8)
+    passage = prose(rng, 100)
+    long_text = f"{prose(rng, 230_000)} {passage} {prose(rng, 30_000)}"
+    rows = [(1, long_text), (None, f"{prose(rng, 40)} {passage}"), (None, None), (2, prose(rng, 120)), (3, prose(rng, 90)), (4, "y" * 3000)]
+    rows.append(rows[3])
+    got = [(r.doc_id, r.n_removed, r.n_passage_words) for r in suffix_dedup(written(rows, "doc_id long, text string")).collect()]
+    whole = len(rows[3][1])
+    want = [(1, len(passage) + 2, 100), (None, len(passage) + 1, 100), (None, 0, 0), (2, whole, 120), (2, whole, 120), (3, 0, 0), (4, 3000, 0)]
+    order = lambda x: tuple(-1 if v is None else v for v in x)
+    found = sorted(got, key=order)
+    assert [x[0] for x in found] == [x[0] for x in sorted(want, key=order)]
+    for x, y in zip(found, sorted(want, key=order), strict=True):
+        assert abs(x[1] - y[1]) <= (2 if y[2] == 100 else 0) and x[2] == y[2], (x, y)
+
+
+def test_results_do_not_depend_on_file_splits(spark, written, rows):
+    """Splits that change between the steps of an operator, as they do when executors join late."""
+    from faultline.llm import storage
+    from faultline.llm.mixing import mix_sources, mixed
+    from faultline.llm.suffix_dedup import suffix_dedup
+
+    table = written([(i, t, s) for i, t, s, *_ in rows], "doc_id long, text string, source string", 3)
+    plain = {f.__name__: sorted((tuple(r) for r in f(table).collect()), key=repr) for f in (suffix_dedup, mixed)}
+    counts = {r.doc_id: r.copies for r in mix_sources(table).collect()}
+    sizes, write = ["20k", "1m", "64k", "200k"], storage.Workspace.write
+
+    def changing(self, *args, **more):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[len(self.paths) % 4])
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        return write(self, *args, **more)
+
+    storage.Workspace.write = changing
+    try:
+        for f in (suffix_dedup, mixed):
+            assert sorted((tuple(r) for r in f(table).collect()), key=repr) == plain[f.__name__]
+        assert {r.doc_id: r.copies for r in mix_sources(table).collect()} == counts
+    finally:
+        storage.Workspace.write = write
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize(("percent", "width"), [(85, 4), (80, 5), (50, 2)])
 def test_ngram_join(docs, rows, empty, percent, width):
     from fractions import Fraction
@@ -298,8 +362,7 @@ def test_packing_tree(spark, written, monkeypatch):
             assert offset == at
             at += n
         assert at <= 48
-    if len(used) > 1.03 * sum(r.length for r in out) / 48 + 1:
-        pytest.xfail(f"nodes of 50 items use up the small pieces early: {len(used)} sequences, where one node needs 269")
+    assert len(used) <= 1.03 * sum(r.length for r in out) / 48 + 1, len(used)
 
 
 def test_word_cache_matches_the_tokenizer():
@@ -309,6 +372,8 @@ def test_word_cache_matches_the_tokenizer():
     rng = random.Random(5)
     pool = list("aZé'sßİıſΣσς\u0301\u0308\u0344 \x85\u3000\x1c<|>ǅK½²٣—–…。中文ñÑçœǆ 'tLL'd1290_&\x00\x7f\xad")
     for text in ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(1500)] + ["<|endoftext|> a", "x<|startoftext|>y", "DON'T I'LL we've"]:
-        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert next(tokens.of_texts(pa.array([text]))).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    many = [prose(rng, 40) for _ in range(50)] + [None, "", "x" * 3000, "<|ENDOFTEXT|> DON'T <|endoftext|>"]
+    assert [x.tolist() for x in tokens.of_texts(pa.array(many))] == [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in many]
 
 
