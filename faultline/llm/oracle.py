@@ -17,7 +17,7 @@ def quality_rules_sql(rules: LineRules = LineRules()) -> str:
     count = lambda p: f"len(regexp_extract_all(line, {_quoted(p)}))"
     fails = (
         f"regexp_matches(line, '[^\\x20\\x09-\\x0D]') AND ({count(MARK)} * 100 > length(line) * {rules.marks_percent} OR {count(OTHER)} * 100 > length(line) * {rules.other_percent}"
-        f" OR regexp_matches(line, {_quoted(SEPARATORS)}) OR (length(line) <= 60 AND regexp_matches(line, {_quoted(MENU)})) OR (length(line) <= {rules.notice_chars} AND regexp_matches(line, {_quoted(NOTICE)})))"
+        f" OR regexp_matches(line, {_quoted(SEPARATORS)}) OR (length(line) <= {rules.menu_chars} AND regexp_matches(line, {_quoted(MENU)})) OR (length(line) <= {rules.notice_chars} AND regexp_matches(line, {_quoted(NOTICE)})))"
     )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

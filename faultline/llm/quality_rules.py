@@ -21,7 +21,8 @@ class LineRules:
 
     punctuation: a line fails with more than ``marks_percent`` marks (a symbol, or two ! or ? side by side) to 100 characters, or
     with digits and ASCII punctuation for over ``other_percent`` of its characters.
-    navigation: a line fails with two free-standing separators or more, or if it is one of the usual menu entries.
+    navigation: a line fails with two free-standing separators or more, or if it is one of the usual menu entries and has at
+    most ``menu_chars`` characters.
     boilerplate: a line of at most ``notice_chars`` characters fails if it holds one of the usual notices.
     A document is rejected if less than ``least_kept_percent`` of its characters stand in lines that pass.
     """
@@ -29,6 +30,7 @@ class LineRules:
     marks_percent: int = 4
     other_percent: int = 50
     notice_chars: int = 200
+    menu_chars: int = 60
     least_kept_percent: int = 50
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -37,8 +39,21 @@ class LineRules:
 MARK = "[#*$%&|<>{}\\[\\]^~=]|!!|\\?\\?"
 OTHER = "[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]"
 SEPARATORS = "\\s[|>»›·•/]\\s[^\\n]*\\s[|>»›·•/]\\s"
-MENU = "(?i)^\\W*(home|menu|login|log in|sign in|sign up|search|next|previous|back|contact|contact us|about|about us|share|print|top|skip to (main )?content)\\W*$"
-NOTICE = "(?i)\\b(all rights reserved|accept (all )?cookies|we use cookies|cookie policy|privacy policy|terms of (use|service)|enable javascript|click here|read more|subscribe to our|sign up for our|powered by)\\b"
+# Menu entries and notices of web pages in English, German, French and Spanish.
+MENU_ENTRIES = (
+    "home|menu|login|log in|sign in|sign up|search|next|previous|back|contact|contact us|about|about us|share|print|top|skip to (main )?content|"
+    "startseite|men([üÜ]|ue)|anmelden|abmelden|registrieren|suche|suchen|weiter|zur([üÜ]|ue)ck|kontakt|([üÜ]|ue)ber uns|teilen|drucken|nach oben|zum inhalt( springen)?|"
+    "accueil|connexion|se connecter|s'inscrire|rechercher|recherche|suivant|pr([éÉ]|e)c([éÉ]|e)dent|retour|nous contacter|([àÀ]|a) propos|partager|imprimer|haut de page|aller au contenu|"
+    "inicio|men([úÚ]|u)|iniciar sesi([óÓ]|o)n|registrarse|buscar|siguiente|anterior|volver|contacto|acerca de|sobre nosotros|compartir|imprimir|ir al contenido"
+)
+NOTICES = (
+    "all rights reserved|accept (all )?cookies|we use cookies|cookie policy|privacy policy|terms of (use|service)|enable javascript|click here|read more|subscribe to our|sign up for our|powered by|"
+    "alle rechte vorbehalten|cookies akzeptieren|wir verwenden cookies|datenschutzerkl(ä|ae)rung|nutzungsbedingungen|javascript aktivieren|hier klicken|mehr lesen|newsletter abonnieren|"
+    "tous droits r([éÉ]|e)serv([éÉ]|e)s|accepter les cookies|nous utilisons des cookies|politique de confidentialit([éÉ]|e)|conditions d'utilisation|activer javascript|cliquez ici|lire la suite|abonnez-vous|"
+    "todos los derechos reservados|aceptar cookies|usamos cookies|utilizamos cookies|pol([íÍ]|i)tica de privacidad|t([éÉ]|e)rminos de uso|active javascript|haga clic aqu([íÍ]|i)|leer m([áÁ]|a)s|suscr([íÍ]|i)bete"
+)
+MENU = f"(?i)^[^\\p{{L}}]*({MENU_ENTRIES})[^\\p{{L}}]*$"
+NOTICE = f"(?i)(^|[^\\p{{L}}])({NOTICES})($|[^\\p{{L}}])"
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
@@ -46,7 +61,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
 
     def fails(n: Column) -> Column:
         punctuation = (F.regexp_count(line, F.lit(MARK)).cast("long") * 100 > n * rules.marks_percent) | (F.regexp_count(line, F.lit(OTHER)).cast("long") * 100 > n * rules.other_percent)
-        navigation = line.rlike(SEPARATORS) | ((n <= 60) & line.rlike(MENU))
+        navigation = line.rlike(SEPARATORS) | ((n <= rules.menu_chars) & line.rlike(MENU))
         boilerplate = (n <= rules.notice_chars) & line.rlike(NOTICE)
         return punctuation | navigation | boilerplate
 

@@ -1,9 +1,9 @@
 """Secret scans: known forms by pattern, and random strings by their token efficiency.
 
 A string of random characters falls into short tokens, so it has few characters a token under a public vocabulary, where words
-and identifiers have many. Candidates are long runs of the characters that keys are made of; digests of the usual lengths, UUIDs
-and identifiers are left out before tokens are counted. An identifier is made of real words, which have many letters a token
-themselves; candidates without a digit, or of digits and separators only, are left out too.
+and identifiers have many. Candidates are runs of 20 or more of the characters that keys are made of; shorter ones, and those
+without a digit or without a letter, are not tried. Of those with few characters a token, digests of the usual lengths, UUIDs and
+identifiers are known and left out. An identifier is made of real words, which have many letters a token themselves.
 """
 
 from __future__ import annotations
@@ -91,14 +91,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], test: TokenEfficiency) -> list[tuple[int, int, int]]:
+    """The candidates that meet no span of ``taken``, have a digit and a letter, fall into short tokens, and aren't known."""
     found = []
+    spans = sorted((a, z) for a, _, z in taken)
+    k = reach = 0  # spans before the k-th begin before the candidate ends; they end at ``reach`` at the latest
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or s.isdigit() or known(s, test.path):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach > m.start() or s.isalpha() or not any(c.isdigit() for c in s):
             continue
-        if any(a < m.end() and m.start() < z for a, _, z in taken):
-            continue
-        if len(s) < test.chars_per_token * len(encoding(test.path).encode_ordinary(s)):
+        if len(s) < test.chars_per_token * len(encoding(test.path).encode_ordinary(s)) and not known(s, test.path):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -34,10 +34,15 @@ class UrlRule:
     listed: bool = False
 
 
+def _lowered(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def host_rule(verdict: str, rule: str) -> UrlRule:
     """A rule ``host/path``: it fits the host and its subdomains if the URL's path starts with the rule's. Longer ones win."""
     host, slash, rest = rule.partition("/")
-    whole = re.findall("[a-z0-9]+", host) + re.findall("[a-z0-9]+(?=[^a-z0-9])", rest if slash else "")
+    host, literal = _lowered(host), _lowered(rest)  # a URL's tokens are lowered, a path's case is kept for the pattern
+    whole = re.findall("[a-z0-9]+", host) + re.findall("[a-z0-9]+(?=[^a-z0-9])", literal)
     return UrlRule(rule, verdict, f"^([^/?#]*\\.)?{re.escape(host)}{re.escape(slash + rest)}", tuple(dict.fromkeys(whole)), 1_000_000 + len(rule), True)
 
 
@@ -67,7 +72,9 @@ def path_of(url: Column) -> Column:
 
 
 def _rows(spark, rows: list[tuple], names: tuple[str, ...], types: tuple[str, ...]) -> DataFrame:
-    """A small table of literals, made inside the JVM."""
+    """A table of literals: a short one is made inside the JVM, a long one is sent to it."""
+    if len(rows) > 500:
+        return spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types, strict=True)])
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types, strict=True)]) for r in rows])))

@@ -50,6 +50,16 @@ def test_host_rules_leave_queries_and_fragments_alone(written):
     assert {r.page_id: (r.rule, r.verdict) for r in out} == {**{i: (None, "allow") for i in range(6)}, 6: ("example.com/en/", "block")}
 
 
+def test_host_rules_with_capitals_and_many_rules(written):
+    from faultline.llm.url_filters import UrlRule, host_rule, url_filters
+
+    urls = ["http://example.org/Docs/a", "http://example.org/docs/a", "http://Example.ORG/Docs/", "http://a.example.org/x"]
+    rules = [host_rule("block", "Example.org/Docs/")] + [UrlRule(f"w{i}", "block", f"tok{i}x", (f"tok{i}x",)) for i in range(700)] + [host_rule("allow", "h.com/a/"), host_rule("block", "h.com/b/")]
+    more = ["http://h.com/a/tok5x", "http://h.com/b/", "http://q.com/tok699x"]
+    out = url_filters(written(list(enumerate(urls + more)), "page_id long, url string"), rules).collect()
+    assert [r.verdict for r in sorted(out, key=lambda r: r.page_id)] == ["block", "allow", "block", "allow", "allow", "block", "block"]
+
+
 def test_lattice_points_are_nearest():
     from faultline.llm.embedding_dedup import ROOTS, nearest
 

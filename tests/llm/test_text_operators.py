@@ -225,7 +225,7 @@ def test_license_scan(docs, rows, empty, written):
     from faultline.llm.license_scan import license_scan, parse
 
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
-    more = [(500, "Released under the MIT License. The Apache-License applies, GNU General\nPublic LICENSE too."), (501, "mit license mit license"), (502, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nx"), (503, "licensed under CC BY-NC 4.0"), (504, "SPDX-License-Identifier: OR MIT")]
+    more = [(500, "Released under the MIT License. The Apache-License applies, GNU General\nPublic LICENSE too."), (501, "mit license mit license"), (502, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nx"), (503, "licensed under CC BY-NC 4.0"), (504, "SPDX-License-Identifier: OR MIT"), (505, "SPDX-License-Identifier: see LICENSE file"), (506, "é SPDX-License-Identifier:  MIT\n# spdx-license-identifier: Apache-2.0\nSPDX License Identifier none"), (507, "SPDX-License-Identifier is a tag")]
     table = written([(i, t) for i, t, *_ in rows] + more, "doc_id long, text string")
     got = {r.doc_id: r.license for r in license_scan(table).collect()}
     for i, t in [(i, t) for i, t, *_ in rows] + more:
@@ -235,7 +235,9 @@ def test_license_scan(docs, rows, empty, written):
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted({x for _, x in places}))), i
         assert 0 <= g.score <= 1
     assert got[502].expressions == ["mit apache-2.0 or gpl-2.0-only classpath-exception-2.0 with and"] and got[502].binding == 1
-    assert got[503].labels == "cc-by-nc" and got[504].score == 0.5 and got[500].labels == "apache,gpl,mit"
+    assert got[503].labels == "cc-by-nc" and got[504].score == 0.3 and got[500].labels == "apache,gpl,mit"
+    assert got[502].labels == "apache-2.0,gpl-2.0-only,mit" and got[502].score == 1.0  # exceptions are no licences
+    assert (got[505].labels, got[505].score) == ("", 0.3) and got[506].labels == "apache-2.0,mit" and got[507].labels == "" and got[507].expressions == []
     assert parse("MIT OR GPL-3.0").binding == 0 and parse("MIT AND GPL-3.0").binding == 2 and parse("(MIT") is None and parse("") is None and parse("MIT) x") is None
     assert license_scan(empty).count() == 0
 
