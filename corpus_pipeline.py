@@ -26,15 +26,22 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops failing lines, and documents that the quality rules reject."""
+    """Drops failing lines, and documents that the quality rules reject. A null or empty text is rejected; repeated rows and null
+    ids are judged row by row; an empty table gives an empty table; other columns pass through."""
     judged = quality_rules(docs).where("quality.kept")
     return _as_documents(judged.withColumn("text", F.col("quality.clean_text")), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds, and documents of which nothing is left."""
+    """Drops lines that an earlier document holds, and documents of which less than a fifth of the lines is left: they are near
+    copies, which the next stage couldn't know again by what is left of them.
+
+    A null text is an empty one, which loses nothing and stays. Repeated rows are one document to the line dedup and stay both. A
+    null id counts as the least. An empty table gives an empty table; other columns pass through.
+    """
     kept = line_dedup(docs)
-    return _as_documents(kept.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")), docs)
+    left = (F.col("n_dropped") == 0) | (F.col("text").rlike("[^ \\t-\\r]") & (F.col("n_dropped") * 5 <= F.col("n_lines") * 4))
+    return _as_documents(kept.where(left), docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +64,15 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source's words come to its target."""
+    """Repeats or drops documents so that each source's words come to its target. A null source is one of its own, a document
+    without words is taken once, repeated rows count each for itself; an empty table gives an empty table; all columns are kept."""
     ship(spark)
     return _as_documents(mixed(docs), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 2048 tokens."""
+    """Packs the documents into sequences of at most 2048 tokens. A null text is its end token alone; null ids and repeated rows
+    are packed each for itself; an empty table gives an empty table; columns but the id are left out."""
     ship(spark)
     return pack(docs)
 
