@@ -51,3 +51,10 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = hits / n
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+
+
+def difference_lower(hits: Column, n: Column, base_hits: Column, base_n: Column) -> Column:
+    """The lower bound of the difference of two proportions, from both Wilson intervals."""
+    (low, _), (_, high) = wilson(hits, n), wilson(base_hits, base_n)
+    p, q = hits / n, base_hits / base_n
+    return p - q - F.sqrt((p - low) * (p - low) + (high - q) * (high - q))

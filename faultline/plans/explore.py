@@ -29,11 +29,11 @@ def j11(v: Views) -> DataFrame:
 
 
 @query("j15_group_members", """
-WITH m AS (SELECT l.item_id AS owner, o.item_id FROM v_signature l JOIN v_signature o USING (project_id, error_hash) WHERE l.item_id % 100 = 3 UNION SELECT l.item_id, o.item_id FROM v_item l JOIN v_item o ON l.launch_id = o.launch_id AND l.test_case_hash = o.test_case_hash WHERE l.item_id % 100 = 3)
+WITH m AS (SELECT l.item_id AS owner, o.item_id FROM v_signature l JOIN v_signature o USING (project_id, error_hash) WHERE l.item_id % 50 = 0 UNION SELECT l.item_id, o.item_id FROM v_item l JOIN v_item o ON l.launch_id = o.launch_id AND l.test_case_hash = o.test_case_hash WHERE l.item_id % 50 = 0)
 SELECT owner, item_id FROM m QUALIFY row_number() OVER (PARTITION BY owner ORDER BY owner <> item_id, item_id) <= 60""")
 def j15(v: Views) -> DataFrame:
     s, i = v("v_signature").select("project_id", "error_hash", "item_id"), v("v_item").select("launch_id", "test_case_hash", "item_id")
-    asked = lambda df: df.where("item_id % 100 = 3").withColumnRenamed("item_id", "owner")
+    asked = lambda df: df.where("item_id % 50 = 0").withColumnRenamed("item_id", "owner")
     both = asked(s).join(s, ["project_id", "error_hash"]).select("owner", "item_id").union(asked(i).join(i, ["launch_id", "test_case_hash"]).select("owner", "item_id")).distinct()
     return top_k(both, ["owner"], [F.asc(F.col("owner") != F.col("item_id")), F.asc("item_id")], 60).select("owner", "item_id")
 
@@ -84,10 +84,10 @@ def r10(v: Views) -> DataFrame:
 
 @query("r12_candidate_flags", """
 SELECT a.item_id, b.item_id AS other_id, a.test_case_hash = b.test_case_hash AS same_test_case, a.exception_fp = b.exception_fp AS same_fp, abs(a.launch_number - b.launch_number) AS launch_distance
-FROM (SELECT * FROM v_signature JOIN v_item USING (project_id, item_id)) a JOIN (SELECT * FROM v_signature JOIN v_item USING (project_id, item_id)) b USING (project_id, error_hash) WHERE a.item_id % 50 = 1 AND a.item_id <> b.item_id""")
+FROM (SELECT * FROM v_signature JOIN v_item USING (project_id, item_id)) a JOIN (SELECT * FROM v_signature JOIN v_item USING (project_id, item_id)) b USING (project_id, error_hash) WHERE a.item_id % 50 = 0 AND a.item_id <> b.item_id""")
 def r12(v: Views) -> DataFrame:
     p = _placed(v).select("project_id", "error_hash", "item_id", "test_case_hash", "exception_fp", "launch_number")
-    a, b = p.where("item_id % 50 = 1").alias("a"), p.alias("b")
+    a, b = p.where("item_id % 50 = 0").alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.error_hash") == F.col("b.error_hash")) & (F.col("a.item_id") != F.col("b.item_id")))
     same = lambda c, n: (F.col(f"a.{c}") == F.col(f"b.{c}")).alias(n)
     return pairs.select("a.item_id", F.col("b.item_id").alias("other_id"), same("test_case_hash", "same_test_case"), same("exception_fp", "same_fp"), F.abs(F.col("a.launch_number") - F.col("b.launch_number")).alias("launch_distance"))
@@ -109,10 +109,19 @@ def a3(v: Views) -> DataFrame:
     return recent.groupBy("project_id").agg(F.count("*").alias("suggestions"), F.count_if(F.col("outcome") == "accepted").alias("accepted"))
 
 
-@query("a13_project_summary", """
-SELECT project_id, count(*) AS items, count(*) FILTER (WHERE issue_type IS NULL) AS unlabelled, count(*) FILTER (WHERE issue_group = 'ti') AS abstained, count(DISTINCT launch_id) AS launches, count(DISTINCT test_case_hash) AS tests FROM v_item GROUP BY project_id""")
+_COUNTERS = {
+    "items": "true", "unlabelled": "issue_type IS NULL", "abstained": "issue_group = 'ti'", "product_bugs": "issue_group = 'pb'", "automation_bugs": "issue_group = 'ab'", "system_issues": "issue_group = 'si'", "no_defects": "issue_group = 'nd'",
+}
+_TABLES = {"signatures": "v_signature", "label_events": "v_label_event", "suggestions": "v_suggestion", "llm_events": "v_llm_event", "modes": "v_mode", "mode_members": "v_mode_member"}
+
+
+@query("a13_project_summary", "WITH i AS (SELECT project_id, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _COUNTERS.items()) + ", count(DISTINCT launch_id) AS launches, count(DISTINCT test_case_hash) AS tests FROM v_item GROUP BY project_id) SELECT i.*, " + ", ".join(f"(SELECT count(*) FROM {t} x WHERE x.project_id = i.project_id) AS {n}" for n, t in _TABLES.items()) + " FROM i")
 def a13(v: Views) -> DataFrame:
-    return v("v_item").groupBy("project_id").agg(F.count("*").alias("items"), F.count_if(F.col("issue_type").isNull()).alias("unlabelled"), F.count_if(F.col("issue_group") == "ti").alias("abstained"), F.count_distinct("launch_id").alias("launches"), F.count_distinct("test_case_hash").alias("tests"))
+    counters = [F.count_if(F.expr(c)).alias(n) for n, c in _COUNTERS.items()]
+    out = v("v_item").groupBy("project_id").agg(*counters, F.count_distinct("launch_id").alias("launches"), F.count_distinct("test_case_hash").alias("tests"))
+    for n, t in _TABLES.items():  # a row a project
+        out = out.join(v(t).groupBy("project_id").agg(F.count("*").alias(n)), "project_id", "left")
+    return out.fillna(0, list(_TABLES))
 
 
 @query("a18_stale_template_sets", """
@@ -134,9 +143,9 @@ def a20(v: Views) -> DataFrame:
     return v("v_label_event").where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp")).groupBy("project_id").agg(F.count("*").alias("n"))
 
 
-@query("a21_first_seen", "SELECT error_hash, min(start_time) AS first_seen FROM v_signature JOIN v_item USING (project_id, item_id) GROUP BY error_hash")
+@query("a21_first_seen", "SELECT error_hash, min(coalesce(start_time, TIMESTAMP '2024-02-01 00:00:00')) AS first_seen FROM v_signature JOIN v_item USING (project_id, item_id) GROUP BY error_hash")
 def a21(v: Views) -> DataFrame:
-    return _placed(v).groupBy("error_hash").agg(F.min("start_time").alias("first_seen"))
+    return _placed(v).groupBy("error_hash").agg(F.min(F.coalesce("start_time", F.lit(AS_OF).cast("timestamp"))).alias("first_seen"))
 
 
 @query("a24_flip_rate", """
@@ -176,9 +185,9 @@ def a34(v: Views) -> DataFrame:
 # rankings
 
 
-@query("w7_fold_assignment", "SELECT event_id, event_id % 5 AS fold FROM v_label_event")
+@query("w7_fold_assignment", "SELECT item_id, (row_number() OVER (PARTITION BY project_id ORDER BY item_id) - 1) % 5 AS fold FROM v_item")
 def w7(v: Views) -> DataFrame:
-    return v("v_label_event").select("event_id", (F.col("event_id") % 5).alias("fold"))
+    return v("v_item").select("item_id", ((F.row_number().over(Window.partitionBy("project_id").orderBy("item_id")) - 1) % 5).cast("long").alias("fold"))
 
 
 @query("w10_page", "SELECT error_hash, count(*) AS n FROM v_signature GROUP BY error_hash ORDER BY n DESC, error_hash LIMIT 10 OFFSET 10")
@@ -195,19 +204,6 @@ def w15(v: Views) -> DataFrame:
 # knowledge base and decisions
 
 
-@query("d2_kb_score", """
-WITH c AS (SELECT mode_id, max(item_id) AS center FROM v_mode_member GROUP BY mode_id)
-SELECT s.item_id, m.mode_id, round(0.25 * len(list_intersect(s.template_ids, k.template_ids)) / len(list_distinct(list_concat(s.template_ids, k.template_ids))) + CASE WHEN s.exception_fp = k.exception_fp THEN 0.15 ELSE 0 END, 6) AS score
-FROM v_mode_member m JOIN v_signature s USING (item_id) JOIN c USING (mode_id) JOIN v_signature k ON k.item_id = c.center""")
-def d2(v: Views) -> DataFrame:
-    """The score's parts on templates and fingerprints, against each mode's newest member."""
-    members = v("v_mode_member").select("mode_id", "item_id")
-    s = v("v_signature").select("item_id", "template_ids", "exception_fp")
-    centers = members.groupBy("mode_id").agg(F.max("item_id").alias("item_id")).join(s, "item_id").select("mode_id", F.col("template_ids").alias("t"), F.col("exception_fp").alias("f"))
-    rows = members.join(s, "item_id").join(centers, "mode_id")
-    return rows.select("item_id", "mode_id", F.round(0.25 * jaccard(F.col("template_ids"), F.col("t")) + F.when(F.col("exception_fp") == F.col("f"), 0.15).otherwise(0.0), 6).alias("score"))
-
-
 @query("d18_method_of_decision", "SELECT CASE WHEN model_ver LIKE 'gbm%' THEN 'gbm' WHEN model_ver LIKE 'rubric+%' THEN 'rubric' ELSE 'rule_cold' END AS method, CASE WHEN confidence >= 0.75 THEN 'auto' WHEN confidence >= 0.45 THEN 'suggest' ELSE 'abstain' END AS action, count(*) AS n FROM v_suggestion GROUP BY ALL")
 def d18(v: Views) -> DataFrame:
     from ..functions.labels import band
@@ -216,14 +212,24 @@ def d18(v: Views) -> DataFrame:
     return v("v_suggestion").groupBy(method.alias("method"), band(F.col("confidence")).alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("g3_representative", "SELECT launch_id, error_hash, min(item_id) AS item_id FROM v_signature JOIN v_item USING (project_id, item_id) GROUP BY ALL")
+@query("g3_representative", """
+WITH l AS (SELECT item_id, count(*) AS logs FROM v_log GROUP BY item_id)
+SELECT launch_id, error_hash, arg_max(item_id, {'s': item_id % 3 = 0, 'l': coalesce(logs, 0), 'i': -item_id}) AS item_id FROM v_signature JOIN v_item USING (project_id, item_id) LEFT JOIN l USING (item_id) GROUP BY ALL""")
 def g3(v: Views) -> DataFrame:
-    return _placed(v).groupBy("launch_id", "error_hash").agg(F.min("item_id").alias("item_id"))
+    """With a stack first (every third item's), then most logs, then the least id."""
+    logs = v("v_log").groupBy("item_id").agg(F.count("*").alias("logs"))
+    rows = _placed(v).select("launch_id", "error_hash", "item_id").join(logs, "item_id", "left")
+    best = F.struct(F.col("item_id") % 3 == 0, F.coalesce("logs", F.lit(0)), -F.col("item_id"))
+    return rows.groupBy("launch_id", "error_hash").agg(F.max_by("item_id", best).alias("item_id"))
 
 
-@query("g6_cluster_reply", "SELECT launch_id, error_hash, array_to_string(list_sort(list(item_id)), ',') AS items FROM v_signature JOIN v_item USING (project_id, item_id) GROUP BY ALL")
+@query("g6_cluster_reply", """
+SELECT i.item_id, launch_id, md5(concat(project_id, ':', launch_id, ':', error_hash)) AS cluster_id, array_to_string(list_slice(string_split(msg_text, chr(10)), 1, 5), chr(10)) AS message
+FROM v_signature s JOIN v_item i USING (project_id, item_id)""")
 def g6(v: Views) -> DataFrame:
-    return _placed(v).groupBy("launch_id", "error_hash").agg(F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",").alias("items"))
+    """A row for each member with its cluster's name and the first five lines of its message: a cluster of any size is no group."""
+    rows = v("v_signature").select("project_id", "item_id", "error_hash", "msg_text").join(v("v_item").select("project_id", "item_id", "launch_id"), ["project_id", "item_id"])
+    return rows.select("item_id", "launch_id", F.md5(F.concat_ws(":", "project_id", "launch_id", "error_hash").cast("binary")).alias("cluster_id"), F.substring_index("msg_text", "\n", 5).alias("message"))
 
 
 @query("h10_source_weights", "SELECT event_id, CASE source WHEN 'rp_defect_update' THEN 1.0 WHEN 'human_ui' THEN 0.9 ELSE 0.3 END::DOUBLE AS weight FROM v_label_event")
@@ -246,10 +252,10 @@ def l3(v: Views) -> DataFrame:
     return latest(events, ["item_id"], ["ts", "event_id"], ["new_label"]).where(~F.col("new_label").startswith("ti"))
 
 
-@query("l12_orphans_past_grace", f"SELECT item_id, min(ts) AS first_orphaned FROM v_label_event WHERE item_id NOT IN (SELECT item_id FROM v_item WHERE item_id % 2 = 0) GROUP BY item_id HAVING min(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 29 DAY")
+@query("l12_orphans_past_grace", f"SELECT item_id, min(ts) AS first_orphaned FROM v_label_event WHERE item_id NOT IN (SELECT item_id FROM v_item WHERE item_id % 2 = 0) GROUP BY item_id HAVING min(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY")
 def l12(v: Views) -> DataFrame:
     orphans = v("v_label_event").join(v("v_item").where("item_id % 2 = 0").select("item_id"), "item_id", "left_anti")
-    return orphans.groupBy("item_id").agg(F.min("ts").alias("first_orphaned")).where(F.col("first_orphaned") < F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL '29' DAY"))
+    return orphans.groupBy("item_id").agg(F.min("ts").alias("first_orphaned")).where(F.col("first_orphaned") < F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL '30' DAY"))
 
 
 @query("l13_delete_launches", "SELECT item_id FROM v_signature WHERE item_id NOT IN (SELECT item_id FROM v_item WHERE launch_id IN (1, 3))")
@@ -258,9 +264,9 @@ def l13(v: Views) -> DataFrame:
     return v("v_signature").select("item_id").join(gone, "item_id", "left_anti")
 
 
-@query("l21_cold_projects", "SELECT project_id, count(*) < 5000 AS cold FROM v_label_event GROUP BY project_id")
+@query("l21_cold_projects", "SELECT project_id, count(*) < 50 AS cold FROM v_label_event GROUP BY project_id")
 def l21(v: Views) -> DataFrame:
-    return v("v_label_event").groupBy("project_id").agg((F.count("*") < 5000).alias("cold"))
+    return v("v_label_event").groupBy("project_id").agg((F.count("*") < 50).alias("cold"))
 
 
 @query("s11_templates_by_use", "SELECT template_id, count(*) AS n FROM v_template GROUP BY template_id ORDER BY n DESC, template_id")

@@ -45,7 +45,18 @@ def l6(v: Views) -> DataFrame:
     return calibrate(rows, "confidence", "hit").select("suggestion_id", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query("h19_label_probabilities", "SELECT suggestion_id, round(confidence, 6) AS p_predicted, round((1 - confidence) / 3, 6) AS p_other FROM v_suggestion")
+@query("h19_label_probabilities", """
+WITH r AS (SELECT suggestion_id, model_ver, confidence AS p, [0.4 + (suggestion_id % 7) / 20.0, 0.1 + (suggestion_id % 3) / 20.0, 0.05, 0.1]::DOUBLE[] AS raw FROM v_suggestion),
+n AS (SELECT suggestion_id, p, model_ver, list_transform(raw, lambda x: x / list_sum(raw)) AS q FROM r), g AS (SELECT *, list_max(q) AS m FROM n)
+SELECT suggestion_id, CASE WHEN model_ver LIKE 'gbm%' THEN round(p, 6) END AS p_top, CASE WHEN model_ver LIKE 'gbm%' THEN round(q[2] * (1 - p) / (1 - m), 6) END AS p_second FROM g""")
 def h19(v: Views) -> DataFrame:
-    """One calibrated group keeps its probability; the other three share the rest in equal raw ratio."""
-    return v("v_suggestion").select("suggestion_id", F.round("confidence", 6).alias("p_predicted"), F.round((1 - F.col("confidence")) / 3, 6).alias("p_other"))
+    """The group of the highest raw probability has the calibrated one, the others share the rest in their raw ratio; unknown
+    (null) where no model stands behind the suggestion."""
+    s = F.col("suggestion_id")
+    raw = F.array(0.4 + (s % 7) / 20.0, 0.1 + (s % 3) / 20.0, F.lit(0.05), F.lit(0.1))
+    rows = v("v_suggestion").select("suggestion_id", "confidence", "model_ver", raw.alias("raw"))
+    rows = rows.withColumn("total", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)).withColumn("q", F.transform("raw", lambda x: x / F.col("total")))
+    top = F.array_max("q")
+    share = lambda k: F.when(F.col("q")[k] == top, F.col("confidence")).otherwise(F.col("q")[k] * (1 - F.col("confidence")) / (1 - top))
+    known = F.col("model_ver").startswith("gbm")
+    return rows.select("suggestion_id", F.when(known, F.round(share(0), 6)).alias("p_top"), F.when(known, F.round(share(1), 6)).alias("p_second"))

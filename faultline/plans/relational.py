@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import base_group, decay, shown_group, source_weight, wilson
+from ..functions.labels import base_group, decay, difference_lower, shown_group, source_weight, wilson
 from ..functions.text import jaccard
 from ..operators.relational import as_of, delete_matching, latest, top_k, upsert
 from ..sources.views import AS_OF
@@ -24,9 +24,9 @@ def f1(v: Views) -> DataFrame:
     return v("v_log").where("log_level >= 40000 AND trim(message) <> ''").select("item_id", "pos", "log_level", "message")
 
 
-@query("f3_tail_cap", "SELECT item_id, pos FROM v_log QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos DESC) <= 3")
+@query("f3_tail_cap", "SELECT item_id, pos FROM v_log QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos DESC) <= 20")
 def f3(v: Views) -> DataFrame:
-    return top_k(v("v_log"), ["item_id"], [F.desc("pos")], 3).select("item_id", "pos")
+    return top_k(v("v_log"), ["item_id"], [F.desc("pos")], 20).select("item_id", "pos")
 
 
 @query("f4_near_error_context", """
@@ -40,13 +40,20 @@ def f4(v: Views) -> DataFrame:
     return top_k(before, ["item_id"], [F.desc("pos")], 5).select("item_id", "pos")
 
 
-@query("f5_small_log_merge", """
-SELECT item_id, string_agg(message, chr(10) ORDER BY pos) AS message, count(*) AS n_logs FROM v_log
-GROUP BY item_id HAVING count(*) >= 2 AND bool_and(length(message) < 600)""")
+SMALL_LOG = 100
+STACK_LINE_RE2 = "[A-Za-z0-9_]+\\.[a-z]{1,4}:\\d+|\\bline \\d+|(^|\\n)\\s*at \\S+\\(.*\\)|(^|\\n)\\s*[\\w$]+(\\.[\\w$]+)+\\([^)]*\\)\\s*(\\n|$)"
+
+
+@query("f5_small_log_merge", f"""
+WITH l AS (SELECT item_id, pos, message, length(message) < {SMALL_LOG} AND NOT regexp_matches(message, '{STACK_LINE_RE2}') AS small FROM v_log),
+n AS (SELECT item_id, count(*) AS n_logs, bool_and(small) AND count(*) >= 2 AS merged FROM l GROUP BY item_id)
+SELECT item_id, merged, n_logs, string_agg(message, chr(10) ORDER BY pos) FILTER (WHERE merged) AS message FROM l JOIN n USING (item_id) GROUP BY ALL""")
 def f5(v: Views) -> DataFrame:
-    logs = F.array_sort(F.collect_list(F.struct("pos", "message")))
-    merged = v("v_log").groupBy("item_id").agg(F.count("*").alias("n_logs"), F.max(F.length("message")).alias("longest"), logs.alias("logs")).where("n_logs >= 2 AND longest < 600")
-    return merged.select("item_id", F.array_join(F.col("logs.message"), "\n").alias("message"), "n_logs")
+    """An item's logs become one if there are two or more, all small and without stack lines; only such messages are gathered."""
+    logs = v("v_log").select("item_id", "pos", "message", ((F.length("message") < SMALL_LOG) & ~F.col("message").rlike(STACK_LINE_RE2)).alias("small"))
+    counts = logs.groupBy("item_id").agg(F.count("*").alias("n_logs"), F.bool_and("small").alias("all_small")).select("item_id", "n_logs", (F.col("all_small") & (F.col("n_logs") >= 2)).alias("merged"))
+    texts = logs.join(counts.where("merged").select("item_id"), "item_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "message"))).alias("logs"))
+    return counts.join(texts, "item_id", "left").select("item_id", "merged", "n_logs", F.array_join(F.col("logs.message"), "\n").alias("message"))
 
 
 @query("f6_labelled_items", "SELECT item_id, issue_type FROM v_item WHERE issue_type IS NOT NULL AND issue_group <> 'ti'")
@@ -54,13 +61,24 @@ def f6(v: Views) -> DataFrame:
     return v("v_item").where("issue_type IS NOT NULL AND issue_group <> 'ti'").select("item_id", "issue_type")
 
 
+def in_scope(mode: Column, launch_id: Column, launch_name: Column, q_launch: Column, q_name: Column, q_previous: Column) -> Column:
+    """If a candidate's launch lies in the scope that an analyzer mode sets; an unknown or null mode sets none."""
+    m = F.upper(F.trim(mode))
+    return (
+        F.when(m == "LAUNCH_NAME", (launch_name == q_name) & (launch_id != q_launch)).when(m == "CURRENT_AND_THE_SAME_NAME", launch_name == q_name)
+        .when(m == "CURRENT_LAUNCH", launch_id == q_launch).when(m == "PREVIOUS_LAUNCH", launch_id == q_previous).when(m == "ALL", launch_id != q_launch).otherwise(True)
+    )
+
+
 @query("f8_scope_modes", """
-SELECT i.item_id, m.mode FROM v_item i, (VALUES ('CURRENT_LAUNCH'), ('PREVIOUS_LAUNCH'), ('LAUNCH_NAME'), ('CURRENT_AND_THE_SAME_NAME'), ('ALL')) AS m(mode)
-WHERE CASE m.mode WHEN 'CURRENT_LAUNCH' THEN launch_id = 5 WHEN 'PREVIOUS_LAUNCH' THEN launch_id = 4 WHEN 'LAUNCH_NAME' THEN launch_name = 'nightly-0' AND launch_id <> 5 WHEN 'CURRENT_AND_THE_SAME_NAME' THEN launch_name = 'nightly-0' ELSE TRUE END""")
+SELECT i.item_id, m.mode FROM v_item i, (VALUES ('CURRENT_LAUNCH'), ('PREVIOUS_LAUNCH'), ('LAUNCH_NAME'), ('CURRENT_AND_THE_SAME_NAME'), ('ALL'), (''), (' all ')) AS m(mode)
+WHERE issue_group IS NOT NULL AND issue_group <> 'ti' AND CASE upper(trim(m.mode)) WHEN 'CURRENT_LAUNCH' THEN launch_id = 5 WHEN 'PREVIOUS_LAUNCH' THEN launch_id = 4 WHEN 'LAUNCH_NAME' THEN launch_name = 'nightly-0' AND launch_id <> 5
+WHEN 'CURRENT_AND_THE_SAME_NAME' THEN launch_name = 'nightly-0' WHEN 'ALL' THEN launch_id <> 5 ELSE TRUE END""")
 def f8(v: Views) -> DataFrame:
-    fits = {"CURRENT_LAUNCH": "launch_id = 5", "PREVIOUS_LAUNCH": "launch_id = 4", "LAUNCH_NAME": "launch_name = 'nightly-0' AND launch_id <> 5", "CURRENT_AND_THE_SAME_NAME": "launch_name = 'nightly-0'", "ALL": "true"}
-    modes = F.array(*[F.when(F.expr(c), F.lit(m)) for m, c in fits.items()])
-    return v("v_item").select("item_id", F.explode(F.array_compact(modes)).alias("mode"))
+    """The labelled history that each mode lets launch 5, a nightly-0, look at; '' is the default."""
+    modes = F.array(*[F.lit(m) for m in ("CURRENT_LAUNCH", "PREVIOUS_LAUNCH", "LAUNCH_NAME", "CURRENT_AND_THE_SAME_NAME", "ALL", "", " all ")])
+    rows = v("v_item").where("issue_group IS NOT NULL AND issue_group <> 'ti'").withColumn("mode", F.explode(modes))
+    return rows.where(in_scope(F.col("mode"), F.col("launch_id"), F.col("launch_name"), F.lit(5), F.lit("nightly-0"), F.lit(4))).select("item_id", "mode")
 
 
 @query("f11_template_search", "SELECT DISTINCT template_id, pattern FROM v_template WHERE pattern ILIKE '%PUR%'")
@@ -122,9 +140,9 @@ def j5(v: Views) -> DataFrame:
 @query("j6_point_in_time", """
 SELECT event_id, suggestion_id, confidence FROM (SELECT l.event_id, s.suggestion_id, s.confidence,
 row_number() OVER (PARTITION BY l.event_id ORDER BY s.created_at DESC, s.suggestion_id DESC) AS k
-FROM v_label_event l LEFT JOIN v_suggestion s ON s.item_id = l.item_id AND s.created_at <= l.ts) WHERE k = 1""")
+FROM v_label_event l LEFT JOIN v_suggestion s ON s.item_id = l.item_id AND s.created_at <= l.ts AND s.model_ver IS DISTINCT FROM 'rule_cold') WHERE k = 1""")
 def j6(v: Views) -> DataFrame:
-    found = as_of(v("v_label_event").select("item_id", "event_id", "ts"), v("v_suggestion"), ["item_id"], "ts", "created_at", "suggestion_id", ["suggestion_id", "confidence"])
+    found = as_of(v("v_label_event").select("item_id", "event_id", "ts"), v("v_suggestion").where(~F.col("model_ver").eqNullSafe("rule_cold")), ["item_id"], "ts", "created_at", "suggestion_id", ["suggestion_id", "confidence"])
     return found.select("event_id", "suggestion_id", "confidence")
 
 
@@ -151,11 +169,11 @@ def j9(v: Views) -> DataFrame:
     return v("v_item").join(v("v_label_event"), "item_id", "left_semi").select("item_id")
 
 
-@query("j13_array_overlap", "SELECT DISTINCT a.item_id AS item_id, b.item_id AS other_id FROM v_signature a JOIN v_signature b ON a.project_id = b.project_id AND list_has_any(a.template_ids, b.template_ids) WHERE a.item_id % 100 = 1 AND a.item_id <> b.item_id")
+@query("j13_array_overlap", "SELECT DISTINCT a.item_id AS item_id, b.item_id AS other_id FROM v_signature a JOIN v_signature b ON a.project_id = b.project_id AND list_has_any(a.template_ids, b.template_ids) WHERE a.item_id % 50 = 0 AND a.item_id <> b.item_id")
 def j13(v: Views) -> DataFrame:
     """Sets overlap where an element is shared: exploded elements join by equality. The asking rows are a stated query set."""
     parts = v("v_signature").select("project_id", "item_id", F.explode(F.array_distinct("template_ids")).alias("t"))
-    asking = parts.where("item_id % 100 = 1")
+    asking = parts.where("item_id % 50 = 0")
     return asking.join(parts.withColumnRenamed("item_id", "other_id"), ["project_id", "t"]).where("item_id <> other_id").select("item_id", "other_id").distinct()
 
 
@@ -225,11 +243,11 @@ def w16(v: Views) -> DataFrame:
     return rows.groupBy("error_hash").agg(F.min_by("item_id", F.struct(unlabelled, F.col("item_id"))).alias("item_id"))
 
 
-@query("w17_capped_members", "SELECT error_hash, item_id, count(*) OVER (PARTITION BY error_hash) AS total FROM v_signature QUALIFY row_number() OVER (PARTITION BY error_hash ORDER BY item_id) <= 5")
+@query("w17_capped_members", "SELECT error_hash, item_id, count(*) OVER (PARTITION BY error_hash) AS total FROM v_signature QUALIFY row_number() OVER (PARTITION BY error_hash ORDER BY item_id) <= 50")
 def w17(v: Views) -> DataFrame:
     rows = v("v_signature").select("error_hash", "item_id")
     totals = rows.groupBy("error_hash").agg(F.count("*").alias("total"))
-    return top_k(rows, ["error_hash"], [F.asc("item_id")], 5).join(totals, "error_hash").select("error_hash", "item_id", "total")
+    return top_k(rows, ["error_hash"], [F.asc("item_id")], 50).join(totals, "error_hash").select("error_hash", "item_id", "total")
 
 
 # merges
@@ -336,14 +354,25 @@ def a17(v: Views) -> DataFrame:
 
 @query("a22_classification_report", """
 WITH l AS (SELECT item_id, arg_max(new_label, {'t': ts, 'e': event_id}) AS truth FROM v_label_event GROUP BY item_id), s AS (SELECT item_id, arg_max(predicted_label, {'t': created_at, 'i': suggestion_id}) AS guess FROM v_suggestion GROUP BY item_id),
-p AS (SELECT truth, guess FROM l JOIN s USING (item_id)), n AS (SELECT DISTINCT truth AS label FROM p)
-SELECT label, count(*) FILTER (WHERE truth = label) AS support, count(*) FILTER (WHERE guess = label) AS predicted, count(*) FILTER (WHERE truth = label AND guess = label) AS hits FROM n, p GROUP BY label""")
+p AS (SELECT truth, guess FROM l JOIN s USING (item_id)), n AS (SELECT DISTINCT truth AS label FROM p),
+c AS (SELECT label, count(*) FILTER (WHERE truth = label) AS support, count(*) FILTER (WHERE guess = label) AS predicted, count(*) FILTER (WHERE truth = label AND guess = label) AS hits FROM n, p GROUP BY label),
+r AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0.0 END AS p, hits / support AS r, CASE WHEN hits > 0 THEN 2.0 * hits / (predicted + support) ELSE 0.0 END AS f FROM c)
+SELECT label, support, predicted, hits, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round((SELECT avg(f) FROM r), 6) AS macro_f1, (SELECT count(*) FROM p WHERE guess LIKE 'ti%') AS abstained FROM r""")
 def a22(v: Views) -> DataFrame:
     truth = latest(v("v_label_event"), ["item_id"], ["ts", "event_id"], ["new_label"])
     guess = latest(v("v_suggestion"), ["item_id"], ["created_at", "suggestion_id"], ["predicted_label"])
     sides = F.array(F.struct(F.col("new_label").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col("predicted_label").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g")))
     rows = truth.join(guess, "item_id").select((F.col("new_label") == F.col("predicted_label")).alias("hit"), F.inline(sides))
-    return rows.groupBy("label").agg(F.sum("t").alias("support"), F.sum("g").alias("predicted"), F.count_if(F.col("hit") & (F.col("t") == 1)).alias("hits")).where("support > 0")
+    by_label = rows.groupBy("label").agg(F.sum("t").alias("support"), F.sum("g").alias("predicted"), F.count_if(F.col("hit") & (F.col("t") == 1)).alias("hits"))
+    # a row a label from here on
+    every = Window.partitionBy()
+    abstained = F.coalesce(F.sum(F.when(F.col("label").startswith("ti"), F.col("predicted"))).over(every), F.lit(0))
+    f1 = F.when(F.col("hits") > 0, 2.0 * F.col("hits") / (F.col("predicted") + F.col("support"))).otherwise(0.0)
+    scored = by_label.withColumn("abstained", abstained).where("support > 0").withColumn("f", f1)
+    return scored.select(
+        "label", "support", "predicted", "hits", F.round(F.coalesce(F.try_divide("hits", "predicted"), F.lit(0.0)), 6).alias("precision"), F.round(F.col("hits") / F.col("support"), 6).alias("recall"),
+        F.round("f", 6).alias("f1"), F.round(F.avg("f").over(every), 6).alias("macro_f1"), "abstained",
+    )
 
 
 @query("a23_calibration_error", """
@@ -354,13 +383,19 @@ def a23(v: Views) -> DataFrame:
     return rows.agg(F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece"))
 
 
-@query("a30_wilson_interval", """
-WITH c AS (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'accepted') AS s FROM v_suggestion GROUP BY project_id)
-SELECT project_id, round((s / n + 3.8416 / (2 * n) - 1.96 * sqrt(s / n * (1 - s / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 6) AS lower, round((s / n + 3.8416 / (2 * n) + 1.96 * sqrt(s / n * (1 - s / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 6) AS upper FROM c""")
+_W = "(s / n + 3.8416 / (2 * n) {0} 1.96 * sqrt(s / n * (1 - s / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)"
+
+
+@query("a30_wilson_interval", f"""
+WITH c AS (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'accepted') AS s, count(*) FILTER (WHERE model_ver LIKE 'gbm%') AS n1, count(*) FILTER (WHERE outcome = 'accepted' AND model_ver LIKE 'gbm%') AS s1 FROM v_suggestion GROUP BY project_id),
+i AS (SELECT project_id, n, s, s / n AS p, {_W.format("-")} AS lo, {_W.format("+")} AS hi, n1, s1 FROM c), j AS (SELECT project_id, s / n AS p, {_W.format("-")} AS lo, {_W.format("+")} AS hi FROM (SELECT project_id, n1 AS n, s1 AS s FROM c))
+SELECT project_id, round(i.lo, 6) AS lower, round(i.hi, 6) AS upper, round(j.p - i.p - sqrt((j.p - j.lo) * (j.p - j.lo) + (i.hi - i.p) * (i.hi - i.p)), 6) AS difference_lower FROM i JOIN j USING (project_id)""")
 def a30(v: Views) -> DataFrame:
-    rows = v("v_suggestion").groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "accepted").alias("s"))
+    """The interval of acceptance, and the lower bound of what the model's suggestions have over all."""
+    hit, model = F.col("outcome") == "accepted", F.col("model_ver").startswith("gbm")
+    rows = v("v_suggestion").groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("s"), F.count_if(model).alias("n1"), F.count_if(hit & model).alias("s1"))
     low, high = wilson(F.col("s"), F.col("n"))
-    return rows.select("project_id", F.round(low, 6).alias("lower"), F.round(high, 6).alias("upper"))
+    return rows.select("project_id", F.round(low, 6).alias("lower"), F.round(high, 6).alias("upper"), F.round(difference_lower(F.col("s1"), F.col("n1"), F.col("s"), F.col("n")), 6).alias("difference_lower"))
 
 
 # evidence
@@ -407,22 +442,26 @@ def t48(v: Views) -> DataFrame:
 
 
 @query("g4_burst_prior", """
-WITH g AS (SELECT i.launch_id, s.error_hash, count(*) AS n FROM v_signature s JOIN v_item i USING (project_id, item_id) GROUP BY ALL), t AS (SELECT launch_id, sum(n) AS total FROM g GROUP BY launch_id)
-SELECT launch_id, error_hash, n, CASE WHEN n >= 2 AND n / total > 0.05 THEN round(least(0.9, 0.5 + n / total), 6) ELSE 0.0 END AS si_prior FROM g JOIN t USING (launch_id)""")
+WITH p AS (SELECT i.launch_id, s.error_hash, s.project_id FROM v_signature s JOIN v_item i USING (project_id, item_id)), g AS (SELECT launch_id, error_hash, count(*) AS n FROM p GROUP BY ALL),
+t AS (SELECT launch_id, sum(n) AS total FROM g GROUP BY launch_id), f AS (SELECT error_hash, min(launch_id) AS first_launch FROM p GROUP BY error_hash)
+SELECT launch_id, error_hash, n, CASE WHEN first_launch = launch_id AND n >= 5 AND n / total > 0.4 THEN round(least(0.9, 0.5 + n / total), 6) ELSE 0.0 END AS si_prior FROM g JOIN t USING (launch_id) JOIN f USING (error_hash)""")
 def g4(v: Views) -> DataFrame:
-    """Shares and counts are the view's: its launches are too small for the production bounds of five members and 0.4."""
-    groups = v("v_signature").select("project_id", "item_id", "error_hash").join(v("v_item").select("project_id", "item_id", "launch_id"), ["project_id", "item_id"]).groupBy("launch_id", "error_hash").agg(F.count("*").alias("n"))
+    """A hash that is new, with five members or more and over 0.4 of its launch's failures, is likely systemic."""
+    placed = v("v_signature").select("project_id", "item_id", "error_hash").join(v("v_item").select("project_id", "item_id", "launch_id"), ["project_id", "item_id"])
+    groups = placed.groupBy("launch_id", "error_hash").agg(F.count("*").alias("n"))
     totals = groups.groupBy("launch_id").agg(F.sum("n").alias("total"))
+    first = groups.groupBy("error_hash").agg(F.min("launch_id").alias("first_launch"))
     share = F.col("n") / F.col("total")
-    return groups.join(totals, "launch_id").select("launch_id", "error_hash", "n", F.when((F.col("n") >= 2) & (share > 0.05), F.round(F.least(F.lit(0.9), 0.5 + share), 6)).otherwise(0.0).alias("si_prior"))
+    burst = (F.col("first_launch") == F.col("launch_id")) & (F.col("n") >= 5) & (share > 0.4)
+    return groups.join(totals, "launch_id").join(first, "error_hash").select("launch_id", "error_hash", "n", F.when(burst, F.round(F.least(F.lit(0.9), 0.5 + share), 6)).otherwise(0.0).alias("si_prior"))
 
 
 @query("l2_outcome_resolve", """
 WITH l AS (SELECT item_id, arg_max(new_label, {'t': ts, 'e': event_id}) AS new_label FROM v_label_event GROUP BY item_id)
-SELECT suggestion_id, CASE WHEN outcome <> 'pending' OR new_label IS NULL THEN outcome WHEN substr(predicted_label, 1, 2) = substr(new_label, 1, 2) THEN 'accepted' ELSE 'corrected' END AS outcome FROM v_suggestion LEFT JOIN l USING (item_id)""")
+SELECT suggestion_id, CASE WHEN outcome <> 'pending' OR new_label IS NULL THEN outcome WHEN substr(predicted_label, 1, 2) IN ('pb', 'ab', 'si', 'nd') AND substr(predicted_label, 1, 2) = substr(new_label, 1, 2) THEN 'accepted' ELSE 'corrected' END AS outcome FROM v_suggestion LEFT JOIN l USING (item_id)""")
 def l2(v: Views) -> DataFrame:
     rows = v("v_suggestion").join(latest(v("v_label_event"), ["item_id"], ["ts", "event_id"], ["new_label"]), "item_id", "left")
-    same = F.substring("predicted_label", 1, 2) == F.substring("new_label", 1, 2)
+    same = base_group(F.col("predicted_label")) == base_group(F.col("new_label"))
     return rows.select("suggestion_id", F.when((F.col("outcome") != "pending") | F.col("new_label").isNull(), F.col("outcome")).when(same, "accepted").otherwise("corrected").alias("outcome"))
 
 

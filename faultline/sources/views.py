@@ -23,9 +23,9 @@ SELECT vec_id AS item_id, 1 + vec_id % 2 AS project_id, {div:vec_id,25} AS launc
   CASE WHEN label IN (0, 1, 8) THEN 'pb' WHEN label IN (2, 3) THEN 'ab' WHEN label IN (4, 5) THEN 'si' WHEN label = 6 THEN 'nd' WHEN label = 7 THEN 'ti' END AS issue_group,
   TIMESTAMP '2024-01-01 00:00:00' + vec_id * INTERVAL '1' HOUR AS start_time FROM {embeddings}""",
     "v_signature": """
-SELECT e.vec_id AS item_id, 1 + e.vec_id % 2 AS project_id, e.embedding AS emb, substr(coalesce(d.text, ''), 1, 300) AS msg_text,
+SELECT e.vec_id AS item_id, 1 + e.vec_id % 2 AS project_id, e.embedding AS emb, coalesce(d.text, '') AS msg_text,
   concat('E', CAST(e.label AS {string}), 'Error') AS exc_text, {array:e.label,e.vec_id % 7,e.vec_id % 11} AS template_ids, {array:500 + e.label % 4} AS status_codes,
-  e.label AS exception_fp, e.label * 100 + e.vec_id % 5 AS error_hash FROM {embeddings} e LEFT JOIN {documents} d ON e.vec_id = d.doc_id""",
+  e.label AS exception_fp, CASE WHEN {div:vec_id,25} % 8 = 3 AND vec_id % 25 < 12 THEN 7000 + {div:vec_id,25} ELSE e.label * 100 + e.vec_id % 5 END AS error_hash FROM {embeddings} e LEFT JOIN {documents} d ON e.vec_id = d.doc_id""",
     "v_log": """
 SELECT conv_id AS item_id, turn AS pos, CASE role WHEN 'assistant' THEN 40000 WHEN 'user' THEN 30000 ELSE 20000 END AS log_level, text AS message FROM {conversations}""",
     "v_label_event": """
@@ -43,7 +43,14 @@ SELECT event_id AS suggestion_id, user_id % 3 AS project_id, user_id AS item_id,
 SELECT event_id, 1 + user_id % 2 AS project_id, user_id AS item_id, event_type AS role, value * 10 AS latency_ms, event_id % 5 = 0 AS cache_hit,
   CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'guardrail' WHEN 2 THEN 'timeout' ELSE 'ok' END AS outcome, ts AS created_at FROM {events}""",
     "v_mode_member": """
-SELECT vec_id AS item_id, 1 + vec_id % 2 AS project_id, 1 + vec_id % 13 AS mode_id, (vec_id * 37 % 101) / 100.0 AS match_score FROM {embeddings}""",
+SELECT vec_id AS item_id, 1 + vec_id % 2 AS project_id, 1 + vec_id % 13 AS mode_id, CAST(vec_id * 37 % 101 AS DOUBLE) / 100 AS match_score FROM {embeddings}""",
+    "v_mode": """
+SELECT 1 + vec_id AS mode_id, 1 + vec_id % 2 AS project_id, CASE vec_id % 5 WHEN 0 THEN 'seed' WHEN 1 THEN 'candidate' WHEN 4 THEN 'retired' ELSE 'confirmed' END AS status,
+  CASE vec_id % 4 WHEN 0 THEN 'pb001' WHEN 1 THEN 'ab001' WHEN 2 THEN 'si001' ELSE 'nd001' END AS issue_type, {array:label,(label + 3) % 10} AS exception_fps, {array:label,vec_id % 7,vec_id % 11} AS template_ids,
+  CASE WHEN vec_id % 6 = 5 THEN NULL ELSE embedding END AS centroid, CAST(90 + vec_id % 11 AS DOUBLE) / 100 AS purity, vec_id * 2 AS support FROM {embeddings} WHERE vec_id < 40""",
+    "v_message": """
+SELECT event_id AS message_id, event_type AS routing_key, CASE event_id % 3 WHEN 0 THEN concat(CAST(event_id * 1000 AS {string}), 'L') WHEN 1 THEN CAST(event_id * 1000 AS {string}) WHEN 2 THEN 'soon' END AS header,
+  CASE WHEN event_id % 10 = 7 THEN substr(props, 1, 3) ELSE props END AS body, ts FROM {events}""",
     "v_template": "SELECT DISTINCT event_type AS pattern_key, user_id % 11 AS template_id, concat('step ', event_type, ' <NUM>') AS pattern FROM {events}",
 }
 
