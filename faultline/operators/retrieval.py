@@ -1,14 +1,24 @@
-"""Hybrid retrieval: a lexical and a dense ranking, fused by reciprocal ranks."""
+"""Hybrid retrieval: a lexical and a dense ranking, fused by reciprocal ranks.
+
+Queries are a stated set that grows with the items. Items stay where they lie: they are dealt over salts, and each query visits
+every salt of its project, so a large project is not one task; Spark broadcasts the queries while they are few. A partition keeps
+the best of each query before anything moves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trigrams
 from .relational import top_k
 
 LEG = 50
 RRF_K = 60
+SALTS = 32
+# Weights of the fields.
+WEIGHTS = {"exc_text": 1.0, "msg_text": 0.4}
+LEAST_TRIGRAM = 0.3
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,20 +30,45 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
-    """(query_id, item_id, cosine, dense_rank): the k nearest items of the query's project. Queries are a stated, small set."""
-    near = queries.select("query_id", "project_id", F.col("emb").alias("q_emb")).join(items, "project_id").withColumn("cosine", F.round(cosine(F.col("q_emb"), F.col("emb")), 6))
-    return top_k(near.select("query_id", "item_id", "cosine"), ["query_id"], [F.desc("cosine"), F.desc("item_id")], k, "dense_rank")
+    """(query_id, item_id, cosine, dense_rank): the k nearest other items of the query's project."""
+    asked = queries.select("query_id", "project_id", F.col("emb").alias("q_emb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = items.select("project_id", "item_id", "emb", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    near = asked.join(dealt, ["project_id", "salt"]).where("query_id <> item_id AND emb IS NOT NULL AND q_emb IS NOT NULL")
+    near = near.select("query_id", "item_id", F.round(cosine(F.col("q_emb"), F.col("emb")), 6).alias("cosine"))
+    return top_k(near, ["query_id"], [F.desc("cosine"), F.desc("item_id")], k, "dense_rank")
 
 
-def lexical_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
-    """(query_id, item_id, lex_score, sparse_rank): items that hold every term of the query, scored by their frequency.
+def lexical_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, item_id, lex_score): items that hold every term of the query, scored by weighted frequency.
 
-    Terms go through an inverted index, so only items that share a term with a query of their project meet it.
+    Words meet the asked terms before they are counted, so only those count that a query of their project asks for.
     """
     terms = queries.select("query_id", "project_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    index = items.select("project_id", "item_id", F.explode(F.split(F.lower("msg_text"), "[^a-z]+")).alias("term")).where("term <> ''").groupBy("project_id", "item_id", "term").agg(F.count("*").alias("tf"))
-    scored = terms.join(index, ["project_id", "term"]).groupBy("query_id", "item_id", "n_terms").agg(F.count("*").alias("hits"), F.sum("tf").alias("tf")).where("hits = n_terms")
-    return top_k(scored.select("query_id", "item_id", F.round(F.col("tf") * 0.4, 6).alias("lex_score")), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
+    fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.split(F.lower(c), "[^a-z]+").alias("words")) for c, w in WEIGHTS.items()])
+    words = items.select("project_id", "item_id", F.inline(fields)).select("project_id", "item_id", "weight", F.explode("words").alias("term")).where("term <> ''")
+    asked = words.join(terms.select("project_id", "term").distinct(), ["project_id", "term"], "left_semi")
+    index = asked.groupBy("project_id", "item_id", "term").agg(F.sum("weight").alias("score"))
+    scored = terms.join(index, ["project_id", "term"]).where("query_id <> item_id").groupBy("query_id", "item_id", "n_terms").agg(F.count("*").alias("hits"), F.sum("score").alias("score"))
+    return scored.where("hits = n_terms").select("query_id", "item_id", F.round("score", 6).alias("lex_score"))
+
+
+def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, item_id, lex_score) by trigrams of exception texts. Distinct texts of a project meet over a shared trigram, so
+    an exception that very many items have is one row there."""
+    texts = lambda df: df.where("exc_text <> ''").select("project_id", "exc_text").distinct().withColumn("t", trigrams(F.col("exc_text")))
+    exploded = lambda df: df.select("project_id", "exc_text", F.size("t").alias("n"), F.explode("t").alias("t"))
+    a = exploded(texts(queries)).select("project_id", F.col("exc_text").alias("asked"), F.col("n").alias("n_asked"), "t")
+    both = a.join(exploded(texts(items)), ["project_id", "t"]).groupBy("project_id", "asked", "n_asked", "exc_text", "n").agg(F.count("*").alias("both"))
+    near = both.withColumn("lex_score", F.round(F.col("both") / (F.col("n_asked") + F.col("n") - F.col("both")), 6)).where(F.col("lex_score") >= LEAST_TRIGRAM).select("project_id", "asked", "exc_text", "lex_score")
+    asked = queries.select("query_id", "project_id", F.col("exc_text").alias("asked")).join(near, ["project_id", "asked"])
+    return asked.join(items.select("project_id", "item_id", "exc_text"), ["project_id", "exc_text"]).where("query_id <> item_id").select("query_id", "item_id", "lex_score")
+
+
+def sparse_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
+    """(query_id, item_id, lex_score, sparse_rank): the lexical hits, or for queries without any those by trigrams."""
+    hits = lexical_hits(queries, items)
+    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return top_k(hits.union(trigram_hits(rest, items)), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
 
 
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import source_weight
 from ..functions.text import jaccard
 from ..operators.relational import latest, top_k
-from ..operators.retrieval import dense_leg
 from ..sources.views import AS_OF
 from .registry import Views, query
-from .triage import query_set
 
 
 def _placed(v: Views) -> DataFrame:
@@ -64,14 +62,6 @@ def j22(v: Views) -> DataFrame:
 # retrieval
 
 
-@query("r5_dense_top", """
-WITH q AS (SELECT s.item_id AS query_id, project_id, emb AS q FROM v_signature s JOIN (SELECT item_id FROM v_item WHERE project_id = 1 ORDER BY item_id LIMIT 20) i USING (item_id)),
-c AS (SELECT query_id, item_id, round(list_dot_product(CAST(q AS DOUBLE[]), CAST(emb AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))) * sqrt(list_dot_product(CAST(emb AS DOUBLE[]), CAST(emb AS DOUBLE[])))), 6) AS cosine FROM q JOIN v_signature USING (project_id))
-SELECT query_id, item_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id DESC) AS INTEGER) AS dense_rank FROM c QUALIFY dense_rank <= 50""")
-def r5(v: Views) -> DataFrame:
-    return dense_leg(query_set(v), v("v_signature").select("project_id", "item_id", "emb"))
-
-
 @query("r10_hash_matches_with_source", """
 WITH l AS (SELECT item_id, arg_max(source, {'t': ts, 'e': event_id}) AS source, max(ts) AS ts FROM v_label_event GROUP BY item_id)
 SELECT s.error_hash, s.item_id, CASE l.source WHEN 'rp_defect_update' THEN 'rp' WHEN 'human_ui' THEN 'human' WHEN 'early' THEN 'ai_suggested' END AS provenance FROM v_signature s JOIN v_item i USING (project_id, item_id) LEFT JOIN l ON l.item_id = s.item_id
@@ -93,13 +83,6 @@ def r12(v: Views) -> DataFrame:
     return pairs.select("a.item_id", F.col("b.item_id").alias("other_id"), same("test_case_hash", "same_test_case"), same("exception_fp", "same_fp"), F.abs(F.col("a.launch_number") - F.col("b.launch_number")).alias("launch_distance"))
 
 
-@query("r14_analyze_boost", "SELECT item_id, round(match_score * CASE WHEN launch_name = 'nightly-0' THEN 1.1 ELSE 1.0 END * CASE WHEN launch_id = 5 THEN 1.1 ELSE 1.0 END, 6) AS boosted FROM v_mode_member JOIN v_item USING (item_id)")
-def r14(v: Views) -> DataFrame:
-    rows = v("v_mode_member").select("item_id", "match_score").join(v("v_item").select("item_id", "launch_name", "launch_id"), "item_id")
-    boost = F.when(F.col("launch_name") == "nightly-0", 1.1).otherwise(1.0) * F.when(F.col("launch_id") == 5, 1.1).otherwise(1.0)
-    return rows.select("item_id", F.round(F.col("match_score").cast("double") * boost, 6).alias("boosted"))
-
-
 # aggregations
 
 

@@ -86,9 +86,9 @@ def f11(v: Views) -> DataFrame:
     return v("v_template").where(F.col("pattern").ilike("%PUR%")).select("template_id", "pattern").distinct()
 
 
-@query("f12_signature_search", "SELECT item_id FROM v_signature WHERE exc_text ILIKE '%e3%' OR msg_text ILIKE '%tion%'")
+@query("f12_signature_search", "SELECT item_id FROM v_signature WHERE exc_text ILIKE '%KEYERR%' OR msg_text ILIKE '%tion%'")
 def f12(v: Views) -> DataFrame:
-    return v("v_signature").where(F.col("exc_text").ilike("%e3%") | F.col("msg_text").ilike("%tion%")).select("item_id")
+    return v("v_signature").where(F.col("exc_text").ilike("%KEYERR%") | F.col("msg_text").ilike("%tion%")).select("item_id")
 
 
 @query("f13_llm_event_filter", "SELECT event_id, role FROM v_llm_event WHERE role IN ('click', 'view') AND outcome IN ('guardrail', 'timeout')")

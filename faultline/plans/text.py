@@ -75,14 +75,6 @@ def h2(v: Views) -> DataFrame:
     return v("v_signature").select("item_id", chains.error_hash(prints, F.col("template_ids").cast("array<string>")).alias("error_hash"))
 
 
-@query("r4_trigram_similarity")
-def r4(v: Views) -> DataFrame:
-    """Trigram similarity of each item's exception to the first of its fingerprint."""
-    rows = v("v_signature").select("item_id", "exception_fp", text.trigrams(F.col("exc_text")).alias("t"))
-    first = rows.groupBy("exception_fp").agg(F.min_by("t", "item_id").alias("first"))
-    return rows.join(first, "exception_fp").select("item_id", F.round(text.jaccard(F.col("t"), F.col("first")), 6).alias("similarity"))
-
-
 @query("m9_masked_message")
 def m9(v: Views) -> DataFrame:
     return v("v_log").select("item_id", "pos", chains.masked_message(F.col("message")).alias("masked"))
