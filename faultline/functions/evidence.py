@@ -54,10 +54,14 @@ def discriminant_agrees(codes: Column, message: Column, other_codes: Column, oth
     return same_set(codes, other_codes) & (identifier_jaccard(tokens(message), tokens(other_message)) >= LEAST_JACCARD)
 
 
+def _like(pattern: str):
+    return lambda c: c.rlike(pattern)
+
+
 def _fits(mode: SeedMode, classes: Column, message: Column, lowered: Column) -> Column:
     found = F.lit(False)
     for p in mode.exceptions:
-        found = found | F.exists(classes, lambda c, p=p: c.rlike(p))
+        found = found | F.exists(classes, _like(p))
     for p in mode.messages:
         found = found | message.rlike(f"(?im){p}")
     for w in mode.words:

@@ -418,17 +418,6 @@ def h11(v: Views) -> DataFrame:
     return v("v_label_event").groupBy("item_id").agg(F.round(F.sum(source_weight(F.col("source")) * decay(days)), 6).alias("weight"))
 
 
-@query("d1_inherit_guards", f"""
-WITH m AS (SELECT s.error_hash, i.item_id, i.issue_group, i.start_time FROM v_signature s JOIN v_item i USING (project_id, item_id) WHERE issue_group IS NOT NULL)
-SELECT error_hash, count(*) AS matches, count(DISTINCT issue_group) AS n_groups, arg_max(issue_group, item_id) AS newest_group,
-(date_diff('day', max(start_time), TIMESTAMP '{AS_OF}') <= 180 AND count(*) >= 2 AND count(DISTINCT issue_group) = 1 AND max(issue_group) <> 'ti') AS inherits FROM m GROUP BY error_hash""")
-def d1(v: Views) -> DataFrame:
-    rows = v("v_signature").select("project_id", "item_id", "error_hash").join(v("v_item").where("issue_group IS NOT NULL"), ["project_id", "item_id"])
-    out = rows.groupBy("error_hash").agg(F.count("*").alias("matches"), F.count_distinct("issue_group").alias("n_groups"), F.max_by("issue_group", "item_id").alias("newest_group"), F.max("start_time").alias("newest"))
-    fresh = F.datediff(now(), F.col("newest")) <= 180
-    return out.select("error_hash", "matches", "n_groups", "newest_group", (fresh & (F.col("matches") >= 2) & (F.col("n_groups") == 1) & (F.col("newest_group") != "ti")).alias("inherits"))
-
-
 @query("d5_bands", "SELECT suggestion_id, CASE WHEN confidence >= 0.75 THEN 'auto' WHEN confidence >= 0.45 THEN 'suggest' ELSE 'abstain' END AS band FROM v_suggestion")
 def d5(v: Views) -> DataFrame:
     from ..functions.labels import band
