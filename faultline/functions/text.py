@@ -1,12 +1,11 @@
-"""Column functions that clean and mask log text. Patterns that identify things are fixed values of the domain."""
+"""Column functions that mask log text and compare texts as sets. Patterns that identify things are fixed values of the domain."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What masked and unified text says in place of what was found.
-UUID_MARK, HEX_MARK, NUMBER_MARK = "SPECIALUUID", "SPECIALHEX", "SPECIALNUMBER"
+# What is masked, in order, and what masked text says in its place.
 MASKS = (
     ("<URL>", "https?://[^\\s\"'<>]+"),
     ("<IP>", "\\b(?:\\d{1,3}\\.){3}\\d{1,3}(?::\\d{1,5})?\\b"),
@@ -15,7 +14,6 @@ MASKS = (
     ("<PATH>", "(?:[A-Za-z]:)?(?:[\\\\/][\\w.\\-]+){2,}"),
 )
 MASKED_NUMBER = "(?<![\\w.])[-+]?\\d+(?:\\.\\d+)?(?![\\w.])"
-NUMBER = "\\b\\d+\\b"
 
 
 def mask(message: Column) -> Column:
@@ -25,63 +23,6 @@ def mask(message: Column) -> Column:
     return F.regexp_replace(message, MASKED_NUMBER, "<NUM>")
 
 
-def unify_ids(message: Column) -> Column:
-    message = F.regexp_replace(message, MASKS[2][1], UUID_MARK)
-    return F.regexp_replace(message, "\\b0x[0-9a-fA-F]{12}\\b", HEX_MARK)
-
-
-def without_numbers(message: Column) -> Column:
-    """Whole numbers become a mark; digits inside words go."""
-    return F.regexp_replace(F.regexp_replace(message, NUMBER, NUMBER_MARK), "[0-9]+", "")
-
-
-def without_blank_lines(message: Column) -> Column:
-    return F.array_join(F.filter(F.split(message, "\n"), lambda x: F.trim(x) != ""), "\n")
-
-
-def unique_lines(message: Column) -> Column:
-    """The first of each line that is the same but for blanks at its ends."""
-    return F.array_join(F.array_distinct(F.transform(F.split(message, "\n"), lambda x: F.trim(x))), "\n")
-
-
-def first_lines(message: Column, n: int) -> Column:
-    return F.substring_index(message, "\n", n) if n >= 0 else message
-
-
-def without_brackets(message: Column) -> Column:
-    for pattern in ("\\[[^\\]]*\\]", "\\([^)]*\\)", "\\{[^}]*\\}"):
-        message = F.regexp_replace(message, pattern, "")
-    return message
-
-
-def exceptions(message: Column) -> Column:
-    """Words that end in error, exception or failure, in order of first sight."""
-    words = F.split(F.regexp_replace(F.coalesce(message, F.lit("")), "[^A-Za-z0-9_.$]+", " "), " ")
-    return F.array_distinct(F.filter(words, lambda w: F.lower(w).rlike("^\\S{3,}(error|exception|failure)$")))
-
-
-def status_codes(message: Column) -> Column:
-    """HTTP codes in the places where logs name them, in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(message, F.lit("(?i)(?:status(?: code)?|code|http)\\W{0,3}([1-5]\\d\\d)\\b"), F.lit(1)))
-
-
-def urls(message: Column) -> Column:
-    return F.regexp_extract_all(message, F.lit(MASKS[0][1]), F.lit(0))
-
-
-def stack_line(line: Column) -> Column:
-    """If a line is a frame of a stack: file and line, a numbered line, ``at x(y)`` or ``a.b(c)``."""
-    return line.rlike("[A-Za-z0-9_]+\\.[a-z]{1,4}:\\d+") | line.rlike("\\bline \\d+") | line.rlike("^\\s*at \\S+\\(.*\\)") | line.rlike("^\\s*[\\w$]+(\\.[\\w$]+)+\\([^)]*\\)\\s*$")
-
-
-def description(message: Column) -> Column:
-    return F.array_join(F.filter(F.split(message, "\n"), lambda x: ~stack_line(x)), "\n")
-
-
-def stack(message: Column) -> Column:
-    return F.array_join(F.filter(F.split(message, "\n"), stack_line), "\n")
-
-
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of lower-cased words, each with two blanks before and one after."""
     padded = F.transform(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

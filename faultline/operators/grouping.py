@@ -1,17 +1,19 @@
-"""Operators that go through a project's or launch's rows in order: template mining and grouping of failures.
+"""Operators that go through rows in order: template mining, grouping of failures, near-duplicate logs.
 
-Both are sequential by definition, so a group is one task; their groups are launches and projects, which are bounded by what one
-test run logs. Rows of a group stream in order and only the state is held.
+They are sequential by definition, so a group is one task and is held whole: a launch's failures, an item's logs, which are
+bounded by what one test run does. A project's lines aren't, so they are mined in shards, whose templates are mined again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DEPTH, SIMILARITY, MAX_CHILDREN, MAX_CLUSTERS = 4, 0.4, 100, 4096
 WILDCARD = "<*>"
@@ -41,16 +43,26 @@ class TemplateTree:
             path = (*path, token)
         return path
 
-    def add(self, line: str) -> tuple[int, str]:
-        tokens = line.replace("_", " ").replace("|", " ").split()
-        leaf = self._leaf(tokens, True)
-        best, score = None, -1.0
+    def _best(self, tokens: list[str], leaf: tuple) -> tuple[int | None, float]:
+        """The most similar template of a leaf; of equals that of most wildcards."""
+        best, score = None, (-1.0, -1)
         for c in self.leaves.get(leaf, ()):
             if c in self.templates:
-                same = sum(a == b for a, b in zip(self.templates[c], tokens, strict=True)) / max(len(tokens), 1)
-                if same > score:
-                    best, score = c, same
-        if best is None or score < SIMILARITY:
+                t = self.templates[c]
+                found = (sum(a == b != WILDCARD for a, b in zip(t, tokens, strict=True)) / max(len(tokens), 1), t.count(WILDCARD))
+                if found > score:
+                    best, score = c, found
+        return best, score[0]
+
+    @staticmethod
+    def tokens(line: str) -> list[str]:
+        return line.replace("_", " ").replace("|", " ").split()
+
+    def add(self, line: str) -> tuple[int, str]:
+        tokens = self.tokens(line)
+        leaf = self._leaf(tokens, True)
+        best, score = self._best(tokens, leaf)
+        if best is None or score < SIMILARITY and self.templates[best] != tokens:
             best, self.next = self.next, self.next + 1
             self.templates[best] = tokens
             self.leaves.setdefault(leaf, []).append(best)
@@ -61,100 +73,161 @@ class TemplateTree:
             self.templates.move_to_end(best)
         return best, " ".join(self.templates[best])
 
+    def match(self, line: str) -> str | None:
+        """The template a line belongs to, without learning from it."""
+        tokens = self.tokens(line)
+        best, score = self._best(tokens, self._leaf(tokens, False))
+        fits = best is not None and all(a in (b, WILDCARD) for a, b in zip(self.templates[best], tokens, strict=True))
+        return " ".join(self.templates[best]) if fits or best is not None and score >= SIMILARITY else None
+
+    @classmethod
+    def of(cls, patterns: list[str]) -> TemplateTree:
+        """A tree that holds stored templates again, most frequent first."""
+        tree = cls()
+        for p in patterns:
+            tree.add(p)
+        return tree
 
-def mine_templates(lines: DataFrame, group: str, order: list[str], line: str) -> DataFrame:
-    """(group, template, template_hash, n): the templates of each group's lines and how many lines each took."""
 
-    def mined(frame: pd.DataFrame) -> pd.DataFrame:
+def mine_templates(lines: DataFrame, group: str, order: list[str], line: str, shards: int = 16) -> DataFrame:
+    """(group, template, template_hash, n): the templates of each group's lines and how many lines each took.
+
+    A group's lines are dealt by hash of all but the line over shards that are mined on their own, in order; their templates, of
+    which there are at most ``MAX_CLUSTERS`` a shard, are mined again as lines, most frequent first.
+    """
+
+    def mined(frame: pd.DataFrame, texts, weights) -> pd.DataFrame:
         tree, counts = TemplateTree(), {}
-        for text in frame.sort_values(order)[line]:
+        for text, weight in zip(texts, weights, strict=True):
             if isinstance(text, str) and text.strip():
                 c, _ = tree.add(text)
-                counts[c] = counts.get(c, 0) + 1
+                counts[c] = counts.get(c, 0) + weight
         patterns = {c: " ".join(t) for c, t in tree.templates.items()}
         rows = [(frame[group].iloc[0], p, hashlib.md5(p.encode()).hexdigest(), counts[c]) for c, p in patterns.items()]
-        return pd.DataFrame(rows, columns=[group, "template", "template_hash", "n"])
+        out = pd.DataFrame(rows, columns=[group, "template", "template_hash", "n"])
+        return out.groupby([group, "template", "template_hash"], as_index=False)["n"].sum() if len(out) else out
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        return mined(frame, frame[line], [1] * len(frame))
+
+    def second(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "template"], ascending=[False, True])
+        return mined(frame, frame["template"], frame["n"].astype(int))
+
+    names = [o for o in order if o not in (group, line)]
+    schema = f"{group} {lines.schema[group].dataType.simpleString()}, template string, template_hash string, n long"
+    dealt = lines.select(group, *names, line).withColumn("__shard", F.pmod(F.xxhash64(names[0]) if names else F.xxhash64(line), F.lit(shards)))
+    parts = dealt.groupBy(group, "__shard").applyInPandas(first, schema)
+    return parts.groupBy(group, "template", "template_hash").agg(F.sum("n").alias("n")).groupBy(group).applyInPandas(second, schema)
 
-    kind = lines.schema[group].dataType.simpleString()
-    return lines.select(group, *[o for o in order if o not in (group, line)], line).groupBy(group).applyInPandas(mined, f"{group} {kind}, template string, template_hash string, n long")
+
+class Groups:
+    """Groups of failures with their normalised means side by side."""
+
+    def __init__(self, width: int):
+        self.items: list[list[int]] = []
+        self.templates: list[set] = []
+        self.means = np.zeros((0, width), np.float32)
+
+    @staticmethod
+    def unit(v: np.ndarray) -> np.ndarray:
+        n = float(np.linalg.norm(v))
+        return v.astype(np.float32) if n < 1e-12 else (v / n).astype(np.float32)
+
+    def new(self, items: list[int], vectors: np.ndarray, templates: set) -> None:
+        self.items.append(items)
+        self.templates.append(templates)
+        self.means = np.concatenate((self.means, self.unit(vectors.mean(0))[None]))
+
+    def add(self, k: int, item: int, v: np.ndarray, templates: set) -> None:
+        n = len(self.items[k])
+        self.means[k] = self.unit((self.means[k] * n + v) / (n + 1))
+        self.items[k].append(item)
+        self.templates[k] |= templates
+
+    def nearest(self, v: np.ndarray, least: float) -> int | None:
+        """The group of the greatest cosine of ``least`` or more, the later of equals."""
+        if not self.items:
+            return None
+        cosines = self.means @ v
+        k = len(cosines) - 1 - int(cosines[::-1].argmax())
+        return k if cosines[k] >= least else None
 
 
 def group_failures(items: DataFrame, least: float = 0.83, jaccard: float = 0.5) -> DataFrame:
-    """(launch_id, item_id, group_no) of (launch_id, item_id, exception_fp, emb, template_ids).
+    """(project_id, launch_id, item_id, group_no) of (project_id, launch_id, item_id, exception_fp, emb, template_ids).
 
-    Items of one fingerprint are a group. Items without one (0) join, in order of id, the group whose running mean is nearest at a
-    cosine of ``least`` or more (the later of equals), or found their own. Groups whose means are as near, and whose templates
-    overlap by ``jaccard``, merge once.
+    A launch's items of one fingerprint are a group. Items without one (0) join, in order of id, the group whose running mean is
+    nearest at a cosine of ``least`` or more (the later of equals), or found their own. Then, in one pass, a group joins the first
+    earlier one whose mean is as near and whose templates overlap by ``jaccard``. A null vector is near to nothing.
     """
 
     def grouped(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["exception_fp", "item_id"])
-        groups: list[dict] = []
-
-        def join(g: dict, item: int, v: np.ndarray, t: set) -> None:
-            g["items"].append(item)
-            g["mean"] = (g["mean"] * (len(g["items"]) - 1) + v) / len(g["items"])
-            g["templates"] |= t
-
-        def near(a: np.ndarray, b: np.ndarray) -> float:
-            n = float(np.linalg.norm(a) * np.linalg.norm(b))
-            return float(a @ b) / n if n else 0.0
-
-        by_print: dict = {}
-        loose = []
-        for row in frame.itertuples():
-            v, t = np.asarray(row.emb, np.float32), set(np.asarray(row.template_ids).tolist())
-            if row.exception_fp:
-                if row.exception_fp not in by_print:
-                    by_print[row.exception_fp] = {"items": [], "mean": np.zeros_like(v), "templates": set()}
-                    groups.append(by_print[row.exception_fp])
-                join(by_print[row.exception_fp], row.item_id, v, t)
+        frame = frame.sort_values("item_id")
+        width = max((len(e) for e in frame["emb"] if e is not None), default=1)
+        vectors = {i: np.zeros(width, np.float32) if e is None else np.asarray(e, np.float32) for i, e in zip(frame["item_id"], frame["emb"], strict=True)}
+        templates = {i: set(np.asarray(t).tolist()) if t is not None else set() for i, t in zip(frame["item_id"], frame["template_ids"], strict=True)}
+        groups = Groups(width)
+        known = frame[frame["exception_fp"] != 0]
+        for _, members in known.groupby("exception_fp", sort=True)["item_id"]:
+            ids = members.tolist()
+            groups.new(ids, np.stack([vectors[i] for i in ids]), set().union(*(templates[i] for i in ids)))
+        for i in frame[frame["exception_fp"] == 0]["item_id"]:
+            k = groups.nearest(vectors[i], least)
+            if k is None:
+                groups.new([i], vectors[i][None], set(templates[i]))
             else:
-                loose.append((row.item_id, v, t))
-        for item, v, t in sorted(loose, key=lambda x: x[0]):
-            best, score = None, least
-            for g in groups:
-                if (s := near(g["mean"], v)) >= score:
-                    best, score = g, s
-            if best is None:
-                best = {"items": [], "mean": np.zeros_like(v), "templates": set()}
-                groups.append(best)
-            join(best, item, v, t)
-        kept: list[dict] = []
-        for g in groups:
-            for k in kept:
-                both = k["templates"] | g["templates"]
-                if near(k["mean"], g["mean"]) >= least and both and len(k["templates"] & g["templates"]) / len(both) >= jaccard:
-                    k["items"] += g["items"]
-                    k["templates"] |= g["templates"]
-                    break
+                groups.add(k, i, vectors[i], templates[i])
+        merged = Groups(width)
+        for ids, mean, own in zip(groups.items, groups.means, groups.templates, strict=True):
+            near = np.flatnonzero(merged.means @ mean >= least) if merged.items else ()
+            k = next((k for k in near if merged.templates[k] | own and len(merged.templates[k] & own) >= jaccard * len(merged.templates[k] | own)), None)
+            if k is None:
+                merged.items.append(list(ids))
+                merged.templates.append(set(own))
+                merged.means = np.concatenate((merged.means, mean[None]))
             else:
-                kept.append(g)
-        launch = frame["launch_id"].iloc[0]
-        return pd.DataFrame([(launch, i, n) for n, g in enumerate(kept) for i in g["items"]], columns=["launch_id", "item_id", "group_no"])
-
-    return items.select("launch_id", "item_id", "exception_fp", "emb", "template_ids").groupBy("launch_id").applyInPandas(grouped, "launch_id long, item_id long, group_no int")
+                for i in ids:
+                    merged.add(k, i, vectors[i], templates[i])
+        first = frame.iloc[0]
+        rows = [(first["project_id"], first["launch_id"], i, n) for n, ids in enumerate(merged.items) for i in ids]
+        return pd.DataFrame(rows, columns=["project_id", "launch_id", "item_id", "group_no"])
+
+    columns = ("project_id", "launch_id", "item_id", "exception_fp", "emb", "template_ids")
+    return items.select(*columns).groupBy("project_id", "launch_id").applyInPandas(grouped, "project_id long, launch_id long, item_id long, group_no int")
+
+
+def term_vectors(texts: list[str], idf: bool) -> np.ndarray | None:
+    """Unit vectors of words and word pairs, weighted by smooth inverse document frequency if asked; None without any word."""
+    words = [re.findall(r"\b\w+\b", t) for t in texts]
+    grams = [[*w, *zip(w, w[1:], strict=False)] for w in words]
+    names = {g: k for k, g in enumerate(dict.fromkeys(x for g in grams for x in g))}
+    if not names:
+        return None
+    m = np.zeros((len(texts), len(names)))
+    for i, g in enumerate(grams):
+        for x in g:
+            m[i, names[x]] += 1
+    if idf:
+        m *= np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def drop_near_duplicates(messages: list[str], least: float = 0.95) -> list[int]:
-    """The places that stay when messages of a TF-IDF cosine of ``least`` or more to a later one give way to it."""
-    grams = [[*w, *zip(w, w[1:], strict=False)] for w in (m.lower().split() for m in messages)]
-    words = {g: k for k, g in enumerate(dict.fromkeys(x for g in grams for x in g))}
-    if not words:
+    """The places that stay: each message gives way to the last one that is as near, unless it has been given way to itself; the
+    last message stays. Without any word, all stay."""
+    m = term_vectors(messages, True)
+    if m is None:
         return list(range(len(messages)))
-    m = np.zeros((len(messages), len(words)))
-    for i, g in enumerate(grams):
-        for x in g:
-            m[i, words[x]] += 1
-    m *= np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    near = m @ m.T >= least
-    gone: set[int] = set()
-    for i in range(len(messages)):
-        if i not in gone and any(near[i, j] for j in range(i + 1, len(messages))):
-            gone.add(i)
-    return [i for i in range(len(messages)) if i not in gone]
+    near = m @ m.T >= least - 1e-12
+    kept: set[int] = set()
+    for i in range(len(messages) - 1):
+        if i not in kept:
+            later = np.flatnonzero(near[i, i + 1 :])
+            kept.add(int(i + 1 + later[-1]) if len(later) else i)
+    return sorted(kept | {len(messages) - 1})
 
 
 def unique_logs(logs: DataFrame, least: float = 0.95) -> DataFrame:

@@ -220,11 +220,6 @@ def h10(v: Views) -> DataFrame:
     return v("v_label_event").select("event_id", source_weight(F.col("source")).alias("weight"))
 
 
-@query("h15_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def h15(v: Views) -> DataFrame:
-    return v("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
 # learning and maintenance
 
 

@@ -261,12 +261,6 @@ def s8(v: Views) -> DataFrame:
     return upsert(old, old.where("item_id % 3 = 0").withColumn("issue_type", F.lit("relabelled")), ["item_id"])
 
 
-@query("s10_template_mirror", "SELECT template_id, count(*) AS match_count, max(pattern) AS pattern FROM v_template GROUP BY template_id")
-def s10(v: Views) -> DataFrame:
-    return v("v_template").groupBy("template_id").agg(F.count("*").alias("match_count"), F.max_by("pattern", "pattern").alias("pattern"))
-
-
-# aggregations
 
 
 @query("a1_daily_rollup", """

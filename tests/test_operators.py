@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions import chains, labels, text
+from faultline.functions import chains, cleaning, labels, text
 from faultline.operators.grouping import TemplateTree, drop_near_duplicates, group_failures, mine_templates
 from faultline.operators.relational import as_of, delete_matching, latest, upsert
 
@@ -18,24 +18,43 @@ def test_masks(spark):
     assert one(spark, None, text.mask) is None
 
 
-def test_lines(spark):
-    assert one(spark, "a\n\n \nb", text.without_blank_lines) == "a\nb"
-    assert one(spark, "a \nb\na\n b", text.unique_lines) == "a\nb"
-    trace = "boom\n  at x.y.Z(Z.java:3)\nmore"
-    assert one(spark, trace, text.stack) == "  at x.y.Z(Z.java:3)" and one(spark, trace, text.description) == "boom\nmore"
+def test_chains(spark):
+    message = "java.lang.NullPointerException: x\nCaused by: a.b.Io$1Failure, status code: 503"
+    chain = one(spark, message, lambda c: chains.exception_chain(cleaning.exceptions(F.replace(c, F.lit("$1"), F.lit(""))), c))
+    assert chain == ["a.b.IoFailure", "java.lang.NullPointerException"]
+    assert one(spark, "", lambda c: chains.exception_chain(cleaning.exceptions(c), c)) == []
+    assert one(spark, "a.B$$Lambda$12.run", chains.normal_class) == "a.B"
 
 
-def test_exceptions_and_codes(spark):
-    message = "java.lang.NullPointerException: x\nCaused by: a.b.IOFailure, status code: 503, HTTP 404, status 503"
-    assert one(spark, message, text.exceptions) == ["java.lang.NullPointerException", "a.b.IOFailure"]
-    assert one(spark, message, text.status_codes) == ["503", "404"]
-    chain = one(spark, message, lambda c: chains.exception_chain(text.exceptions(c), c))
-    assert chain == ["a.b.IOFailure", "java.lang.NullPointerException"]
-    assert one(spark, "", lambda c: chains.exception_chain(text.exceptions(c), c)) in ([], [""])
+def test_frames(spark):
+    stack = " at java.util.List.get(List.java:1)\n at a.b.C$1.d(C.java:1)\n at a.b.C.d(C.java:2)\n  File \"lib/x.py\", line 3, in run\n at org.junit.R.r(R.java:9)\nno frame\n at z.y.X.w(X.java:5)"
+    assert one(spark, stack, chains.frames) == ["a.b.C.d", "x.run", "z.y.X.w"]
+    assert one(spark, stack, lambda c: chains.frames(c, F.array(F.lit("z.y")))) == ["z.y.X.w", "a.b.C.d", "x.run"]
+    assert one(spark, None, chains.frames) == []
 
 
-def test_frames(spark):
-    assert one(spark, " at a.b.C.d(C.java:1)\n at a.b.C.d(C.java:2)\n  File \"x.py\", line 3, in run", chains.frames) == ["a.b.C.d", "run"]
+def test_messages(spark):
+    assert one(spark, "expected: 5 but was: 7\nrow 12", chains.masked_message) == "expected <VAL> row <NUM>"
+    assert one(spark, "actual 12 rows", chains.masked_message) == "actual <NUM> rows"
+    assert one(spark, "\n".join(f"l{i}" for i in range(12)), chains.masked_message) == " ".join(f"l{i}" for i in range(8))
+    got = spark.range(1).select(chains.folded_context(F.array(*[F.lit(f"slow  query {i}\nx") for i in range(7)], F.lit(" "))).alias("c")).first().c
+    assert got == " ".join(["ctx slow query <NUM>"] * 4)
+
+
+def test_documents(spark):
+    lit = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    doc = lambda m, n: spark.range(1).select(chains.document(F.lit("t"), lit("E"), F.lit(m), lit("f.g"), lit(*[f"t{i}" for i in range(n)]), lit("503")).alias("d")).first().d
+    assert doc("", 0) == "TEST: t\nEXC: E\nMSG: <no message>\nFRAMES: f.g\nCODES: HTTP_503"
+    assert doc("m", 40).count(" t") == 31 and len(doc("m" * 1900, 30)) <= 2000
+    long = doc("m" * 5000, 5)
+    assert len(long) == 2000 and long.endswith("TEMPLATES: t0 t1 t2 t3 t4\nCODES: HTTP_503")
+
+
+def test_xxh3(spark):
+    import xxhash
+
+    rows = spark.createDataFrame([("a",), ("",), (None,), ("é" * 50,)], "x string").select("x", chains.xxh3(F.col("x")).alias("h")).collect()
+    assert all((r.h is None) if r.x is None else r.h % (1 << 64) == xxhash.xxh3_64_intdigest(r.x.encode()) for r in rows)
 
 
 @pytest.mark.parametrize(("label", "group"), [("PB001", "pb"), ("ab_x", "ab"), ("ti001", None), ("", None), (None, None), ("nd", "nd")])
@@ -76,6 +95,14 @@ def test_templates():
     assert ids[0] == ids[1] == ids[3] != ids[2] and tree.add("open file delta now")[1] == "open file <*> now"
 
 
+def test_templates_are_found_again():
+    tree = TemplateTree()
+    lines = [f"user {k} did {w} in room {k % 5}" for k in range(50) for w in ("open", "close")] + [f"error at step {k}" for k in range(20)]
+    names = [tree.add(x)[1] for x in lines]
+    again = TemplateTree.of([" ".join(t) for t in tree.templates.values()])
+    assert sum(again.match(x) is not None for x in lines) >= 0.95 * len(lines) and again.match("nothing like that here at all") is None and len(set(names)) > 1
+
+
 def test_mined_templates(spark):
     rows = spark.createDataFrame([(1, i, f"step {w} done") for i, w in enumerate(("one", "two", "three"))] + [(2, 0, "step one done")], "p long, pos int, line string")
     got = {(r.p, r.template): r.n for r in mine_templates(rows, "p", ["pos"], "line").collect()}
@@ -85,14 +112,17 @@ def test_mined_templates(spark):
 def test_groups(spark):
     e = np.eye(3)
     rows = [(1, 1, 7, e[0].tolist(), [1]), (1, 2, 7, e[0].tolist(), [1]), (1, 3, 0, (e[0] + 0.1 * e[1]).tolist(), [2]), (1, 4, 0, e[2].tolist(), [3]), (2, 5, 0, e[0].tolist(), [1])]
-    df = spark.createDataFrame(rows, "launch_id long, item_id long, exception_fp int, emb array<double>, template_ids array<int>")
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, 1, 9, 7, e[2].tolist(), [1])], "project_id long, launch_id long, item_id long, exception_fp int, emb array<double>, template_ids array<int>")
     got = {r.item_id: (r.launch_id, r.group_no) for r in group_failures(df).collect()}
-    assert got[1] == got[2] == got[3] and got[4] != got[1] and got[5] == (2, 0)
+    assert got[1] == got[2] == got[3] and got[4] != got[1] and got[5] == (2, 0) and got[9] == (1, 0)
 
 
 def test_near_duplicate_logs_give_way_to_the_last():
     assert drop_near_duplicates(["a b c", "x y", "a b c", "", ""]) == [1, 2, 3, 4]
-    assert drop_near_duplicates([]) == [] and drop_near_duplicates(["", ""]) == [0, 1]
+    assert drop_near_duplicates(["", ""]) == [0, 1] and drop_near_duplicates(["a"]) == [0]
+    # 0 is near 1, 1 is near 2, 0 isn't near 2: 1 has been given way to, so it stays
+    texts = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in (0, 2, 4)]
+    assert drop_near_duplicates(texts, 0.91) == [1, 2]
 
 
 def test_streams(spark, tmp_path):
