@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.evidence import discriminant_agrees, seed_mode
+from ..functions.evidence import discriminant_agrees, identifier_jaccard, same_set, seed_mode, tokens
 from ..functions.labels import band, base_group
 from ..functions.seeds import SEED_MODES
 from ..functions.text import jaccard
@@ -252,6 +252,45 @@ def ladder(v: Views, model: DataFrame | None = None) -> DataFrame:
     return rows.select("query_id", out.alias("d")).select("query_id", "d.*")
 
 
+def model_decision(v: Views, model: DataFrame, sure: float = 0.75) -> DataFrame:
+    """(query_id, label, issue_type, confidence, abstain_reason, relevant_item_id) of a model's (query_id, guess, max_prob).
+
+    Below 0.45 there is no answer, unless the best candidate has the query's hash, a person's label and agrees on what masking
+    hides: then its label is suggested, at 0.45. Below ``sure``, a best candidate with nothing of structure in common takes the
+    answer back. The item named is the best candidate of the group.
+    """
+    rows = model.join(query_set(v).select("query_id", F.col("status_codes").alias("codes"), F.col("msg_text").alias("message")), "query_id")
+    c = stage_c(v).withColumn("base", base_group(F.col("issue_type")))
+    first = c.where("place = 1").select("query_id", F.col("item_id").alias("top_item"), F.col("issue_type").alias("top_type"), F.col("base").alias("top_base"), "label_source", "same_error_hash", "same_exception_fp", "jaccard_templates", F.col("msg_text").alias("top_message"))
+    same = c.join(model.select("query_id", "guess"), "query_id").where("base = guess").groupBy("query_id").agg(F.min_by("item_id", "place").alias("item"), F.min_by("issue_type", "place").alias("type"))
+    m = hash_matches(v)
+    gate = m.groupBy("query_id").agg((~F.bool_or(F.col("agrees")) & (F.max("fp") != 0)).alias("blocked"), F.min_by("status_codes", "place").alias("hash_codes"))
+    x = rows.join(first, "query_id", "left").join(same, "query_id", "left").join(gate, "query_id", "left")
+    near = identifier_jaccard(tokens(F.coalesce("message", F.lit(""))), tokens(F.coalesce("top_message", F.lit("")))) >= 0.5
+    coded = (F.size("codes") == 0) | F.coalesce(same_set(F.col("codes"), F.col("hash_codes")), F.lit(False))
+    floor = F.coalesce(F.col("same_error_hash") & F.col("label_source").isin("rp", "human") & ~F.coalesce("blocked", F.lit(False)) & coded & near & F.col("top_base").isNotNull(), F.lit(False))
+    bare = F.coalesce(~F.col("same_exception_fp") & ~F.col("same_error_hash") & (F.col("jaccard_templates") <= 0) & ~near, F.lit(False))
+    locator = F.create_map(*[F.lit(y) for pair in LOCATORS.items() for y in pair])
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("max_prob")))
+    unsure = (p < 0.45) | ~F.col("guess").isin(*LOCATORS)
+    none = lambda t: F.lit(None).cast(t)
+    answer = lambda label, kind, conf, reason, item: F.struct(label.alias("label"), kind.alias("issue_type"), F.round(conf, 6).alias("confidence"), reason.alias("abstain_reason"), item.cast("long").alias("relevant_item_id"))
+    ti = F.lit("ti")
+    out = (
+        F.when(unsure & floor, answer(F.col("top_base"), F.col("top_type"), F.lit(0.45), none("string"), F.col("top_item"))).when(unsure, answer(ti, ti, p, F.lit("gbm_below_suggest"), none("long")))
+        .when((p < sure) & bare, answer(ti, ti, p, F.lit("gbm_boilerplate_only_neighbor"), none("long"))).otherwise(answer(F.col("guess"), F.coalesce("type", locator[F.col("guess")]), p, none("string"), F.col("item")))
+    )
+    return x.select("query_id", out.alias("d")).select("query_id", "d.*")
+
+
+@query("d6_model_decision")
+def d6(v: Views) -> DataFrame:
+    """For a stand-in model that guesses by the item's number."""
+    q = query_set(v).select("query_id")
+    guess = F.element_at(F.array(*[F.lit(x) for x in LOCATORS]), ((F.col("query_id") / 50) % 4 + 1).cast("int"))
+    return model_decision(v, q.select("query_id", guess.alias("guess"), ((F.col("query_id") / 50) % 10 / 10.0).alias("max_prob")))
+
+
 @query("d4_decision_ladder", INHERIT_SQL + ", " + MODES_SQL + f""", s AS (SELECT item_id AS query_id, {_seed_sql()} AS key FROM v_signature WHERE item_id % 50 = 0),
 cat(key, label, confidence) AS (VALUES """ + ", ".join(f"('{x.key}', '{x.label}', {x.confidence}::DOUBLE)" for x in SEED_MODES) + f"""),
 r AS (SELECT q.query_id, i.relevant_item_id, i.issue_type AS h, b.mode_id, b.issue_type AS k, least(0.93, purity * score) AS kc, cat.label, cat.confidence AS sc FROM q LEFT JOIN inherits i USING (query_id) LEFT JOIN (SELECT * FROM b WHERE {_DECIDES}) b USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN cat ON cat.key = s.key AND cat.confidence >= 0.7)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import base_group, decay, difference_lower, shown_group, source_weight, wilson
 from ..functions.text import jaccard
 from ..operators.relational import as_of, delete_matching, latest, top_k, upsert
+from ..sources.shared import shared_dir
 from ..sources.views import AS_OF
 from .registry import Views, query
 
@@ -215,9 +218,12 @@ def w4(v: Views) -> DataFrame:
 
 @query("w6_chronological_split", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) <= floor(0.8 * count(*) OVER ()) AS train FROM v_label_event")
 def w6(v: Views) -> DataFrame:
-    """Places in time order without one task: range partitions, their counts, then places inside each."""
+    """Places in time order without one task: range partitions, their counts, then places inside each. The partitions are written
+    once, so that both uses see the same."""
     rows = v("v_label_event").select("event_id", "ts")
-    ranged = rows.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id())
+    path = f"{shared_dir(rows.sparkSession)}/split-{uuid.uuid4().hex}"
+    rows.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
     before = ranged.groupBy("part").agg(F.count("*").alias("n"))
     earlier = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
     placed = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("ts", "event_id"))).join(F.broadcast(earlier), "part")

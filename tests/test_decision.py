@@ -124,3 +124,39 @@ def test_seed_modes(spark):
     assert [r.s.key if r.s else None for r in df.select(seed_mode(F.col("c"), F.col("m")).alias("s")).collect()] == [c[2] for c in cases]
     with pytest.raises(ValueError):
         check_catalog(SEED_MODES[:49])
+
+
+def test_calibration(spark):
+    from faultline.plans.learning import calibrate
+
+    rows = [(k, 1, (k % 20) / 20, (k * 7 % 20) < k % 20) for k in range(400)] + [(1000 + k, 2, (k % 10) / 10, None if k % 2 else k % 10 > 4) for k in range(100)]
+    out = {r.id: r.calibrated for r in calibrate(spark.createDataFrame(rows, "id int, p int, s double, h boolean"), "p", "s", "h").collect()}
+    assert len(out) == 500
+
+    def fitted(points):  # the greatest of all lower averages, which is what pooling comes to
+        xs = sorted(points)
+        total = lambda a, b: sum(points[x][0] for x in xs[a : b + 1]) / sum(points[x][1] for x in xs[a : b + 1])
+        return {x: max(min(total(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i, x in enumerate(xs)}
+
+    own, every = {}, {}
+    for _, p, s, h in rows:
+        if h is not None:
+            for d in ([own] if p == 1 else []) + [every]:
+                n = d.get(s, (0, 0))
+                d[s] = (n[0] + h, n[1] + 1)
+    own, every = fitted(own), fitted(every)
+    for i, p, s, _ in rows:
+        assert out[i] == pytest.approx((own if p == 1 else every)[s]), (i, p, s)
+    few = spark.createDataFrame(rows[:20], "id int, p int, s double, h boolean")
+    assert all(r.calibrated == r.s for r in calibrate(few, "p", "s", "h").collect())
+
+
+def test_models_learn_what_divides(spark):
+    from faultline.plans.learning import out_of_fold, predict, train
+
+    rows = [([float(k % 4), float(k % 7)], ("ab", "nd", "pb", "si")[k % 4], k // 4 % 2) for k in range(80)]
+    df = spark.createDataFrame(rows, "features array<double>, label string, fold int")
+    out = predict(train(df, rounds=2, depth=2, rate=0.5), df).collect()
+    assert all(r.guess == r.label and abs(sum(r.probs.values()) - 1) < 1e-9 and r.max_prob == max(r.probs.values()) for r in out)
+    assert train(df.limit(20)) == {} and train(df.where("label = 'ab'").union(df.where("label = 'ab'")).union(df.where("label = 'ab'"))) == {}
+    assert sum(r.guess == r.label for r in out_of_fold(df, "fold", 2, rounds=1, depth=2, rate=0.5, least=20).collect()) == 80
