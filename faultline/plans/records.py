@@ -191,7 +191,7 @@ def j19(v: Views) -> DataFrame:
 
 @query("j23_item_facts", "SELECT i.item_id, launch_name, start_time, error_hash, exc_text FROM v_signature s JOIN v_item i USING (project_id, item_id) WHERE i.item_id = 26")
 def j23(v: Views) -> DataFrame:
-    return v("v_signature").where("item_id = 26").join(v("v_item").drop("item_id_"), ["project_id", "item_id"]).select("item_id", "launch_name", "start_time", "error_hash", "exc_text")
+    return v("v_signature").where("item_id = 26").join(v("v_item"), ["project_id", "item_id"]).select("item_id", "launch_name", "start_time", "error_hash", "exc_text")
 
 
 @query("r11_candidates", "WITH m AS (SELECT 0 AS kind, mode_id AS id FROM v_mode WHERE project_id = 1 AND status <> 'retired' ORDER BY mode_id LIMIT 10), i AS (SELECT 1 AS kind, item_id AS id FROM v_item WHERE project_id = 1 ORDER BY item_id DESC LIMIT 20) SELECT * FROM (SELECT * FROM m UNION ALL SELECT * FROM i) ORDER BY kind, CASE WHEN kind = 0 THEN id ELSE -id END LIMIT 30")
