@@ -24,13 +24,13 @@ from .storage import Workspace
 
 _U = np.uint64
 #: Vectors of a cell or component that one side of a task holds: the most, and the least where a group is cut at all.
-BLOCK, LEAST_BLOCK = 2048, 128
+BLOCK, LEAST_BLOCK = 2048, 64
 
 
 def blocks(n: Column) -> Column:
     """Into how many blocks a group of n vectors is cut: a block grows with the root of the group, so that neither one task nor
     the number of visits of a vector grows as the group does, until blocks are full."""
-    return F.ceil(n / F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(4 * F.sqrt(n))))).cast("int")
+    return F.ceil(n / F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(2 * F.sqrt(n))))).cast("int")
 
 
 @dataclass(frozen=True)
