@@ -23,14 +23,17 @@ from .shingles import mix
 from .storage import Workspace
 
 _U = np.uint64
-#: Vectors of a cell or component that one side of a task holds: the most, and the least where a group is cut at all.
-BLOCK, LEAST_BLOCK = 2048, 64
+#: Vectors of a cell or component that one side of a task holds at most.
+BLOCK = 2048
+#: A block holds so many times the root of its group, but so many vectors at least: cells tell a row for each visit of a linked
+#: vector, so theirs are larger; components tell one number a vector.
+OF_CELLS, OF_COMPONENTS = (4, 128), (2, 64)
 
 
-def blocks(n: Column) -> Column:
+def blocks(n: Column, times: int, least: int) -> Column:
     """Into how many blocks a group of n vectors is cut: a block grows with the root of the group, so that neither one task nor
     the number of visits of a vector grows as the group does, until blocks are full."""
-    return F.ceil(n / F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(2 * F.sqrt(n))))).cast("int")
+    return F.ceil(n / F.least(F.lit(BLOCK), F.greatest(F.lit(least), F.ceil(times * F.sqrt(n))))).cast("int")
 
 
 @dataclass(frozen=True)
@@ -230,12 +233,12 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, lattice: Lattice =
     classes = space.write(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "rep", "copies", "v"), "classes")
     keys = space.write(classes.select("id", "v").mapInArrow(_keys(lattice), "key long, own boolean, id long"), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("stored")).where("n > 1 AND stored > 0")
-    sizes = space.write(sizes.select("key", blocks(F.col("n")).alias("blocks")), "sizes")
+    sizes = space.write(sizes.select("key", blocks(F.col("n"), *OF_CELLS).alias("blocks")), "sizes")
     dealt = _dealt(keys, sizes, "own", "id").join(classes.select("id", "v"), "id").select("key", "i", "j", "block", "own", "id", "v")
     links = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(cosine), "a long, b long").distinct()
     linked = components(space.write(links, "links"), space)
     members = space.write(linked.withColumnRenamed("component", "key"), "members")
-    sizes = space.write(members.groupBy("key").agg(blocks(F.count("*")).alias("blocks")), "sizes")
+    sizes = space.write(members.groupBy("key").agg(blocks(F.count("*"), *OF_COMPONENTS).alias("blocks")), "sizes")
     inside = _dealt(members, sizes, "id").join(classes.select("id", "copies", "v"), "id").select("key", "i", "j", "block", "id", "copies", "v")
     counts = inside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_counted(cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     named = members.join(classes.select("id", "rep"), "id").groupBy("key").agg(F.min("rep").alias("component"))
