@@ -347,3 +347,55 @@ def cleaned_log(message: Column) -> Column:
         )))
 
     return let(unified(basic(F.coalesce(message, F.lit("")))), record)
+
+
+def humps(word: Column) -> Column:
+    """The word cut before each capital that begins a hump."""
+    return F.regexp_extract_all(word, F.lit("[A-Z][^A-Z]+|(?:[^A-Z]|[A-Z](?![^A-Z]))+"), F.lit(0))
+
+
+def _segments(word: Column) -> Column:
+    return F.split(word, "\\.")
+
+
+def with_methods(text: Column) -> Column:
+    """After each dotted name of three parts and more whose last has four characters: its last two parts, and its last."""
+    def step(line: Column, name: Column) -> Column:
+        parts_ = _segments(name)
+        longer = F.concat(name, F.lit(" "), F.element_at(parts_, -2), F.lit("."), F.element_at(parts_, -1), F.lit(" "), F.element_at(parts_, -1), F.lit(" "))
+        alone = F.concat(F.lit("(?U)\\b(?<!\\.)\\Q"), name, F.lit("\\E(?!\\.)\\b"))
+        return F.regexp_replace(line, alone, F.regexp_replace(longer, "([\\\\$])", "\\\\$1"))
+
+    def of(line: Column) -> Column:
+        names = F.filter(words(line, lower=False), lambda w: (F.size(_segments(w)) > 2) & (F.length(F.element_at(_segments(w), -1)) > 3))
+        short_first = F.array_sort(F.transform(names, lambda w, i: F.struct(F.size(_segments(w)).alias("n"), i.alias("i"), w.alias("w"))))
+        return F.aggregate(short_first, line, lambda x, n: step(x, n.w))
+
+    return joined(F.transform(lines_of(text), of))
+
+
+def name_words(name: Column) -> Column:
+    """A test's name as words: humps apart, dotted names with their class and method."""
+    def of(w: Column) -> Column:
+        dotted = F.concat(F.filter(F.split(with_methods(w), " "), lambda x: x != ""), humps(F.element_at(_segments(w), -1)))
+        return F.when(F.instr(w, ".") == 0, humps(w)).otherwise(dotted)
+
+    found = F.flatten(F.transform(words(F.translate(name, "-_", "  "), lower=False, unique=False), of))
+    return F.array_join(F.filter(F.transform(found, strip), lambda x: x != ""), " ")
+
+
+def test_methods(text: Column) -> Column:
+    """Names of test methods and spec files, sorted, without those that hold an exception. By a quirk that is kept, a spec file
+    gives the first two characters of its name, each for itself."""
+    methods = F.regexp_extract_all(text, F.lit("(?U)\\b[^\\s()/\\\\:]+(?:Test|Step)s?\\.[^\\s()/\\\\:]*"), F.lit(0))
+    specs = F.regexp_extract_all(text, F.lit("(?U)\\b[^\\s()/\\\\:]+\\.(?:spec|cy)\\.[jt]s\\b"), F.lit(0))
+    chars = F.filter(F.flatten(F.transform(specs, lambda s: F.array(F.substr(s, F.lit(1), F.lit(1)), F.substr(s, F.lit(2), F.lit(1))))), lambda c: strip(c) != "")
+    return F.array_sort(F.array_distinct(F.filter(F.concat(methods, chars), lambda m: F.size(exceptions(m)) == 0)))
+
+
+def prepared_log(message: Column) -> Column:
+    """Views of a log's message half: its trace, URLs, the text without them, paths, codes, exceptions after numbers are gone."""
+    return let(cleaned_log(message), lambda r: F.struct(
+        r.msg.alias("exception_message"), r.stack_raw.alias("stacktrace"), r.urls.alias("urls"), without_urls(r.msg, F.array_distinct(r.urls)).alias("no_urls"), F.array_join(r.paths, " ").alias("paths"),
+        F.array_join(r.status_codes, " ").alias("status_codes"), F.array_join(exceptions(without_numbers(r.msg)), " ").alias("exceptions"),
+    ))
