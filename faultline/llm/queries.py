@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .conversation_repair import digests, repair_conversations
 from .embedding_dedup import embedding_dedup
 from .license_scan import license_scan
-from .line_dedup import line_dedup
+from .line_dedup import NULL_ID, line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
-from .oracle import LINE_DEDUP, quality_rules_sql, url_filters_sql
+from .oracle import CONVERSATION_REPAIR, LINE_DEDUP, quality_rules_sql, url_filters_sql
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -81,5 +82,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op7_embedding_dedup, op8_secret_scan, op9_mixing, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of the rows, by the hash of their place; nulls become one space."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    text, how = F.coalesce("text", F.lit(" ")), F.crc32(place) % 20
+    rows = conversations.select("conv_id", "turn", how.alias("how"), F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text")).where("how <> 0")
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", "how", F.when(F.col("how") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("how") == 3, 1).otherwise(0)))).select("conv_id", "turn", "role", "text")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = columns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged(conversations))
+    every = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("conv")).distinct()
+    rows = every.join(found.summary, "conv", "left").join(digests(found.pieces), "conv", "left")
+    numbers = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    conv = F.when(F.col("conv") != NULL_ID, F.col("conv")).alias("conv_id")
+    return rows.select(conv, *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op7_embedding_dedup, op8_secret_scan, op9_mixing, op10_packing, op12_conversation_repair)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP, "op12_conversation_repair": CONVERSATION_REPAIR}
