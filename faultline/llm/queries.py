@@ -14,13 +14,15 @@ from .license_scan import license_scan
 from .line_dedup import NULL_ID, line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
-from .oracle import CONVERSATION_REPAIR, LINE_DEDUP, quality_rules_sql, url_filters_sql
+from .oracle import CONVERSATION_REPAIR, LINE_DEDUP, RANKED_SEARCH, WARC, quality_rules_sql, url_filters_sql
 from .packing import pack
 from .quality_rules import quality_rules
+from .ranked_search import build_index, ranked_search
 from .secret_scan import secret_scan
-from .storage import columns
+from .storage import Workspace, columns
 from .suffix_dedup import suffix_dedup
 from .url_filters import PATTERN_RULES, host_rule, url_filters
+from .warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "warc").path + "/archives"
+    write_archives(columns(table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Conversations with a fault in a quarter of the rows, by the hash of their place; nulls become one space."""
     place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
@@ -102,5 +110,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(conv, *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op7_embedding_dedup, op8_secret_scan, op9_mixing, op10_packing, op12_conversation_repair)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP, "op12_conversation_repair": CONVERSATION_REPAIR}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return ranked_search(index, columns(table(spark, sf_dir, "benchmark"), "item_id", "text"), 50)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_suffix_dedup, op3_url_filters, op4_ngram_join, op5_line_dedup, op6_license_scan, op7_embedding_dedup, op8_secret_scan, op9_mixing, op10_packing,
+        op11_warc, op12_conversation_repair, op13_ranked_search,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules_sql(), "op3_url_filters": url_filters_sql(HOST_RULES), "op5_line_dedup": LINE_DEDUP,
+    "op11_warc": WARC, "op12_conversation_repair": CONVERSATION_REPAIR, "op13_ranked_search": RANKED_SEARCH,
+}

@@ -67,13 +67,18 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words ``[^\\x20\\x09-\\x0D]+`` of some texts, A-Z lowered, and where each text's words begin."""
+#: Which bytes belong to words ``[^\\x20\\x09-\\x0D]+``, and to terms of ASCII letters, digits and all beyond ASCII.
+IN_WORDS = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+IN_TERMS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray, solids: np.ndarray = IN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, the runs of ``solids``, A-Z lowered, and where each text's words begin."""
     base, n = int(offsets[0]), len(offsets) - 1
     b = data[base : int(offsets[-1])]
     if not len(b):
         return np.zeros(0, _U), np.zeros(n + 1, np.int64)
-    solid = (b != 32) & ((b < 9) | (b > 13))
+    solid = solids[b]
     cut = np.zeros(len(b) + 1, bool)
     cut[offsets - base] = True
     starts = np.flatnonzero(solid & (np.concatenate(([True], ~solid[:-1])) | cut[:-1]))
