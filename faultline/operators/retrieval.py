@@ -1,8 +1,7 @@
 """Hybrid retrieval: a lexical and a dense ranking, fused by reciprocal ranks.
 
-Queries are a stated set that grows with the items. Items stay where they lie: they are dealt over salts, and each query visits
-every salt of its project, so a large project is not one task; Spark broadcasts the queries while they are few. A partition keeps
-the best of each query before anything moves.
+Queries are a stated set that grows with the items. The dense leg asks an inverted-file index of vectors,
+exactly; the lexical leg asks a positional index, and trigrams of exceptions where that has nothing.
 """
 
 from __future__ import annotations
@@ -11,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
+from . import lexical_index
 from .relational import top_k
+from .vector_index import build_index, search
 
 LEG = 50
 RRF_K = 60
-SALTS = 32
-# Weights of the fields.
-WEIGHTS = {"exc_text": 1.0, "msg_text": 0.4}
 LEAST_TRIGRAM = 0.3
 
 
@@ -30,26 +28,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
-    """(query_id, item_id, cosine, dense_rank): the k nearest other items of the query's project."""
-    asked = queries.select("query_id", "project_id", F.col("emb").alias("q_emb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = items.select("project_id", "item_id", "emb", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    near = asked.join(dealt, ["project_id", "salt"]).where("query_id <> item_id AND emb IS NOT NULL AND q_emb IS NOT NULL")
-    near = near.select("query_id", "item_id", F.round(cosine(F.col("q_emb"), F.col("emb")), 6).alias("cosine"))
-    return top_k(near, ["query_id"], [F.desc("cosine"), F.desc("item_id")], k, "dense_rank")
+    """(query_id, item_id, cosine, dense_rank): the k nearest other items of the query's project, exactly."""
+    return search(build_index(items.select("project_id", "item_id", "emb")), queries, k)
 
 
-def lexical_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, item_id, lex_score): items that hold every term of the query, scored by weighted frequency.
-
-    Words meet the asked terms before they are counted, so only those count that a query of their project asks for.
-    """
-    terms = queries.select("query_id", "project_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.split(F.lower(c), "[^a-z]+").alias("words")) for c, w in WEIGHTS.items()])
-    words = items.select("project_id", "item_id", F.inline(fields)).select("project_id", "item_id", "weight", F.explode("words").alias("term")).where("term <> ''")
-    asked = words.join(terms.select("project_id", "term").distinct(), ["project_id", "term"], "left_semi")
-    index = asked.groupBy("project_id", "item_id", "term").agg(F.sum("weight").alias("score"))
-    scored = terms.join(index, ["project_id", "term"]).where("query_id <> item_id").groupBy("query_id", "item_id", "n_terms").agg(F.count("*").alias("hits"), F.sum("score").alias("score"))
-    return scored.where("hits = n_terms").select("query_id", "item_id", F.round("score", 6).alias("lex_score"))
+def lexical_hits(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
+    """(query_id, item_id, lex_score): the k best rows of the query's project that hold what its web query asks for, by cover
+    density over four weighted fields. A row's status codes are words of its message."""
+    codes = F.transform("status_codes", lambda c: F.concat(F.lit("HTTP_"), c.cast("string")))
+    rows = items.select("project_id", "item_id", "exc_text", F.concat_ws(" ", "msg_text", codes).alias("msg_text"), "frames_text", "tmpl_text")
+    return lexical_index.search(lexical_index.build_index(rows), queries.select("query_id", "project_id", "terms"), k).drop("sparse_rank")
 
 
 def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -66,7 +54,7 @@ def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 def sparse_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
     """(query_id, item_id, lex_score, sparse_rank): the lexical hits, or for queries without any those by trigrams."""
-    hits = lexical_hits(queries, items)
+    hits = lexical_hits(queries, items, k)
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return top_k(hits.union(trigram_hits(rest, items)), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
 

@@ -36,12 +36,15 @@ m AS (SELECT *, same_codes AND CASE WHEN len(ti) > 0 OR len(ui) > 0 THEN {_SETS.
 
 
 def hash_matches(v: Views) -> DataFrame:
-    """The ten newest labelled items of each query's error hash, and if they agree with it on what masking hides."""
+    """The ten newest labelled items of each query's error hash, and if they agree with it on what masking hides. A hash is cut to
+    its eleven newest first, of which the query itself may be one, so a query meets no more however many items share its hash."""
     q = query_set(v).select("query_id", "project_id", "error_hash", F.col("exception_fp").alias("fp"), F.col("status_codes").alias("codes"), F.col("msg_text").alias("message"))
     known = v("v_item").where("issue_type IS NOT NULL").select("project_id", "item_id", "issue_type")
     others = v("v_signature").select("project_id", "item_id", "error_hash", "status_codes", "msg_text").join(known, ["project_id", "item_id"])
-    pairs = q.join(others, ["project_id", "error_hash"]).where("query_id <> item_id").join(labels(v), "item_id", "left")
-    best = top_k(pairs, ["query_id"], [F.desc_nulls_last("label_ts"), F.desc("item_id")], 10, "place")
+    newest = [F.desc_nulls_last("label_ts"), F.desc("item_id")]
+    heads = top_k(others.join(labels(v), "item_id", "left"), ["project_id", "error_hash"], newest, 11, "of_hash").drop("of_hash")
+    pairs = q.join(heads, ["project_id", "error_hash"]).where("query_id <> item_id")
+    best = top_k(pairs, ["query_id"], newest, 10, "place")
     return best.withColumn("agrees", discriminant_agrees(F.col("codes"), F.col("message"), F.col("status_codes"), F.col("msg_text")))
 
 

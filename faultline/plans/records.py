@@ -379,10 +379,11 @@ def h13(v: Views) -> DataFrame:
 KNOTS = ((0.1, 0.05), (0.4, 0.3), (0.7, 0.8), (0.9, 0.95))
 
 
-@query("h14_interpolation", "SELECT suggestion_id, round(CASE WHEN confidence <= 0.1 THEN 0.05 " + " ".join(f"WHEN confidence <= {b} THEN {y} + (confidence - {a}) * ({z} - {y}) / ({b} - {a})" for (a, y), (b, z) in zip(KNOTS[:-1], KNOTS[1:], strict=True)) + " ELSE 0.95 END::DOUBLE, 6) AS calibrated FROM v_suggestion")
+@query("h14_interpolation", "SELECT suggestion_id, round(CASE WHEN confidence <= 0.1e0 THEN 0.05e0 " + " ".join(f"WHEN confidence <= {b}e0 THEN {y}e0 + (confidence - {a}e0) * ({z}e0 - {y}e0) / ({b}e0 - {a}e0)" for (a, y), (b, z) in zip(KNOTS[:-1], KNOTS[1:], strict=True)) + " ELSE 0.95e0 END, 7) AS calibrated FROM v_suggestion")
 def h14(v: Views) -> DataFrame:
-    """Straight lines between a calibration's knots, flat beyond them."""
-    return v("v_suggestion").select("suggestion_id", F.round(interpolated(F.col("confidence"), KNOTS), 6).alias("calibrated"))
+    """Straight lines between a calibration's knots, flat beyond them. Confidences are multiples of 1/20,000, of which none lies on
+    a tie of the seventh digit."""
+    return v("v_suggestion").select("suggestion_id", F.round(interpolated(F.col("confidence"), KNOTS), 7).alias("calibrated"))
 
 
 def interpolated(x, knots):

@@ -9,6 +9,7 @@ from ..functions.evidence import analyze_boost, suggest_boost
 from ..functions.text import jaccard, trigrams
 from ..operators.relational import latest, top_k
 from ..operators.retrieval import dense_leg, fuse, sparse_leg
+from ..operators.vector_index import build_index, comparisons, probes_for, search
 from ..sources.views import AS_OF
 from .registry import Views, query
 from .relational import in_scope
@@ -21,12 +22,17 @@ def provenance(source: Column) -> Column:
     return F.when(source == "rp_defect_update", "rp").when(source == "human_ui", "human").when(source == "early", "ai_suggested")
 
 
+def salient(row: str = "") -> Column:
+    """The names of exceptions, the first 24 words of the message and the status codes, as an array."""
+    words = F.slice(F.filter(F.split(row + "msg_text", "[ \\t\\n\\r]+"), lambda w: w != ""), 1, 24)
+    names = F.when(F.col(row + "exc_text") == "", F.array().cast("array<string>")).otherwise(F.array(row + "exc_text"))
+    return F.concat(names, words, F.transform(row + "status_codes", lambda c: F.concat(F.lit("HTTP_"), c.cast("string"))))
+
+
 def query_set(v: Views) -> DataFrame:
-    """The asking items, with the two longest words of their messages as terms."""
+    """The asking items, with their salient terms as a web query."""
     s = v("v_signature").where("item_id % 50 = 0")
-    words = F.array_distinct(F.filter(F.split(F.lower("msg_text"), "[^a-z]+"), lambda w: w != ""))
-    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 2)
-    return s.select(F.col("item_id").alias("query_id"), "project_id", "emb", longest["w"].alias("terms"), "template_ids", "exc_text", "msg_text", "status_codes", "exception_fp", "error_hash")
+    return s.select(F.col("item_id").alias("query_id"), "project_id", "emb", F.array_join(salient(), " ").alias("terms"), "template_ids", "exc_text", "msg_text", "status_codes", "exception_fp", "error_hash")
 
 
 def labels(v: Views) -> DataFrame:
@@ -54,16 +60,33 @@ JACCARD_SQL = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0
 TRIGRAMS_SQL = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
 
 
+SALIENT_SQL = "list_concat(list_concat(CASE WHEN exc_text = '' THEN [] ELSE [exc_text] END, list_slice(list_filter(regexp_split_to_array(msg_text, '[ \\t\\n\\r]+'), lambda w: w <> ''), 1, 24)), list_transform({0}, lambda c: concat('HTTP_', c)))"
+LEXEMES_SQL = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{N}}_]+)*')"
+
+
 def hybrid_sql(predicate: str, k: int) -> str:
     """CTEs up to ``best``: (query_id, item_id, sparse_rank, dense_rank, lex_score, cosine, rrf_score, place) and ``known``."""
     return f"""
 WITH q AS (SELECT item_id AS query_id, project_id, emb AS q_emb, template_ids AS q_t, msg_text, exc_text, error_hash AS q_hash, exception_fp AS q_fp, status_codes AS q_codes FROM v_signature WHERE item_id % 50 = 0),
-qw AS (SELECT query_id, project_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(msg_text), '[^a-z]+'), lambda w: w <> ''))) AS term FROM q),
-qt AS (SELECT * FROM qw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) <= 2),
-qn AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id),
+qw AS (SELECT query_id, project_id, unnest({SALIENT_SQL.format("q_codes")}) AS word, generate_subscripts({SALIENT_SQL.format("q_codes")}, 1) AS ord FROM q),
+qg AS (SELECT query_id, project_id, word, count(*) FILTER (WHERE lower(word) = 'or') OVER (PARTITION BY query_id ORDER BY ord) AS grp FROM qw),
+ql AS (SELECT DISTINCT query_id, project_id, grp, starts_with(word, '-') AS barred, unnest({LEXEMES_SQL.format("word")}) AS term FROM qg WHERE lower(word) <> 'or'),
+qt AS (SELECT query_id, project_id, grp, term FROM ql WHERE NOT barred),
+qn AS (SELECT query_id, grp, count(*) AS n FROM qt GROUP BY query_id, grp),
 ev AS (SELECT s.*, i.issue_type, i.launch_id, i.launch_name, i.launch_number, i.test_case_hash FROM v_signature s JOIN v_item i USING (project_id, item_id) WHERE {predicate}),
-iw AS (SELECT project_id, item_id, 0.4::DOUBLE AS weight, unnest(regexp_split_to_array(lower(msg_text), '[^a-z]+')) AS term FROM ev UNION ALL SELECT project_id, item_id, 1.0::DOUBLE, unnest(regexp_split_to_array(lower(exc_text), '[^a-z]+')) FROM ev),
-lx AS (SELECT query_id, item_id, round(sum(weight), 6) AS lex_score FROM qt JOIN iw USING (project_id, term) JOIN qn USING (query_id) WHERE query_id <> item_id GROUP BY query_id, item_id, n HAVING count(DISTINCT term) = n),
+il AS (SELECT project_id, item_id, {LEXEMES_SQL.format("exc_text")} AS l1, {LEXEMES_SQL.format("concat_ws(' ', msg_text, array_to_string(list_transform(status_codes, lambda c: concat('HTTP_', c)), ' '))")} AS l2, {LEXEMES_SQL.format("frames_text")} AS l3, {LEXEMES_SQL.format("tmpl_text")} AS l4 FROM ev),
+iu AS (SELECT project_id, item_id, unnest(list_concat(list_concat(l1, l2), list_concat(l3, l4))) AS term, unnest(range(1, len(l1) + len(l2) + len(l3) + len(l4) + 1)) AS ord, len(l1) AS n1, len(l1) + len(l2) AS n2, len(l1) + len(l2) + len(l3) AS n3 FROM il),
+iw AS (SELECT project_id, item_id, term, least(ord, 16383) AS pos, CASE WHEN ord <= n1 THEN 1.0 WHEN ord <= n2 THEN 0.4 WHEN ord <= n3 THEN 0.2 ELSE 0.1 END::DOUBLE AS weight FROM iu QUALIFY row_number() OVER (PARTITION BY project_id, item_id, term ORDER BY ord) <= 255),
+mt AS (SELECT query_id, grp, item_id, qt.project_id FROM qt JOIN iw USING (project_id, term) JOIN qn USING (query_id, grp) WHERE query_id <> item_id GROUP BY query_id, grp, item_id, qt.project_id, n HAVING count(DISTINCT term) = n),
+mg AS (SELECT mt.* FROM mt WHERE NOT EXISTS (SELECT 1 FROM ql JOIN iw USING (project_id, term) WHERE ql.barred AND ql.query_id = mt.query_id AND ql.grp = mt.grp AND iw.item_id = mt.item_id)),
+en AS (SELECT DISTINCT mg.query_id, mg.item_id, pos, weight, iw.term FROM (SELECT DISTINCT query_id, item_id, project_id FROM mg) mg JOIN qt ON qt.query_id = mg.query_id JOIN iw ON iw.item_id = mg.item_id AND iw.term = qt.term AND iw.project_id = mg.project_id),
+ge AS (SELECT mg.query_id, mg.grp, mg.item_id, en.pos, en.term FROM mg JOIN qt ON qt.query_id = mg.query_id AND qt.grp = mg.grp JOIN en ON en.query_id = mg.query_id AND en.item_id = mg.item_id AND en.term = qt.term),
+la AS (SELECT e.query_id, e.grp, e.item_id, e.pos, o.term, max(o.pos) AS last FROM ge e JOIN ge o ON o.query_id = e.query_id AND o.grp = e.grp AND o.item_id = e.item_id AND o.pos <= e.pos GROUP BY ALL),
+sp0 AS (SELECT query_id, grp, item_id, pos AS z, min(last) AS a FROM la JOIN qn USING (query_id, grp) GROUP BY query_id, grp, item_id, pos, n HAVING count(*) = n),
+sp1 AS (SELECT DISTINCT query_id, item_id, a, z FROM (SELECT query_id, grp, item_id, a, min(z) AS z FROM sp0 GROUP BY query_id, grp, item_id, a)),
+cv AS (SELECT * FROM sp1 x WHERE NOT EXISTS (SELECT 1 FROM sp1 y WHERE y.query_id = x.query_id AND y.item_id = x.item_id AND y.a >= x.a AND y.z <= x.z AND (y.a > x.a OR y.z < x.z))),
+cd AS (SELECT cv.query_id, cv.item_id, count(*) / sum(1 / weight) / (1 + CASE WHEN z - a - count(*) + 1 < 0 THEN (count(*) - 1) // 2 ELSE z - a - count(*) + 1 END) AS part FROM cv JOIN en ON en.query_id = cv.query_id AND en.item_id = cv.item_id AND en.pos BETWEEN a AND z GROUP BY cv.query_id, cv.item_id, a, z),
+lx AS (SELECT query_id, item_id, round(sum(part), 6) AS lex_score FROM cd GROUP BY query_id, item_id HAVING round(sum(part), 6) > 0),
 tq AS (SELECT query_id, project_id, {TRIGRAMS_SQL.format("exc_text")} AS a FROM q WHERE exc_text <> '' AND query_id NOT IN (SELECT query_id FROM lx)),
 ti AS (SELECT project_id, item_id, {TRIGRAMS_SQL.format("exc_text")} AS b FROM ev WHERE exc_text <> ''),
 tg AS (SELECT query_id, item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS lex_score FROM tq JOIN ti USING (project_id) WHERE query_id <> item_id AND lex_score >= 0.3),
@@ -109,10 +132,24 @@ def r5(v: Views) -> DataFrame:
     return dense_leg(query_set(v), v("v_signature").select("project_id", "item_id", "emb"))
 
 
+@query("r5_dense_probes", python=True)
+def r5_probes(v: Views) -> DataFrame:
+    """What asking the nearest lists alone finds: of each query's 50 nearest how many, and with how many vectors it is compared."""
+    queries = query_set(v)
+    index = build_index(v("v_signature").select("project_id", "item_id", "emb"))
+    exact = search(index, queries).select("query_id", "item_id")
+    probes = probes_for(index, queries)
+    found = search(index, queries, probes=probes, exact=False).select("query_id", "item_id")
+    recall = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return recall.join(comparisons(index, queries, probes), "query_id")
+
+
 @query("r9_exact_hash", "SELECT a.item_id, b.item_id AS match_id FROM v_signature a JOIN v_signature b USING (project_id, error_hash) WHERE a.item_id % 50 = 0 AND a.item_id <> b.item_id QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id DESC) <= 10")
 def r9(v: Views) -> DataFrame:
     s = v("v_signature").select("project_id", "error_hash", "item_id")
-    pairs = s.where("item_id % 50 = 0").join(s.withColumnRenamed("item_id", "match_id"), ["project_id", "error_hash"]).where("item_id <> match_id")
+    # the eleven newest of each hash, of which the asking item may be one
+    heads = top_k(s.withColumnRenamed("item_id", "match_id"), ["project_id", "error_hash"], [F.desc("match_id")], 11)
+    pairs = s.where("item_id % 50 = 0").join(heads, ["project_id", "error_hash"]).where("item_id <> match_id").drop("rank")
     return top_k(pairs, ["item_id"], [F.desc("match_id")], 10).select("item_id", "match_id")
 
 
@@ -172,6 +209,4 @@ def r15(v: Views) -> DataFrame:
 
 @query("r16_salient_terms", "SELECT item_id, list_concat(list_concat(CASE WHEN exc_text = '' THEN [] ELSE [exc_text] END, list_slice(list_filter(regexp_split_to_array(msg_text, '[ \\t\\n\\r]+'), lambda w: w <> ''), 1, 24)), list_transform(status_codes, lambda c: concat('HTTP_', c))) AS terms FROM v_signature WHERE item_id % 50 = 0")
 def r16(v: Views) -> DataFrame:
-    words = F.slice(F.filter(F.split("msg_text", "[ \\t\\n\\r]+"), lambda w: w != ""), 1, 24)
-    names = F.when(F.col("exc_text") == "", F.array().cast("array<string>")).otherwise(F.array("exc_text"))
-    return v("v_signature").where("item_id % 50 = 0").select("item_id", F.concat(names, words, F.transform("status_codes", lambda c: F.concat(F.lit("HTTP_"), c.cast("string")))).alias("terms"))
+    return v("v_signature").where("item_id % 50 = 0").select("item_id", salient().alias("terms"))

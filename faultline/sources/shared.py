@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +17,26 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+class Scratch:
+    """A folder of written tables in the shared folder. A written table cuts the lineage and survives lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it again with the schema it had."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        """Deletes the tables written under these names; what was made of them must have been written itself."""
+        context = self.spark.sparkContext
+        for path in (p for n in names for p in self.paths.pop(n, [])):
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -26,6 +26,7 @@ SELECT vec_id AS item_id, 1 + vec_id % 2 AS project_id, {div:vec_id,25} AS launc
 SELECT e.vec_id AS item_id, 1 + e.vec_id % 2 AS project_id, e.embedding AS emb, coalesce(d.text, '') AS msg_text,
   CASE e.label WHEN 0 THEN 'java.lang.NullPointerException' WHEN 1 THEN 'AssertionError' WHEN 2 THEN 'StaleElementReferenceException' WHEN 3 THEN 'org.shop.NoSuchElementException' WHEN 4 THEN 'java.net.SocketTimeoutException'
   WHEN 5 THEN 'java.net.ConnectException' WHEN 6 THEN 'KeyError' WHEN 7 THEN '' WHEN 8 THEN 'org.shop.Region.RateError' ELSE 'ValueError' END AS exc_text, {array:e.label,e.vec_id % 7,e.vec_id % 11} AS template_ids, {array:500 + e.label % 4} AS status_codes,
+  concat('org.shop.Case', CAST(e.label AS {string}), '.step', CAST(e.vec_id % 7 AS {string}), ' org.shop.Region.rate') AS frames_text, concat('step ', CAST(e.label AS {string}), ' of ', CAST(e.vec_id % 11 AS {string})) AS tmpl_text,
   e.label AS exception_fp, CASE WHEN {div:vec_id,25} % 8 = 3 AND vec_id % 25 < 12 THEN 7000 + {div:vec_id,25} ELSE e.label * 100 + e.vec_id % 5 END AS error_hash FROM {embeddings} e LEFT JOIN {documents} d ON e.vec_id = d.doc_id""",
     "v_log": """
 SELECT conv_id AS item_id, turn AS pos, CASE role WHEN 'assistant' THEN 40000 WHEN 'user' THEN 30000 ELSE 20000 END AS log_level, text AS message FROM {conversations}""",
