@@ -28,8 +28,6 @@ from .storage import Workspace
 _U = np.uint64
 #: Bits of the sketch whose Hamming distance is compared.
 SKETCH_BITS = 512
-#: The most ids to hold in every task's memory (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Larger buckets are compared in blocks of about so many members.
 BLOCK = 2048
 
@@ -77,10 +75,6 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8))
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).to_numpy(zero_copy_only=False)
-
-
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +144,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last, told = k[-1], firsts[-1], c[-1], bool(many[-1])
 
 
-def _sets(width: int, wanted=None):
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted is not None and batch.num_rows:
-                ids = _ids(batch)
-                at = np.minimum(np.searchsorted(wanted.value, ids), len(wanted.value) - 1)
-                batch = batch.filter(pa.array(wanted.value[at] == ids)) if len(wanted.value) else batch.slice(0, 0)
             if batch.num_rows:
                 for i in range(0, batch.num_rows, 500):
                     part = batch.slice(i, 500)
@@ -245,7 +235,6 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     result). An empty table gives an empty table; other columns are left out.
     """
     space = Workspace(docs.sparkSession, "ngram-join")
-    spark = docs.sparkSession
     p, q = similarity.numerator, similarity.denominator
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     prints = space.write(rows.mapInArrow(_fingerprints(width), "id long, n long, h1 long, h2 long, sketch binary"), "prints")
@@ -259,8 +248,9 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     twins = classes.groupBy("h1").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     stars = space.write(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(twins).distinct(), "stars")
     involved = space.write(shared.select("h1").union(shared.select("first")).distinct().join(by_hash, "h1").select(F.col("rep").alias("id")).union(twins.select("a")).union(twins.select("b")).distinct(), "involved")
-    sets = _sets_of(rows, involved, width, spark)
-    if prints.groupBy("id").count().where("count > 1").limit(1).count():  # repeated rows give one set
+    sets = _sets_of(rows, involved, width)
+    repeated_ids = bool(prints.groupBy("id").count().where("count > 1").limit(1).count())
+    if repeated_ids:  # repeated rows give one set
         sets = sets.groupBy("id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"))
     sets = space.write(sets, "sets")
 
@@ -269,6 +259,10 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
         return both.select("a", "b", "sa", "sb").mapInArrow(_verified(p, q), "a long, b long")
 
     links = space.write(verified(stars), "links")
+    if repeated_ids:  # the texts of one id are one document, so their classes are linked
+        of_id = prints.where("n > 0").select("id", "n", "h1", "h2").distinct().join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep")
+        least = of_id.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
+        links = links.union(space.write(of_id.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "same-id"))
     linked = components(links, space)
     # pairs in a bucket that are in different components still: first a forest of the nearest, which joins most that can be
     # joined, then all that are left
@@ -291,9 +285,6 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     return found.select(shown(F.col("id")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "id")).alias("component_id"))
 
 
-def _sets_of(rows: DataFrame, involved: DataFrame, width: int, spark) -> DataFrame:
-    """(id, s) of the involved ids. Few ids are sent to the tasks that read the texts; many are joined."""
-    if involved.count() <= BROADCAST_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in involved.collect()], np.int64)))
-        return rows.mapInArrow(_sets(width, wanted), "id long, s binary")
+def _sets_of(rows: DataFrame, involved: DataFrame, width: int) -> DataFrame:
+    """(id, s) of the involved ids. Spark broadcasts the ids while they are small, and else joins by a shuffle."""
     return rows.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id long, s binary")

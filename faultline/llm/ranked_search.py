@@ -31,7 +31,7 @@ from .tokens import gathered
 #: Postings of a block; a list's last block may hold fewer.
 BLOCK = 128
 #: Bytes of text of a shard, about; a longer document is a shard of its own.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Queries that one task answers over one shard.
 QUERY_BLOCK = 512
 #: Borders of the first run.

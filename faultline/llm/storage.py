@@ -10,6 +10,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_open: list[list[Workspace]] = []
+
+
+@contextmanager
+def workspaces() -> Iterator[list[Workspace]]:
+    """The workspaces that are made within the block, so that their tables can go once the result is written."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
+
+
 class Workspace:
     """A folder of written tables for one run of an operator."""
 
@@ -33,6 +48,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
+        if _open:
+            _open[-1].append(self)
 
     def write(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
         """Writes ``df`` and reads it again with the schema it had."""
@@ -46,7 +63,8 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(path)
 
     def remove(self, *names: str) -> None:
-        """Deletes the tables written under these names; what was made of them must have been written itself."""
+        """Deletes the tables written under these names (none: all); what was made of them must have been written itself."""
+        names = names or tuple(self.paths)
         context = self.spark.sparkContext
         for path in (p for n in names for p in self.paths.pop(n, [])):
             at = context._jvm.org.apache.hadoop.fs.Path(path)

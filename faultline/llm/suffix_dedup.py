@@ -150,24 +150,15 @@ def _positions(lengths: tuple[int, int]):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (rank, row, p) in order of rank: (row, p) of the ranks with two rows or more. Holds one row between batches."""
-    held, told = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        rank = batch.column(0).to_numpy()
-        same = rank[1:] == rank[:-1]
-        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        if held is not None and told:
-            many[0] = False
-        out = batch.filter(pa.array(many))
-        if out.num_rows:
-            yield out.select(["row", "p"])
-        told = bool(many[-1]) or (len(rank) == 1 and held is not None and told)
-        held = batch.slice(batch.num_rows - 1, 1)
+def _rank_counts(lengths: tuple[int, int]):
+    positions = _positions(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in positions(batches):
+            rank, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n)], ["rank", "n"])
+
+    return run
 
 
 def _covered(lo: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
@@ -225,18 +216,24 @@ def suffix_dedup(docs: DataFrame, length: int = 400, passage_words: int = 50, ke
     wholes = spans.groupBy("half", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "more")).alias("first"))
     wholes = space.write(wholes, "wholes")
     size = F.when(F.col("row").bitwiseAND(1) == OF_WORDS, passage_words).otherwise(length)
-    settled = space.write(spans.join(wholes.where("n > 1").select("half", "whole"), ["half", "whole"]).select("row", "lo", (F.col("lo") + F.col("more") + size).alias("z")), "settled")
+    repeated = spans.join(wholes.where("n > 1").select("half", "whole"), ["half", "whole"])
+    settled = space.write(repeated.select("row", "lo", (F.col("lo") + F.col("more") + size).alias("z")), "settled")
     space.remove("spans")
     # borders: spans of their own kind, and one of each repeated kind they may share single positions with
     open_halves = space.write(wholes.groupBy("half").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("half"), "open")
     base, kind = F.col("row").bitwiseAND(-2).alias("row"), F.col("row").bitwiseAND(1).cast("int").alias("kind")
     asked = wholes.join(open_halves, "half").select("first.row", "first.lo", "first.more").select(base, F.struct(kind, "lo", "more").alias("span"))
-    asked = space.write(asked.groupBy("row").agg(F.collect_list("span").alias("spans")), "asked")
+    asked = space.write(asked.groupBy("row").agg(F.collect_set("span").alias("spans")), "asked")
     space.remove("wholes", "open")
-    positions = rows.join(asked, "row").select("row", "text", "spans").mapInArrow(_positions(lengths), "rank long, row long, p long")
-    positions = space.write(positions.repartition("rank").sortWithinPartitions("rank").mapInArrow(_repeated, "row long, p long"), "positions")
+    at_borders = rows.join(asked, "row").select("row", "text", "spans")
+    # ranks are counted before they are joined, so that one that very many positions have is a row a task, and then a skewed side
+    ranks = at_borders.mapInArrow(_rank_counts(lengths), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
+    ranks = space.write(ranks, "ranks")
+    positions = at_borders.mapInArrow(_positions(lengths), "rank long, row long, p long").join(ranks, "rank").select("row", "p")
+    positions = space.write(positions, "positions")
     gone = settled.union(positions.select("row", F.col("p").alias("lo"), (F.col("p") + size).alias("z"))).select(base, F.struct(kind, "lo", "z").alias("span"))
-    gone = space.write(gone.groupBy("row").agg(F.collect_list("span").alias("spans")), "gone")
-    space.remove("settled", "asked", "positions")
+    # rows of one id and text have one number, under which a span counts once however many they are
+    gone = space.write(gone.groupBy("row").agg(F.collect_set("span").alias("spans")), "gone")
+    space.remove("settled", "asked", "ranks", "positions")
     schema = T.StructType([T.StructField(key, named.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("n_passage_words", T.LongType())])
     return named.join(gone, "row", "left").select("key", "text", "spans").mapInArrow(_kept(key), schema)

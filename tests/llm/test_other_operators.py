@@ -169,3 +169,49 @@ def test_pipeline_keeps_one_row_of_each_group(spark, written):
     # one row a group, of its least id, a null one first
     assert sorted((group(r.text), -1 if r.doc_id is None else r.doc_id) for r in got) == [(0, 4), (1, -1), (2, -1), (3, 9), (4, -1)]
     assert stage(spark, written([], schema, 1), "").count() == 0
+
+
+def test_pipeline_stages_keep_clashing_columns_and_short_remainders(spark, written):
+    """Columns of every name that an operator adds come through, in any case of letters; a document of one paragraph of its own under
+    lines that others have stays; null texts and empty tables have a defined result in each stage."""
+    import corpus_pipeline
+
+    from tests.llm.corpus import prose
+
+    rng = random.Random(11)
+    menu = "\n".join(f"Line {k} of a boilerplate that all of these pages have in common." for k in range(9))
+    names = ("quality", "N_Lines", "n_dropped", "row", "copy", "copies", "size", "component_id", "rep", "target", "id", "h1", "spans")
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    texts = [menu + "\n" + " ".join(prose(rng, 14).capitalize() + "." for _ in range(6)) for _ in range(6)] + [None, "", menu, menu + "\n\n"]
+    docs = written([(i, t, "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names) and all(r.n_chars == len(r.text or "") for r in rows if name != "ngram_join"), name
+        kept = {r.doc_id for r in rows}
+        if name == "line_dedup":
+            # of the last two nothing but shared lines was there; null and empty texts lose nothing
+            assert kept == set(range(8)) and {r.doc_id: r.text for r in rows}[1] == texts[1].split("\n")[-1]
+        if name in ("ngram_join", "mixing"):
+            assert {6, 7} <= kept
+        assert stage(spark, written([], schema, 1), "").count() == 0
+    assert {6, 7} <= {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, "").collect()}
+    assert corpus_pipeline.pack_sequences(spark, written([], schema, 1), "").count() == 0
+
+
+def test_pipeline_leaves_no_tables_of_its_stages(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    from tests.llm.corpus import prose
+
+    rng = random.Random(13)
+    rows = [(i, "\n".join(prose(rng, 14).capitalize() + "." for _ in range(8)), "en", f"s{i % 3}", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    home = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(home))
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/sf").count() >= 30
+    left = {f"{w.rsplit('-', 1)[0]}/{t.rsplit('-', 1)[0]}" for w in set(os.listdir(home)) - before for t in os.listdir(f"{home}/{w}")}
+    assert {t for t in left if not t.startswith("packing")} <= {"pipeline/mixing"}, left

@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -379,3 +380,69 @@ def test_word_cache_matches_the_tokenizer():
     assert [x.tolist() for x in tokens.of_texts(pa.array(many))] == [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in many]
 
 
+
+
+def test_repeated_rows_of_one_id_have_short_lists(spark, written):
+    """Many rows of one id and text share one name; their spans are those of one text, not of all of them."""
+    from faultline.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(21)
+    text = prose(rng, 800)
+    rows = [(1, text)] * 300 + [(2, prose(rng, 300))]
+    out = suffix_dedup(written(rows, "doc_id long, text string", 4), 400, 50)
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in out.collect()}
+    assert got == {(1, len(text), len(text)), (2, len(rows[-1][1]), 0)}
+
+
+def test_a_passage_in_very_many_texts(spark, written):
+    """Each text has the passage at another place, so its borders are ranked position by position in all of them."""
+    from faultline.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(22)
+    passage = prose(rng, 150)[:700]
+    rows = [(i, f"{prose(rng, rng.randint(5, 60))} {i}|{passage}|{i} {prose(rng, rng.randint(5, 60))}") for i in range(120)]
+    want = expected_suffix_dedup({i: t for i, t in rows}, 400, 50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passage_words) for r in suffix_dedup(written(rows, "doc_id long, text string", 4), 400, 50).collect()}
+    assert got == want
+
+
+def test_texts_of_one_id_are_one_document(written):
+    from faultline.llm.ngram_join import ngram_join
+
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (10, c), (None, c), (None, d), (11, d), (12, prose(rng, 80))]
+    out = sorted(((r.doc_id, r.component_id) for r in ngram_join(written(rows, "doc_id long, text string", 3), Fraction(85, 100), 4).collect()), key=str)
+    assert out == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (10, None), (None, None), (None, None), (11, None), (12, 12)], key=str)
+
+
+def test_ngram_join_and_embedding_queries(spark, tmp_path):
+    """The queries themselves against brute force, at their production parameters."""
+    from faultline.llm import queries
+    from tests.llm.corpus import documents
+
+    rows = [(i, t) for i, t, *_ in documents()]
+    path = f"file://{tmp_path}/sf"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    for x in sets:
+        for y in sets:
+            if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]) and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_ngram_join(spark, path).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+    vectors = np.random.default_rng(4).normal(size=(300, 64))
+    vectors[100:200] = vectors[:100] + 0.2 * vectors[200:300]
+    vectors[250:] = vectors[:50]
+    spark.createDataFrame([(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    e = vectors.astype(np.float32).astype(float)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    links = (e @ e.T >= 0.9).sum(1) - 1
+    found = {r.vec_id: r.n_links for r in queries.op7_embedding_dedup(spark, path).collect()}
+    assert all(found[i] <= links[i] for i in found) and sum(found.values()) >= 0.9 * links.sum()
