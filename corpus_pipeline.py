@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.line_dedup import line_dedup
@@ -12,7 +12,7 @@ from faultline.llm.mixing import mixed
 from faultline.llm.ngram_join import ngram_join
 from faultline.llm.packing import pack
 from faultline.llm.quality_rules import quality_rules
-from faultline.llm.storage import Workspace
+from faultline.llm.storage import Workspace, workspaces
 from faultline.shipping import ship
 
 #: Packing needs a tokenizer, which SQL can't express.
@@ -25,23 +25,30 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[count(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """Id and text, with the rest of the row in a struct, so that no column of it can clash with one that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("pipeline_row"))
+
+
+def _let_go(df: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The rows held, with another text."""
+    return _as_documents(df.select(*[text.alias(c) if c == "text" else F.col(f"pipeline_row.`{c}`").alias(c) for c in docs.columns]), docs)
+
+
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops failing lines, and documents that the quality rules reject. A null or empty text is rejected; repeated rows and null
     ids are judged row by row; an empty table gives an empty table; other columns pass through."""
-    judged = quality_rules(docs).where("quality.kept")
-    return _as_documents(judged.withColumn("text", F.col("quality.clean_text")), docs)
+    return _let_go(quality_rules(_held(docs)).where("quality.kept"), F.col("quality.clean_text"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds, and documents of which less than a fifth of the lines is left: they are near
-    copies, which the next stage couldn't know again by what is left of them.
+    """Drops lines that an earlier document holds, and documents that lose all their words by it.
 
     A null text is an empty one, which loses nothing and stays. Repeated rows are one document to the line dedup and stay both. A
     null id counts as the least. An empty table gives an empty table; other columns pass through.
     """
-    kept = line_dedup(docs)
-    left = (F.col("n_dropped") == 0) | (F.col("text").rlike("[^ \\t-\\r]") & (F.col("n_dropped") * 5 <= F.col("n_lines") * 4))
-    return _as_documents(kept.where(left), docs)
+    kept = line_dedup(_held(docs))
+    return _let_go(kept.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")), F.col("text"), docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +88,15 @@ STAGES = [("quality_rules", clean_lines), ("line_dedup", dedup_lines), ("ngram_j
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage wrote on its way goes when its result is written."""
     space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = space.write(stage(spark, docs, sf_dir), name)
+        with workspaces() as made:
+            docs = space.write(stage(spark, docs, sf_dir), name)
+        for w in made:
+            w.remove()
+        if before:
+            space.remove(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
