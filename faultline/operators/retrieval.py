@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
+from ..sources.shared import Scratch
 from . import lexical_index
 from .relational import top_k
 from .vector_index import build_index, search
@@ -54,7 +55,7 @@ def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 def sparse_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
     """(query_id, item_id, lex_score, sparse_rank): the lexical hits, or for queries without any those by trigrams."""
-    hits = lexical_hits(queries, items, k)
+    hits = Scratch(queries.sparkSession, "lexical").write(lexical_hits(queries, items, k), "hits")
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return top_k(hits.union(trigram_hits(rest, items)), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
 

@@ -170,16 +170,13 @@ def build_index(items: DataFrame, sample: int = SAMPLE, lists: int | None = None
     dealt = posted.join(sizes, ["project_id", "list"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / BLOCK)).cast("long"))
     packed = dealt.select("project_id", "list", "block", "item_id", "emb", "angle").groupBy("project_id", "list", "block").applyInArrow(_packed, "project_id long, list int, block long, n long, least double, most double, ids binary, vectors binary")
     blocks = space.write(packed, "blocks")
-    lists_of = space.write(posted.select("item_id", "list"), "lists")
-    space.remove("posted")
-    return VectorIndex(blocks, lists_of, centroids, space)
+    return VectorIndex(blocks, posted.select("item_id", "list"), centroids, space)
 
 
-def _visited(index: VectorIndex, visits: DataFrame, k: int) -> DataFrame:
-    """(query_id, item_id, cosine): the best of each visited block, of (query_id, emb, project_id, list, block)."""
+def _visited(index: VectorIndex, visits: DataFrame, n: int, k: int) -> DataFrame:
+    """(query_id, item_id, cosine): the best of each visited block, of (query_id, emb, project_id, list, block) of n queries."""
     keys = ["project_id", "list", "block"]
-    parts = visits.groupBy("project_id", "list").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
-    asked = visits.join(parts, ["project_id", "list"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    asked = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // ASKED))).cast("long")))
     asked = asked.groupBy(*keys, "part").agg(F.collect_list(F.struct("query_id", "emb")).alias("asked"))
     met = index.blocks.select(*keys, "ids", "vectors").join(asked, keys).select("ids", "vectors", "asked")
     return met.mapInArrow(_scored(k), "query_id long, item_id long, cosine double")
@@ -192,20 +189,21 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 50, probes: int = PR
     spark = queries.sparkSession
     if index.centroids is None:
         return spark.createDataFrame([], "query_id long, item_id long, cosine double, dense_rank int")
+    n = queries.count()
     space, order = index.space, [F.desc("cosine"), F.desc("item_id")]
     emb = queries.schema["emb"].dataType.simpleString()
     asked = with_direction(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("project_id").cast("long").alias("project_id"), "emb"))
     near = lambda rows, most: rows.mapInArrow(_ordered(index.centroids, most), f"query_id long, project_id long, emb {emb}, list int, angle double, place int")
     heads = index.blocks.select("project_id", "list", "block", "least", "most")
     visits = near(asked, probes).join(heads, ["project_id", "list"]).select("query_id", "emb", "project_id", "list", "block")
-    found = space.write(_visited(index, visits, k), "found")
+    found = space.write(_visited(index, visits, n, k), "found")
     if exact:
         # the k-th best so far; none where there are fewer
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("cosine"), asc=False), k)).alias("bar"))
         angles = near(asked, len(index.centroids)).where(F.col("place") >= probes)
         apart = F.greatest(F.lit(0.0), F.col("angle") - F.col("most"), F.col("least") - F.col("angle"))
         more = angles.join(heads, ["project_id", "list"]).join(least, "query_id", "left").where(F.col("bar").isNull() | (F.cos(apart) + SLACK >= F.col("bar")))
-        found = found.union(space.write(_visited(index, more.select("query_id", "emb", "project_id", "list", "block"), k), "more"))
+        found = found.union(_visited(index, more.select("query_id", "emb", "project_id", "list", "block"), n, k))
     return top_k(found.withColumn("cosine", F.round("cosine", 6)), ["query_id"], order, k, "dense_rank")
 
 
