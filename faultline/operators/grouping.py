@@ -82,10 +82,13 @@ class TemplateTree:
 
     @classmethod
     def of(cls, patterns: list[str]) -> TemplateTree:
-        """A tree that holds stored templates again, most frequent first."""
+        """A tree that holds stored templates again, each as it was, most frequent first."""
         tree = cls()
         for p in patterns:
-            tree.add(p)
+            tokens = tree.tokens(p)
+            tree.leaves.setdefault(tree._leaf(tokens, True), []).append(tree.next)
+            tree.templates[tree.next] = tokens
+            tree.next += 1
         return tree
 
 

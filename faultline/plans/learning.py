@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from .registry import Views, query
 
 
@@ -123,13 +124,13 @@ def l6(v: Views) -> DataFrame:
     return calibrate(rows, "project_id", "confidence", "hit").select("suggestion_id", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query("l4_trained_model")
+@query("l4_trained_model", python=True)
 def l4(v: Views) -> DataFrame:
-    """A small model over the first eight components of the vectors of labelled items, applied to all of them (L5)."""
-    placed = v("v_signature").select("project_id", "item_id", F.transform(F.slice("emb", 1, 8), lambda x: x.cast("double")).alias("features")).join(v("v_item").select("project_id", "item_id", "issue_group"), ["project_id", "item_id"])
+    """A small multiclass model over the whole vectors of labelled items, applied to all of them (L5)."""
+    placed = v("v_signature").select("project_id", "item_id", F.transform("emb", lambda x: x.cast("double")).alias("features")).join(v("v_item").select("project_id", "item_id", "issue_group"), ["project_id", "item_id"])
     labelled = placed.where(F.col("issue_group").isin("pb", "ab", "si", "nd"))
-    models = train(labelled.select("features", F.col("issue_group").alias("label")), rounds=3, depth=3, rate=0.3)
-    return predict(models, placed.select("item_id", "features")).select("item_id", "guess", F.round("max_prob", 6).alias("max_prob"))
+    model = boosting.boost(labelled.select("features", F.col("issue_group").alias("label")), boosting.Settings(rounds=4, leaves=8, rate=0.3, bins=31))
+    return boosting.predict(model, placed.where("size(features) > 0").select("item_id", "features")).select("item_id", "guess", F.round("max_prob", 6).alias("max_prob"))
 
 
 @query("h19_label_probabilities", """

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import chains, cleaning, text
 from ..operators.grouping import group_failures, mine_templates, unique_logs
+from ..operators.indexing import TABLES, index_batch
+from ..sources.published import Published
 from ..sources.shared import shared_dir
 from ..streaming.history import daily_rollup, flakiness
+from ..streaming.miner import PROVIDER, match_templates, mined, trie
 from .registry import QUERIES, Views, query
 
 
@@ -106,6 +109,35 @@ def signatures(v: Views) -> DataFrame:
     return made.withColumn("document", chains.document(F.concat(F.lit("test "), F.col("item_id").cast("string")), F.col("classes"), F.col("msg_text"), F.col("frames"), F.col("templates"), F.col("codes")))
 
 
+def raw_rows(v: Views) -> DataFrame:
+    """What an index run takes: every item with its logs, or with none."""
+    logs = v("v_log").select("item_id", "pos", "log_level", "message")
+    rows = v("v_item").join(v("v_signature").select("item_id", "exc_text"), "item_id").join(logs, "item_id", "left")
+    log_time = F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("pos").cast("int"))
+    return rows.select("project_id", "launch_id", "launch_name", "item_id", F.col("test_case_hash").cast("long").alias("test_case_hash"), F.concat(F.lit(" "), F.upper("issue_type")).alias("issue_type"), "start_time", (F.col("item_id") * 1000 + F.col("pos")).alias("log_id"), "log_level", log_time.alias("log_time"), F.concat("exc_text", F.lit(": "), "message").alias("message"))
+
+
+def indexed(v: Views, table: str) -> DataFrame:
+    """A table that an index run publishes; the run is made twice, of which the second does nothing."""
+    rows = raw_rows(v)
+    published = Published(rows.sparkSession, f"{shared_dir(rows.sparkSession)}/published-{uuid.uuid4().hex}", TABLES)
+    for _ in range(2):
+        index_batch(rows, published, "first")
+    return published.read(table)
+
+
+@query("s5_published_items", """
+WITH l AS (SELECT item_id, min(pos) FILTER (WHERE log_level >= 40000) AS first_error, max(pos) AS last_pos FROM v_log GROUP BY item_id)
+SELECT project_id, i.item_id, launch_id, nullif(test_case_hash, 0)::BIGINT AS test_case_hash, issue_type, i.item_id * 1000 + first_error AS error_log_id, start_time + last_pos * INTERVAL '1' SECOND AS last_log, coalesce(start_time + last_pos * INTERVAL '1' SECOND, start_time) AS seen_at FROM v_item i LEFT JOIN l USING (item_id)""", python=True)
+def s5_items(v: Views) -> DataFrame:
+    return indexed(v, "items").select("project_id", "item_id", "launch_id", "test_case_hash", "issue_type", "error_log_id", "last_log", "seen_at")
+
+
+@query("s5_published_signatures", python=True)
+def s5_signatures(v: Views) -> DataFrame:
+    return indexed(v, "signatures")
+
+
 @query("m12_primary_log")
 def m12(v: Views) -> DataFrame:
     return signed_logs(v).groupBy("item_id").agg(F.max_by("pos", F.struct(F.col("log.has_stacktrace"), "pos")).alias("pos"))
@@ -200,8 +232,22 @@ def h7(v: Views) -> DataFrame:
 
 @query("m1_templates", python=True)
 def m1(v: Views) -> DataFrame:
+    return mine_templates(error_lines(v), "project_id", ["item_id", "pos", "line"], "line")
+
+
+def error_lines(v: Views) -> DataFrame:
+    """(project_id, item_id, pos, line): the first masked lines of logs that are no stack."""
     lines = v("v_log").select((F.col("item_id") % 8).alias("project_id"), "item_id", "pos", F.explode(F.slice(F.split(text.mask(F.col("message")), "\n"), 1, 40)).alias("line"))
-    return mine_templates(lines.where(~cleaning.stack_line(F.col("line"))), "project_id", ["item_id", "pos", "line"], "line")
+    return lines.where(~cleaning.stack_line(F.col("line")))
+
+
+@query("m2_template_matches", python=True)
+def m2(v: Views) -> DataFrame:
+    """The warnings' lines with the templates that the errors' lines were mined to."""
+    errors = error_lines(lambda name: v(name).where("log_level >= 40000"))
+    mined_ = mine_templates(errors, "project_id", ["item_id", "pos", "line"], "line").groupBy("project_id", "template").agg(F.sum("n").alias("n"))
+    lines = error_lines(lambda name: v(name).where("log_level < 40000"))
+    return match_templates(lines, trie(mined_))
 
 
 @query("g1_launch_groups", python=True)
@@ -218,7 +264,7 @@ def f2(v: Views) -> DataFrame:
 # streams
 
 
-def _streamed(run, mode: str, last):
+def _streamed(run, mode: str, last, settings: dict[str, str] | None = None):
     """A query that sends a table of events through a stream and returns what the stream has told. Each batch is written under its
     number in the shared folder, so a batch that is repeated replaces itself; the stream's state is kept there too."""
 
@@ -231,7 +277,14 @@ def _streamed(run, mode: str, last):
         home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
         told = run(source)
         write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{home}/out/epoch={epoch}")
-        told.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        before = {k: spark.conf.get(k, None) for k in settings or {}}
+        try:
+            for k, x in (settings or {}).items():
+                spark.conf.set(k, x)
+            told.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            for k, x in before.items():
+                spark.conf.unset(k) if x is None else spark.conf.set(k, x)
         return last(spark.read.schema(told.schema.add("epoch", "long")).parquet(f"{home}/out")).select(*told.columns)
 
     return go
@@ -249,5 +302,15 @@ def _last_of_day(rows: DataFrame) -> DataFrame:
     return rows.groupBy("day", "event_type").agg(F.max_by(F.struct(*rows.columns), "epoch").alias("r")).select("r.*")
 
 
+def _x1(source: DataFrame) -> DataFrame:
+    said = F.regexp_replace("props", "[^A-Za-z0-9.]+", " ")
+    return mined(source.select((F.col("user_id") % 8).alias("project_id"), F.col("event_id").alias("at"), F.concat_ws(" ", "event_type", said, F.col("value").cast("string")).alias("line")))
+
+
+def _last_of_cluster(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("project_id", "cluster").agg(F.max_by(F.struct(*rows.columns), F.struct("version", "epoch")).alias("r")).select("r.*")
+
+
+QUERIES["x1_mined_stream"] = _streamed(_x1, "update", _last_of_cluster, dict([PROVIDER]))
 QUERIES["x2_flakiness_stream"] = _streamed(_x2, "update", _last_of_test)
 QUERIES["x4_daily_stream"] = _streamed(daily_rollup, "update", _last_of_day)
