@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,10 +130,28 @@ def _spans(lengths: tuple[int, int]):
     return run
 
 
+#: Positions that are ranked before repeats among them are looked for.
+RANKED = 1 << 20
+
+
 def _positions(lengths: tuple[int, int]):
-    """Of rows (row, text, spans as kind, lo, more): (rank, row, p) at the full length."""
+    """Of rows (row, text, spans as kind, lo, more): (rank, row, p, sure) at the full length. Of positions that share a rank with
+    another one ranked here all are sure to be repeats and are dealt anyhow, and one more row stands for them under their rank; so a
+    rank that very many positions have is few rows."""
+
+    def told(ranks: list[np.ndarray], rows: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rank, row, p = (np.concatenate(x) for x in (ranks, rows, places))
+        _, first, at, n = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
+        many = n[at] > 1
+        one = np.concatenate((np.flatnonzero(~many), first[n > 1]))  # alone, or standing for others
+        rank = np.concatenate((rank[one], mix((row[many] ^ (p[many] << 20)).view(_U)).view(np.int64)))
+        row, p, sure = np.concatenate((row[one], row[many])), np.concatenate((p[one], p[many])), np.concatenate((np.zeros(len(one), np.int8), np.ones(int(many.sum()), np.int8)))
+        for i in range(0, len(rank), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (rank, row, p, sure)], ["rank", "row", "p", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        size = 0
         for batch in batches:
             offsets, data = texts(batch.column(1))
             for k, (row, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
@@ -141,24 +160,44 @@ def _positions(lengths: tuple[int, int]):
                     ranks = Ranks(symbols(kind, offsets[k : k + 2], data)[0])
                     lo = spans.values.field("lo").to_numpy()[of == kind]
                     n = spans.values.field("more").to_numpy()[of == kind].astype(np.int64) + 1
-                    p = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    r = ranks(p, p + lengths[kind]).view(np.int64)
-                    for i in range(0, len(p), 1 << 17):
-                        z = min(i + (1 << 17), len(p))
-                        yield pa.RecordBatch.from_arrays([pa.array(r[i:z]), pa.array(np.full(z - i, row + kind)), pa.array(p[i:z])], ["rank", "row", "p"])
+                    for i in range(0, len(lo), 1024):  # a long text's spans at a time
+                        m = n[i : i + 1024]
+                        p = np.repeat(lo[i : i + 1024] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+                        for x, new in zip(held, (ranks(p, p + lengths[kind]).view(np.int64), np.full(len(p), row + kind), p), strict=True):
+                            x.append(new)
+                        size += len(p)
+                        if size >= RANKED:
+                            yield from told(*held)
+                            held, size = ([], [], []), 0
+        if size:
+            yield from told(*held)
 
     return run
 
 
-def _rank_counts(lengths: tuple[int, int]):
-    positions = _positions(lengths)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in positions(batches):
-            rank, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n)], ["rank", "n"])
-
-    return run
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (rank, row, p, sure) in order of rank: (row, p) of those that are sure, and of ranks with two other rows or more. Holds
+    one row between batches."""
+    held, told = None, True
+    for batch in batches:
+        sure = batch.filter(pa.compute.equal(batch.column(3), 1))
+        if sure.num_rows:
+            yield sure.select(["row", "p"])
+        batch = batch.filter(pa.compute.equal(batch.column(3), 0))
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        rank = batch.column(0).to_numpy()
+        same = rank[1:] == rank[:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if held is not None and told:
+            many[0] = False
+        out = batch.filter(pa.array(many))
+        if out.num_rows:
+            yield out.select(["row", "p"])
+        told = bool(many[-1]) or (len(rank) == 1 and held is not None and told)
+        held = batch.slice(batch.num_rows - 1, 1)
 
 
 def _covered(lo: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
@@ -225,15 +264,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, passage_words: int = 50, ke
     asked = wholes.join(open_halves, "half").select("first.row", "first.lo", "first.more").select(base, F.struct(kind, "lo", "more").alias("span"))
     asked = space.write(asked.groupBy("row").agg(F.collect_set("span").alias("spans")), "asked")
     space.remove("wholes", "open")
-    at_borders = rows.join(asked, "row").select("row", "text", "spans")
-    # ranks are counted before they are joined, so that one that very many positions have is a row a task, and then a skewed side
-    ranks = at_borders.mapInArrow(_rank_counts(lengths), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
-    ranks = space.write(ranks, "ranks")
-    positions = at_borders.mapInArrow(_positions(lengths), "rank long, row long, p long").join(ranks, "rank").select("row", "p")
-    positions = space.write(positions, "positions")
+    positions = rows.join(asked, "row").select("row", "text", "spans").mapInArrow(_positions(lengths), "rank long, row long, p long, sure byte")
+    positions = space.write(positions.repartition("rank").sortWithinPartitions("rank").mapInArrow(_repeated, "row long, p long"), "positions")
     gone = settled.union(positions.select("row", F.col("p").alias("lo"), (F.col("p") + size).alias("z"))).select(base, F.struct(kind, "lo", "z").alias("span"))
     # rows of one id and text have one number, under which a span counts once however many they are
     gone = space.write(gone.groupBy("row").agg(F.collect_set("span").alias("spans")), "gone")
-    space.remove("settled", "asked", "ranks", "positions")
+    space.remove("settled", "asked", "positions")
     schema = T.StructType([T.StructField(key, named.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("n_passage_words", T.LongType())])
     return named.join(gone, "row", "left").select("key", "text", "spans").mapInArrow(_kept(key), schema)
