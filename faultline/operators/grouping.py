@@ -219,18 +219,19 @@ def term_vectors(texts: list[str], idf: bool) -> np.ndarray | None:
 
 
 def drop_near_duplicates(messages: list[str], least: float = 0.95) -> list[int]:
-    """The places that stay: each message gives way to the last one that is as near, unless it has been given way to itself; the
-    last message stays. Without any word, all stay."""
+    """The places that stay. A message names the last one that is as near to it, itself if none is; whom a message names that no other
+    named before, stays, and so does the last message. Without any word, all stay."""
     m = term_vectors(messages, True)
     if m is None:
         return list(range(len(messages)))
-    near = m @ m.T >= least - 1e-12
-    kept: set[int] = set()
-    for i in range(len(messages) - 1):
-        if i not in kept:
-            later = np.flatnonzero(near[i, i + 1 :])
-            kept.add(int(i + 1 + later[-1]) if len(later) else i)
-    return sorted(kept | {len(messages) - 1})
+    n = len(messages)
+    near = np.triu(m @ m.T >= least - 1e-12) | np.eye(n, dtype=bool)
+    named = n - 1 - near[:, ::-1].argmax(1)
+    stays = np.zeros(n, bool)
+    for i, last in enumerate(named[:-1].tolist()):
+        stays[last] |= not stays[i]
+    stays[-1] = True
+    return np.flatnonzero(stays).tolist()
 
 
 def unique_logs(logs: DataFrame, least: float = 0.95) -> DataFrame:

@@ -265,9 +265,9 @@ def t39(v: Views) -> DataFrame:
     return v("v_log").select("item_id", "pos", prepared_log(F.col("message")).alias("p")).select("item_id", "pos", "p.*")
 
 
-@query("t43_excerpts", python=True)
+@query("t43_excerpts")
 def t43(v: Views) -> DataFrame:
-    return v("v_signature").select("item_id", prompts.excerpts(100)(F.col("msg_text")).alias("out"))
+    return v("v_signature").select("item_id", prompts.excerpt(F.col("msg_text"), 100).alias("out"))
 
 
 @query("t44_without_rule_ids", "SELECT item_id, concat('Item ', item_id, ' failed in setup.') AS out FROM v_item")

@@ -73,7 +73,7 @@ def test_excerpts(spark):
     stack = [f"  at shop.Cart.run(Cart.java:{i})" for i in range(60)]
     texts = ["short", "\n".join(f"line {i}" for i in range(400)), "\n".join([*(f"a{i}" for i in range(90)), "java.io.IOException: x", *stack, "", "Caused by: y.Error: z", *stack[:20], "", *(f"z{i}" for i in range(50))]), "x" * 9000, "", "e.FooError " + "y" * 5000 + "\n" + "\n".join(stack)]
     for budget in (1, 40, 200, 500):
-        assert column(spark, [*texts, None], prompts.excerpts(budget)) == [*[naive_excerpt(t, budget) for t in texts], None]
+        assert column(spark, [*texts, None], lambda c, budget=budget: prompts.excerpt(c, budget)) == [*[naive_excerpt(t, budget) for t in texts], None]
 
 
 def test_rule_ids(spark):
