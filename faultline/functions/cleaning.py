@@ -144,8 +144,12 @@ def without_driver_info(text: Column) -> Column:
 
 def url_decoded(text: Column) -> Column:
     """Decoded where it holds encoded characters, and then without brackets and percent signs; a plus stays one."""
-    safe = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return let(F.coalesce(F.try_url_decode(safe), text), lambda d: F.when(d == text, text).otherwise(F.regexp_replace(d, "[(){}#%]", " ")))
+    def of(t: Column) -> Column:
+        safe = F.regexp_replace(F.replace(t, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+        decoded = let(F.coalesce(F.try_url_decode(safe), t), lambda d: F.when(d == t, t).otherwise(F.regexp_replace(d, "[(){}#%]", " ")))
+        return F.when(t.contains("%"), decoded).otherwise(t)
+
+    return let(text, of)
 
 
 def without_generated(text: Column) -> Column:
@@ -177,8 +181,8 @@ def without_html(text: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.struct(F.when(closed, F.concat(done, F.array(replaced(joined(part), HTML)))).otherwise(done).alias("done"), F.when(closed, none).otherwise(part).alias("part"), (opened & ~closed).alias("open"))
 
-    cleaned = F.aggregate(lines_of(text), empty, step, lambda s: joined(F.concat(s.done, s.part)))
-    return without_blank_lines(F.when(text.contains("html>") | text.contains("<html"), cleaned).otherwise(text))
+    cleaned = lambda t: F.aggregate(lines_of(t), empty, step, lambda s: joined(F.concat(s.done, s.part)))
+    return without_blank_lines(let(text, lambda t: F.when(t.contains("html>") | t.contains("<html"), cleaned(t)).otherwise(t)))
 
 
 def clean(text: Column) -> Column:
@@ -210,7 +214,10 @@ def words(text: Column, lower: bool = True, unique: bool = True, least: int = 0)
 
 def exceptions(text: Column) -> Column:
     """Words that end in error, exception or failure after three characters or more, in order of first sight."""
-    return F.filter(words(text, lower=False), lambda w: F.lower(w).rlike("\\S{3,}(error|exception|failure)(\\s|$)"))
+    t = F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, " " * len(PUNCTUATION))
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    ends = F.filter(F.transform(F.split(t, "(?U)\\s+"), lambda w: F.btrim(w, F.lit("."))), lambda w: F.lower(w).rlike("\\S{3,}(error|exception|failure)(\\s|$)"))
+    return F.array_distinct(F.filter(ends, lambda w: ~F.array_contains(stop, w)))
 
 
 def only_numbers(text: Column) -> Column:
@@ -222,7 +229,9 @@ def status_codes(text: Column, unique: bool = True) -> Column:
     def of(line: Column) -> Column:
         return F.array(*[F.regexp_extract(line, MODE + p, g) for p, n in STATUS_CODES for g in range(1, n + 1)])
 
-    found = F.filter(F.flatten(F.transform(lines_of(F.coalesce(text, F.lit(""))), of)), lambda c: c != "")
+    # a code is a number, so a line without a digit has none
+    lines = F.filter(lines_of(F.coalesce(text, F.lit(""))), lambda x: x.rlike("(?U)\\d"))
+    found = F.filter(F.flatten(F.transform(lines, of)), lambda c: c != "")
     return F.array_distinct(found) if unique else found
 
 
@@ -307,8 +316,8 @@ def _python_parts(text: Column) -> Column:
 
 def parts(text: Column) -> Column:
     """A struct of description and stack; a message of two lines or less is all description."""
-    lines = lines_of(text)
-    other = _parted(F.filter(lines, lambda x: ~stack_line(x)), F.filter(lines, stack_line), 1)
+    judged = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), stack_line(x).alias("frame")))
+    other = let(judged, lambda js: _parted(F.filter(js, lambda j: ~j.frame)["line"], F.filter(js, lambda j: j.frame)["line"], 1))
     short = F.struct(text.alias("description"), F.lit("").alias("stack"))
     return F.when(line_count(text) <= 2, short).when(python_log(text), _python_parts(text)).otherwise(other)
 
@@ -337,16 +346,27 @@ def similarity_tokens(text: Column) -> Column:
     return F.filter(F.split(t, "(?U)\\s+"), lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
+def normalized(message: Column) -> Column:
+    """A log's text, basic and unified; a null message is an empty one."""
+    return unified(basic(F.coalesce(message, F.lit(""))))
+
+
+def has_stack(u: Column) -> Column:
+    """If a normalised log has a stack."""
+    return parts(u).stack.rlike("(?U)\\S")
+
+
+def record(u: Column) -> Column:
+    """The record of a normalised log: description, stack as it is and cleaned, exceptions, codes, URLs, paths, if it has a stack."""
+    return let(parts(u), lambda p: let(urls(p.description), lambda found: F.struct(
+        u.alias("unified"), p.description.alias("msg"), p.stack.alias("stack_raw"), without_numbers(without_brackets(p.stack)).alias("stack"), exceptions(u).alias("exceptions"),
+        status_codes(p.description).alias("status_codes"), found.alias("urls"), paths(without_urls(p.description, F.array_distinct(found))).alias("paths"), p.stack.rlike("(?U)\\S").alias("has_stacktrace"),
+    )))
+
+
 def cleaned_log(message: Column) -> Column:
-    """The record of a log: unified text, description, stack as it is and cleaned, exceptions, codes, URLs, paths, if it has a
-    stack. A null message is an empty one."""
-    def record(u: Column) -> Column:
-        return let(parts(u), lambda p: let(urls(p.description), lambda found: F.struct(
-            u.alias("unified"), p.description.alias("msg"), p.stack.alias("stack_raw"), without_numbers(without_brackets(p.stack)).alias("stack"), exceptions(u).alias("exceptions"),
-            status_codes(p.description).alias("status_codes"), found.alias("urls"), paths(without_urls(p.description, F.array_distinct(found))).alias("paths"), p.stack.rlike("(?U)\\S").alias("has_stacktrace"),
-        )))
-
-    return let(unified(basic(F.coalesce(message, F.lit("")))), record)
+    """The record of a log as it came."""
+    return let(normalized(message), record)
 
 
 def humps(word: Column) -> Column:

@@ -91,18 +91,19 @@ def t25(v: Views) -> DataFrame:
 
 
 def signed_logs(v: Views) -> DataFrame:
-    """Every error log's record, with the item's text and a stack made up for every third item."""
+    """Every error log's normalised text and if it has a stack, with the item's text and a stack made up for every third item."""
     logs = v("v_log").where("log_level >= 40000").select("item_id", "pos", "message")
     s = v("v_signature").select("item_id", "exc_text")
     stack = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("\n\tat org.shop.Cart$1.total(Cart.java:7)\n\tat org.junit.Run.go(Run.java:1)\n\tat app.Main.run(Main.java:"), F.col("item_id").cast("string"), F.lit(")"))).otherwise("")
     whole = F.concat(F.coalesce("exc_text", F.lit("")), F.lit(": "), F.col("message"), stack)
-    return logs.join(s, "item_id", "left").select("item_id", "pos", cleaning.cleaned_log(whole).alias("log"))
+    rows = logs.join(s, "item_id", "left").select("item_id", "pos", cleaning.normalized(whole).alias("text"))
+    return rows.withColumn("has_stack", cleaning.has_stack(F.col("text")))
 
 
 def signatures(v: Views) -> DataFrame:
     """(item_id, classes, frames, msg_text, templates, codes, has_stack, is_assertion, document) of every item, from its primary
     log: the last one with a stack, else the last. Only that log of an item is kept, by an aggregate."""
-    primary = signed_logs(v).groupBy("item_id").agg(F.max_by("log", F.struct(F.col("log.has_stacktrace"), "pos")).alias("log"))
+    primary = signed_logs(v).groupBy("item_id").agg(F.max_by("text", F.struct("has_stack", "pos")).alias("text")).select("item_id", cleaning.record(F.col("text")).alias("log"))
     templates = v("v_signature").select("item_id", F.col("template_ids").cast("array<string>").alias("templates"))
     rows = primary.join(templates, "item_id", "left").withColumn("templates", F.coalesce("templates", F.array().cast("array<string>")))
     made = rows.select("item_id", "templates", chains.exception_chain(F.col("log.exceptions"), F.col("log.unified")).alias("classes"), chains.frames(F.col("log.stack_raw")).alias("frames"), chains.masked_message(F.col("log.msg")).alias("msg_text"), F.col("log.status_codes").alias("codes"), F.col("log.has_stacktrace").alias("has_stack"), chains.is_assertion(F.col("log.msg")).alias("is_assertion"))
@@ -140,7 +141,7 @@ def s5_signatures(v: Views) -> DataFrame:
 
 @query("m12_primary_log")
 def m12(v: Views) -> DataFrame:
-    return signed_logs(v).groupBy("item_id").agg(F.max_by("pos", F.struct(F.col("log.has_stacktrace"), "pos")).alias("pos"))
+    return signed_logs(v).groupBy("item_id").agg(F.max_by("pos", F.struct("has_stack", "pos")).alias("pos"))
 
 
 @query("m13_item_signatures", python=True)
