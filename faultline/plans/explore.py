@@ -53,9 +53,14 @@ def j21(v: Views) -> DataFrame:
 
 @query("j22_conflict_pool", """
 WITH l AS (SELECT item_id, arg_max(source, {'t': ts, 'e': event_id}) AS source FROM v_label_event GROUP BY item_id)
-SELECT i.item_id, s.error_hash, l.source FROM v_signature s JOIN v_item i USING (project_id, item_id) LEFT JOIN l USING (item_id) WHERE issue_type IS NOT NULL AND s.error_hash = 201 AND i.item_id <> 26""")
+SELECT q.item_id AS query_id, i.item_id, s.error_hash, l.source FROM v_signature q JOIN v_signature s USING (project_id, error_hash) JOIN v_item i ON i.item_id = s.item_id AND i.project_id = s.project_id LEFT JOIN l ON l.item_id = i.item_id
+WHERE q.item_id % 50 = 0 AND issue_type IS NOT NULL AND i.item_id <> q.item_id QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY i.item_id DESC) <= 10""")
 def j22(v: Views) -> DataFrame:
-    found = _placed(v).where("issue_type IS NOT NULL AND error_hash = 201 AND item_id <> 26").select("item_id", "error_hash")
+    """For each query item the ten newest labelled items of its hash, with the source of each one's last label. A hash is cut to its
+    eleven newest first, of which the query may be one."""
+    heads = top_k(_placed(v).where("issue_type IS NOT NULL").select("project_id", "error_hash", "item_id"), ["project_id", "error_hash"], [F.desc("item_id")], 11, "of_hash")
+    asked = v("v_signature").where("item_id % 50 = 0").select("project_id", "error_hash", F.col("item_id").alias("query_id"))
+    found = top_k(asked.join(heads, ["project_id", "error_hash"]).where("query_id <> item_id"), ["query_id"], [F.desc("item_id")], 10).select("query_id", "item_id", "error_hash")
     return found.join(latest(v("v_label_event"), ["item_id"], ["ts", "event_id"], ["source"]), "item_id", "left")
 
 

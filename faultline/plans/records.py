@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import base_group, clamp01
+from ..functions.labels import base_group, clamp01, difference_lower, wilson
 from ..functions.text import jaccard
+from ..operators.feedback import Effects, feedback
 from ..operators.relational import latest, top_k, upsert
 from ..sources.views import AS_OF
+from .decision import MODES_SQL, mode_matches
 from .registry import Views, query
+from .triage import LABELLED, evidence, hybrid, hybrid_sql
 
 NOW_MS = 1706745600000
 
@@ -194,12 +199,14 @@ def j23(v: Views) -> DataFrame:
     return v("v_signature").where("item_id = 26").join(v("v_item"), ["project_id", "item_id"]).select("item_id", "launch_name", "start_time", "error_hash", "exc_text")
 
 
-@query("r11_candidates", "WITH m AS (SELECT 0 AS kind, mode_id AS id FROM v_mode WHERE project_id = 1 AND status <> 'retired' ORDER BY mode_id LIMIT 10), i AS (SELECT 1 AS kind, item_id AS id FROM v_item WHERE project_id = 1 ORDER BY item_id DESC LIMIT 20) SELECT * FROM (SELECT * FROM m UNION ALL SELECT * FROM i) ORDER BY kind, CASE WHEN kind = 0 THEN id ELSE -id END LIMIT 30")
+@query("r11_candidates", hybrid_sql(LABELLED, 20) + ", " + MODES_SQL.replace("q AS (", "mq AS (").replace("FROM q JOIN v_mode", "FROM mq JOIN v_mode") + """,
+u AS (SELECT query_id, 0 AS kind, mode_id AS id, place FROM k UNION ALL SELECT query_id, 1, item_id, place FROM best)
+SELECT query_id, kind, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kind, place) AS INTEGER) AS place FROM u QUALIFY place <= 20 + 10""")
 def r11(v: Views) -> DataFrame:
-    """At most ten modes, then items, 30 in all."""
-    modes = v("v_mode").where("project_id = 1 AND status <> 'retired'").orderBy("mode_id").limit(10).select(F.lit(0).alias("kind"), F.col("mode_id").alias("id"))
-    items = v("v_item").where("project_id = 1").orderBy(F.desc("item_id")).limit(20).select(F.lit(1).alias("kind"), F.col("item_id").alias("id"))
-    return modes.unionByName(items).orderBy("kind", F.when(F.col("kind") == 0, F.col("id")).otherwise(-F.col("id"))).limit(30)
+    """For each query item at most ten modes, then the best items of both legs, k + 10 in all."""
+    modes = mode_matches(v).select("query_id", F.lit(0).alias("kind"), F.col("mode_id").alias("id"), "place")
+    items = hybrid(v, evidence(v), 20).select("query_id", F.lit(1).alias("kind"), F.col("item_id").alias("id"), "place")
+    return top_k(modes.unionByName(items).withColumnRenamed("place", "of_kind"), ["query_id"], [F.col("kind"), F.col("of_kind")], 20 + 10, "place").drop("of_kind")
 
 
 # aggregates
@@ -267,16 +274,33 @@ def a27(v: Views) -> DataFrame:
     return c.join(t, "error_hash").groupBy("error_hash", "total").agg((F.round(-F.sum(p * F.log(p)) / F.log(F.lit(4.0)), 6) + 0.0).alias("entropy"))
 
 
-@query("a31_kill_switch", """
-WITH c AS (SELECT role, count(*) AS n, count(*) FILTER (WHERE outcome = 'ok') AS s, (SELECT count(*) FILTER (WHERE outcome = 'ok') / count(*) FROM v_llm_event) AS base FROM v_llm_event GROUP BY role)
-SELECT role, CASE WHEN n < 50 THEN 'too_few' WHEN s / n >= base - 0.02 THEN 'keep' WHEN s / n >= 0.95 * base THEN 'watch' WHEN s / n >= 0.8 THEN 'absolute' ELSE 'off' END AS rule FROM c""")
+# Fixed values of the kill switch: cases that a comparison and each of its arms must have, the tolerated gap, the precision above
+# which a role stays, and the one that its upper bound must reach.
+KILL_LEAST, KILL_GAP, KILL_STAYS, KILL_FLOOR = 50, 0.02, 0.95, 0.80
+_BOUND = "(s{0} / n{0} + 3.8416 / (2 * n{0}) {1} 1.96 * sqrt(s{0} / n{0} * (1 - s{0} / n{0}) / n{0} + 3.8416 / (4.0 * n{0} * n{0}))) / (1 + 3.8416 / n{0})"
+
+
+@query("a31_kill_switch", f"""
+WITH c AS (SELECT project_id, role, count(*) FILTER (WHERE NOT cache_hit) AS n1, count(*) FILTER (WHERE NOT cache_hit AND outcome = 'ok') AS s1, count(*) FILTER (WHERE cache_hit) AS n2, count(*) FILTER (WHERE cache_hit AND outcome = 'ok') AS s2 FROM v_llm_event GROUP BY ALL),
+w AS (SELECT *, CASE WHEN n1 > 0 THEN {_BOUND.format(1, "-")} END AS lo1, CASE WHEN n1 > 0 THEN {_BOUND.format(1, "+")} END AS hi1, CASE WHEN n2 > 0 THEN {_BOUND.format(2, "+")} END AS hi2, CASE WHEN n1 > 0 THEN s1 / n1 ELSE 0.0 END AS p1, CASE WHEN n2 > 0 THEN s2 / n2 ELSE 0.0 END AS p2 FROM c),
+d AS (SELECT *, p1 - p2 - sqrt((p1 - lo1) * (p1 - lo1) + (hi2 - p2) * (hi2 - p2)) AS lower FROM w),
+r AS (SELECT *, CASE WHEN n1 >= 50 AND hi1 < 0.8 THEN 'below_absolute_floor' WHEN least(n1, n2) < 50 THEN CASE WHEN n1 < 50 THEN 'too_few' ELSE 'other_arm_too_few' END WHEN p1 >= 0.95 THEN 'above_precision_floor'
+  WHEN NOT p1 < p2 - 0.02 THEN 'gap_tolerated' WHEN NOT lower < 0 THEN 'bound_not_negative' ELSE 'less_precise' END AS reason FROM d)
+SELECT project_id, role, n1 AS n, round(p1, 6) AS precision, round(p2, 6) AS other_precision, round(lower, 6) AS lower, reason, reason IN ('below_absolute_floor', 'less_precise') AS disabled FROM r""")
 def a31(v: Views) -> DataFrame:
-    """The first rule that holds for a role's successes among its uses, against those of all."""
-    c = v("v_llm_event").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("s"))
-    every = Window.partitionBy()  # a row a role
-    rows = c.withColumn("base", F.sum("s").over(every) / F.sum("n").over(every)).withColumn("p", F.col("s") / F.col("n"))
-    rule = F.when(F.col("n") < 50, "too_few").when(F.col("p") >= F.col("base") - 0.02, "keep").when(F.col("p") >= 0.95 * F.col("base"), "watch").when(F.col("p") >= 0.8, "absolute").otherwise("off")
-    return rows.select("role", rule.alias("rule"))
+    """For each project and role the first rule that holds for its calls against those answered from the cache, the classical arm here."""
+    ok, own = F.col("outcome") == "ok", ~F.col("cache_hit")
+    c = v("v_llm_event").groupBy("project_id", "role").agg(F.count_if(own).alias("n1"), F.count_if(own & ok).alias("s1"), F.count_if(~own).alias("n2"), F.count_if(~own & ok).alias("s2"))
+    some = lambda x, *n: F.when(reduce(lambda a, b: a & b, [F.col(k) > 0 for k in n]), x)
+    upper = some(wilson(F.col("s1"), F.col("n1"))[1], "n1")
+    p = lambda k: F.when(F.col(f"n{k}") > 0, F.col(f"s{k}") / F.col(f"n{k}")).otherwise(0.0)
+    rows = c.select("*", p(1).alias("p1"), p(2).alias("p2"), upper.alias("upper"), some(difference_lower(F.col("s1"), F.col("n1"), F.col("s2"), F.col("n2")), "n1", "n2").alias("lower"))
+    reason = (
+        F.when((F.col("n1") >= KILL_LEAST) & (F.col("upper") < KILL_FLOOR), "below_absolute_floor").when(F.col("n1") < KILL_LEAST, "too_few").when(F.col("n2") < KILL_LEAST, "other_arm_too_few")
+        .when(F.col("p1") >= KILL_STAYS, "above_precision_floor").when(~(F.col("p1") < F.col("p2") - KILL_GAP), "gap_tolerated").when(~(F.col("lower") < 0), "bound_not_negative").otherwise("less_precise")
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.select("project_id", "role", F.col("n1").alias("n"), F.round("p1", 6).alias("precision"), F.round("p2", 6).alias("other_precision"), F.round("lower", 6).alias("lower"), "reason", F.col("reason").isin("below_absolute_floor", "less_precise").alias("disabled"))
 
 
 @query("a33_day_slice", "SELECT suggestion_id FROM v_suggestion WHERE created_at >= TIMESTAMP '2024-01-10 00:00:00' AND created_at < TIMESTAMP '2024-01-11 00:00:00'")
@@ -304,11 +328,11 @@ def w5(v: Views) -> DataFrame:
     return latest(v("v_label_event"), ["project_id", "item_id"], ["ts", "event_id"], ["new_label"]).withColumnRenamed("new_label", "label")
 
 
-@query("w9_sort_order", "SELECT item_id, CAST(row_number() OVER (ORDER BY (launch_id = 3) DESC, issue_type DESC NULLS LAST, item_id) AS INTEGER) AS place FROM v_item WHERE launch_id < 6")
+@query("w9_sort_order", "SELECT project_id, item_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY (launch_id % 7 = 3) DESC, issue_type DESC NULLS LAST, item_id) AS INTEGER) AS place FROM v_item QUALIFY place <= 200")
 def w9(v: Views) -> DataFrame:
-    """The asked launch first, then by label with nulls last: a page of launches, so few rows."""
-    rows = v("v_item").where("launch_id < 6").select("item_id", "issue_type", (F.col("launch_id") == 3).alias("own"))
-    return rows.select("item_id", F.row_number().over(Window.orderBy(F.desc("own"), F.desc_nulls_last("issue_type"), "item_id")).alias("place"))
+    """A page of each project: the asked launches first, then by label with nulls last."""
+    rows = v("v_item").select("project_id", "item_id", "issue_type", (F.col("launch_id") % 7 == 3).alias("own"))
+    return top_k(rows, ["project_id"], [F.desc("own"), F.desc_nulls_last("issue_type"), F.asc("item_id")], 200, "place").select("project_id", "item_id", "place")
 
 
 @query("w11_set_operations", "SELECT 'all' AS op, count(*) AS n FROM (SELECT error_hash FROM v_signature UNION ALL SELECT exception_fp FROM v_signature) UNION ALL SELECT 'distinct', count(*) FROM (SELECT error_hash FROM v_signature UNION SELECT exception_fp FROM v_signature) UNION ALL SELECT 'both', count(*) FROM (SELECT error_hash FROM v_signature INTERSECT SELECT exception_fp FROM v_signature)")
@@ -442,29 +466,98 @@ def g5(v: Views) -> DataFrame:
     return g4(v).select("launch_id", "error_hash", F.col("n").alias("members"), (F.col("si_prior") > 0).alias("dominant"))
 
 
-@query("l1_feedback", """
-WITH f AS (SELECT event_id, item_id, nullif(lower(trim(new_label)), '') AS label, ts FROM v_label_event WHERE source = 'rp_defect_update'), k AS (SELECT f.*, i.item_id IS NOT NULL AS known FROM f LEFT JOIN v_item i USING (item_id))
-SELECT item_id, known, arg_max(label, {'t': ts, 'e': event_id}) AS label, count(*) AS events FROM k GROUP BY item_id, known""")
-def l1(v: Views) -> DataFrame:
-    """Defect updates by item: the last label, how many there were, and if the item is known."""
-    f = v("v_label_event").where("source = 'rp_defect_update'").withColumn("label", F.nullif(F.lower(F.trim("new_label")), F.lit("")))
-    f = f.join(v("v_item").select("item_id", F.lit(True).alias("known")), "item_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return f.groupBy("item_id", "known").agg(F.max_by("label", F.struct("ts", "event_id")).alias("label"), F.count("*").alias("events"))
+# feedback: the label events that come from outside are the updates, of which every seventh names an item that isn't known
 
+_FEEDBACK_SQL = """
+WITH u AS (SELECT project_id, CASE WHEN event_id % 7 = 0 THEN -item_id - 1 ELSE item_id END AS item_id, lower(trim(concat(' ', upper(new_label)))) AS new_label, ts AS stamp FROM v_label_event WHERE source = 'rp_defect_update'),
+st AS (SELECT project_id, item_id, issue_type AS stored FROM v_item), kn AS (SELECT u.*, stored FROM u JOIN st USING (project_id, item_id)),
+la AS (SELECT project_id, item_id, arg_max(new_label, {'t': stamp, 'l': new_label}) AS issue_type FROM kn GROUP BY ALL)"""
 
-@query("l7_ship_gate", """
-WITH r AS (SELECT model_ver, count(*) FILTER (WHERE outcome = 'accepted') / count(*) AS f1, count(*) FILTER (WHERE outcome = 'accepted' AND confidence >= 0.75) / nullif(count(*) FILTER (WHERE confidence >= 0.75), 0) AS auto, count(*) FILTER (WHERE confidence < 0.45) / count(*) AS abstain FROM v_suggestion WHERE model_ver LIKE 'gbm%' GROUP BY model_ver),
-a AS (SELECT * FROM r WHERE model_ver = 'gbm-v1'), c AS (SELECT * FROM r WHERE model_ver = 'gbm-v2')
-SELECT c.f1 >= a.f1 - 0.005 AS f1_ok, coalesce(c.auto, 0) >= greatest(coalesce(a.auto, 0), 0.855) AS auto_ok, c.abstain <= a.abstain + 0.05 AS abstain_ok FROM a, c""")
+
+def effects(v: Views) -> Effects:
+    item = F.when(F.col("event_id") % 7 == 0, -F.col("item_id") - 1).otherwise(F.col("item_id"))
+    updates = v("v_label_event").where("source = 'rp_defect_update'").select("project_id", item.alias("item_id"), F.concat(F.lit(" "), F.upper("new_label")).alias("issue_type"), F.col("ts").alias("at"))
+    suggestions = v("v_suggestion").select("suggestion_id", (F.col("item_id") % 2 + 1).alias("project_id"), "item_id", "predicted_label", "outcome")
+    return feedback(updates, v("v_item"), v("v_mode_member"), suggestions)
+
+
+@query("l1_feedback", _FEEDBACK_SQL + " SELECT * FROM la")
+def l1(v: Views) -> DataFrame:
+    """The items that defect updates give another label."""
+    return effects(v).items
+
+
+@query("l1_feedback_events", _FEEDBACK_SQL + " SELECT project_id, item_id, coalesce(lag(new_label) OVER (PARTITION BY project_id, item_id ORDER BY stamp, new_label), stored) AS old_label, new_label, 'rp_defect_update' AS source, stamp AS \"at\" FROM kn")
+def l1_events(v: Views) -> DataFrame:
+    return effects(v).events
+
+
+@query("l1_feedback_unknown", _FEEDBACK_SQL + " SELECT DISTINCT project_id, item_id FROM u ANTI JOIN st USING (project_id, item_id)")
+def l1_unknown(v: Views) -> DataFrame:
+    return effects(v).unknown
+
+
+@query("l1_feedback_purity", _FEEDBACK_SQL + """,
+nw AS (SELECT project_id, item_id, coalesce(issue_type, stored) AS label FROM st LEFT JOIN la USING (project_id, item_id) WHERE label <> ''),
+ct AS (SELECT m.project_id, m.mode_id, label, count(*) AS n FROM v_mode_member m JOIN nw USING (project_id, item_id) WHERE (m.project_id, m.mode_id) IN (SELECT (project_id, mode_id) FROM v_mode_member JOIN la USING (project_id, item_id)) GROUP BY ALL)
+SELECT project_id, mode_id, sum(n)::BIGINT AS labelled, round(max(n) / sum(n), 6) AS purity FROM ct GROUP BY ALL""")
+def l1_purity(v: Views) -> DataFrame:
+    return effects(v).purity.withColumn("purity", F.round("purity", 6))
+
+
+@query("l1_feedback_outcomes", _FEEDBACK_SQL + """
+SELECT suggestion_id, CASE WHEN substr(predicted_label, 1, 2) IN ('pb', 'ab', 'si', 'nd') AND substr(predicted_label, 1, 2) = substr(la.issue_type, 1, 2) THEN 'accepted' ELSE 'corrected' END AS outcome
+FROM v_suggestion s JOIN la ON la.item_id = s.item_id AND la.project_id = s.item_id % 2 + 1 WHERE outcome = 'pending'""")
+def l1_outcomes(v: Views) -> DataFrame:
+    return effects(v).outcomes
+
+
+_REPORT_SQL = """
+WITH t AS (SELECT item_id, substr(arg_max(new_label, {'t': ts, 'e': event_id}), 1, 2) AS truth FROM v_label_event GROUP BY item_id),
+p AS (SELECT model_ver, truth, substr(predicted_label, 1, 2) AS guess, confidence FROM v_suggestion JOIN t USING (item_id) WHERE model_ver IN ('gbm-v1', 'gbm-v2') AND truth IN ('pb', 'ab', 'si', 'nd')),
+l AS (SELECT model_ver, g.label, count(*) FILTER (WHERE truth = g.label) AS support, count(*) FILTER (WHERE guess = g.label) AS predicted, count(*) FILTER (WHERE truth = g.label AND guess = g.label) AS hits FROM p, (VALUES ('pb'), ('ab'), ('si'), ('nd')) AS g(label) GROUP BY ALL),
+f AS (SELECT model_ver, avg(CASE WHEN hits > 0 THEN 2.0 * hits / (predicted + support) ELSE 0.0 END) AS f1 FROM l WHERE support > 0 GROUP BY model_ver),
+b AS (SELECT model_ver, least(CAST(floor(confidence * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg(CASE WHEN truth = guess THEN 1.0 ELSE 0.0 END) AS a FROM p GROUP BY ALL),
+e AS (SELECT model_ver, sum(n * abs(c - a)) / sum(n) AS ece FROM b GROUP BY model_ver),
+o AS (SELECT model_ver, count(*) FILTER (WHERE truth = guess AND confidence >= 0.75) / nullif(count(*) FILTER (WHERE confidence >= 0.75), 0) AS auto, count(*) FILTER (WHERE confidence < 0.45) / count(*) AS abstain FROM p GROUP BY model_ver),
+r AS (SELECT * FROM f JOIN e USING (model_ver) JOIN o USING (model_ver))"""
+# Fixed values of the gate: how far F1 may fall, and may fall where calibration mends; what counts as bad calibration and as mended;
+# the least precision of what is decided alone; how many more abstentions are borne.
+F1_SLACK, F1_SLACK_MENDED, BAD_ECE, MENDED_ECE, AUTO_PRECISION, ABSTAIN_SLACK = 0.005, 0.05, 0.15, 0.05, 0.855, 0.05
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """(model_ver, f1, ece, auto, abstain) of rows (model_ver, truth, guess, confidence): macro F1 over the groups that occur, calibration
+    error over ten bins, precision of what is decided alone, share of abstentions. Counts by group and bin, then a row a model."""
+    sides = F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col("guess").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g")))
+    hit = F.col("truth") == F.col("guess")
+    by_label = rows.select("model_ver", F.coalesce(hit, F.lit(False)).alias("hit"), F.inline(sides)).groupBy("model_ver", "label").agg(F.sum("t").alias("support"), F.sum("g").alias("predicted"), F.count_if(F.col("hit") & (F.col("t") == 1)).alias("hits"))
+    f1 = by_label.where("support > 0").groupBy("model_ver").agg(F.avg(F.when(F.col("hits") > 0, 2.0 * F.col("hits") / (F.col("predicted") + F.col("support"))).otherwise(0.0)).alias("f1"))
+    bins = rows.groupBy("model_ver", F.least(F.floor(F.col("confidence") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("a"))
+    ece = bins.groupBy("model_ver").agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"))
+    alone = F.col("confidence") >= 0.75
+    rest = rows.groupBy("model_ver").agg(F.try_divide(F.count_if(hit & alone), F.count_if(alone)).alias("auto"), (F.count_if(F.col("confidence") < 0.45) / F.count("*")).alias("abstain"))
+    return f1.join(ece, "model_ver").join(rest, "model_ver")
+
+
+@query("l7_ship_gate", _REPORT_SQL + """, a AS (SELECT * FROM r WHERE model_ver = 'gbm-v1'), c AS (SELECT * FROM r WHERE model_ver = 'gbm-v2')
+SELECT c.f1 >= a.f1 - 0.005 OR (a.ece > 0.15 AND c.ece <= a.ece - 0.05 AND c.f1 >= a.f1 - 0.05) AS f1_ok, coalesce(c.auto, 0) >= greatest(coalesce(a.auto, 0), 0.855) AS auto_ok, c.abstain <= a.abstain + 0.05 AS abstain_ok,
+  round(a.f1, 6) AS active_f1, round(c.f1, 6) AS new_f1, round(a.ece, 6) AS active_ece, round(c.ece, 6) AS new_ece FROM a, c""")
 def l7(v: Views) -> DataFrame:
-    """If the new model (gbm-v2) may take the active one's place: as good, as sure of what it decides alone, and as decided."""
-    s = v("v_suggestion").where(F.col("model_ver").startswith("gbm"))
-    hit, auto = F.col("outcome") == "accepted", F.col("confidence") >= 0.75
-    r = s.groupBy("model_ver").agg((F.count_if(hit) / F.count("*")).alias("f1"), F.try_divide(F.count_if(hit & auto), F.count_if(auto)).alias("auto"), (F.count_if(F.col("confidence") < 0.45) / F.count("*")).alias("abstain"))
-    of = lambda m, p: r.where(F.col("model_ver") == m).select(*[F.col(c).alias(f"{p}_{c}") for c in ("f1", "auto", "abstain")])
+    """If the new model (gbm-v2) may take the active one's place, by both reports on the items whose last label is known: as good (or a
+    little worse where a badly calibrated model is mended), as sure of what it decides alone, and as decided."""
+    truth = latest(v("v_label_event"), ["item_id"], ["ts", "event_id"], ["new_label"]).select("item_id", base_group(F.col("new_label")).alias("truth")).where("truth IS NOT NULL")
+    rows = v("v_suggestion").where(F.col("model_ver").isin("gbm-v1", "gbm-v2")).join(truth, "item_id").select("model_ver", "truth", F.substring("predicted_label", 1, 2).alias("guess"), "confidence")
+    names = ("f1", "ece", "auto", "abstain")
+    r = report(rows)
+    of = lambda m, p: r.where(F.col("model_ver") == m).select(*[F.col(c).alias(f"{p}_{c}") for c in names])
     both = of("gbm-v1", "a").join(F.broadcast(of("gbm-v2", "c")))  # a row each
-    zero = F.lit(0.0)
-    return both.select((F.col("c_f1") >= F.col("a_f1") - 0.005).alias("f1_ok"), (F.coalesce("c_auto", zero) >= F.greatest(F.coalesce("a_auto", zero), F.lit(0.855))).alias("auto_ok"), (F.col("c_abstain") <= F.col("a_abstain") + 0.05).alias("abstain_ok"))
+    zero, c = F.lit(0.0), F.col
+    mended = (c("a_ece") > BAD_ECE) & (c("c_ece") <= c("a_ece") - MENDED_ECE) & (c("c_f1") >= c("a_f1") - F1_SLACK_MENDED)
+    return both.select(
+        ((c("c_f1") >= c("a_f1") - F1_SLACK) | mended).alias("f1_ok"), (F.coalesce("c_auto", zero) >= F.greatest(F.coalesce("a_auto", zero), F.lit(AUTO_PRECISION))).alias("auto_ok"), (c("c_abstain") <= c("a_abstain") + ABSTAIN_SLACK).alias("abstain_ok"),
+        F.round("a_f1", 6).alias("active_f1"), F.round("c_f1", 6).alias("new_f1"), F.round("a_ece", 6).alias("active_ece"), F.round("c_ece", 6).alias("new_ece"),
+    )
 
 
 @query("l8_last_shipped", "SELECT project_id, arg_max(model_ver, {'t': created_at, 'i': suggestion_id}) AS active FROM v_suggestion WHERE model_ver LIKE 'gbm%' GROUP BY project_id")

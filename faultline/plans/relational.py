@@ -89,14 +89,20 @@ def f11(v: Views) -> DataFrame:
     return v("v_template").where(F.col("pattern").ilike("%PUR%")).select("template_id", "pattern").distinct()
 
 
-@query("f12_signature_search", "SELECT item_id FROM v_signature WHERE exc_text ILIKE '%KEYERR%' OR msg_text ILIKE '%tion%'")
+@query("f12_signature_search", "SELECT item_id FROM v_signature WHERE exc_text ILIKE '%KEYERR%' OR msg_text ILIKE '%thandon%' OR frames_text ILIKE '%case7.STEP3%'")
 def f12(v: Views) -> DataFrame:
-    return v("v_signature").where(F.col("exc_text").ilike("%KEYERR%") | F.col("msg_text").ilike("%tion%")).select("item_id")
+    return v("v_signature").where(F.col("exc_text").ilike("%KEYERR%") | F.col("msg_text").ilike("%thandon%") | F.col("frames_text").ilike("%case7.STEP3%")).select("item_id")
 
 
-@query("f13_llm_event_filter", "SELECT event_id, role FROM v_llm_event WHERE role IN ('click', 'view') AND outcome IN ('guardrail', 'timeout')")
+#: The groups that outcomes of a text model's calls are filtered by.
+OUTCOME_GROUPS = {"ok": ("ok",), "guardrail": ("guardrail", "invalid", "rejected"), "unavailable": ("timeout", "error", "circuit_open")}
+
+
+@query("f13_llm_event_filter", "SELECT event_id, role, CASE outcome WHEN 'ok' THEN 'ok' WHEN 'guardrail' THEN 'guardrail' ELSE 'unavailable' END AS outcome_group FROM v_llm_event WHERE role IN ('click', 'view') AND outcome IN ('guardrail', 'timeout')")
 def f13(v: Views) -> DataFrame:
-    return v("v_llm_event").where(F.col("role").isin("click", "view") & F.col("outcome").isin("guardrail", "timeout")).select("event_id", "role")
+    """Events of two roles that didn't go well, by group of outcome."""
+    group = F.coalesce(*[F.when(F.col("outcome").isin(*names), F.lit(g)) for g, names in OUTCOME_GROUPS.items()])
+    return v("v_llm_event").select("event_id", "role", group.alias("outcome_group")).where(F.col("role").isin("click", "view") & F.col("outcome_group").isin("guardrail", "unavailable"))
 
 
 @query("f14_time_window_delete", "SELECT item_id FROM v_item WHERE NOT coalesce(start_time >= TIMESTAMP '2024-01-05 00:00:00' AND start_time < TIMESTAMP '2024-01-10 00:00:00', FALSE)")
@@ -211,9 +217,17 @@ def w3(v: Views) -> DataFrame:
     return latest(v("v_suggestion"), ["item_id"], ["created_at", "suggestion_id"], ["suggestion_id", "predicted_label"])
 
 
-@query("w4_latest_rubric", "SELECT item_id, max(created_at) AS created_at FROM v_suggestion WHERE model_ver LIKE 'rubric+%' GROUP BY item_id")
+@query("w4_latest_rubric", f"""
+WITH r AS (SELECT 'rubric' AS kind, item_id, suggestion_id AS id, created_at FROM v_suggestion WHERE model_ver LIKE 'rubric+%' UNION ALL SELECT 'latest', item_id, suggestion_id, created_at FROM v_suggestion
+  UNION ALL SELECT 'judge', item_id, event_id, created_at FROM v_llm_event WHERE role = 'purchase' AND outcome = 'ok' AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL '14' DAY)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY kind, item_id ORDER BY created_at DESC, id DESC) = 1""")
 def w4(v: Views) -> DataFrame:
-    return v("v_suggestion").where(F.col("model_ver").startswith("rubric+")).groupBy("item_id").agg(F.max("created_at").alias("created_at"))
+    """For each item the last provisional suggestion of the rubric, the last judgement of the last 14 days, and the last suggestion."""
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), "item_id", F.col(key).alias("id"), "created_at")
+    s, e = v("v_suggestion"), v("v_llm_event")
+    fresh = F.col("created_at").cast("timestamp") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 14 DAYS")
+    rows = row(s.where(F.col("model_ver").startswith("rubric+")), "rubric", "suggestion_id").union(row(s, "latest", "suggestion_id")).union(row(e.where((F.col("role") == "purchase") & (F.col("outcome") == "ok") & fresh), "judge", "event_id"))
+    return latest(rows.withColumn("at", F.col("created_at")), ["kind", "item_id"], ["at", "id"], ["id", "created_at"])
 
 
 @query("w6_chronological_split", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) <= floor(0.8 * count(*) OVER ()) AS train FROM v_label_event")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chains, cleaning, text
 from ..operators.grouping import group_failures, mine_templates, unique_logs
@@ -286,7 +287,8 @@ def _streamed(run, mode: str, last, settings: dict[str, str] | None = None):
         finally:
             for k, x in before.items():
                 spark.conf.unset(k) if x is None else spark.conf.set(k, x)
-        return last(spark.read.schema(told.schema.add("epoch", "long")).parquet(f"{home}/out")).select(*told.columns)
+        names = told.columns
+        return last(spark.read.schema(T.StructType(told.schema.fields).add("epoch", "long")).parquet(f"{home}/out")).select(*names)
 
     return go
 
