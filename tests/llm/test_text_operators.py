@@ -446,3 +446,18 @@ def test_ngram_join_and_embedding_queries(spark, tmp_path):
     links = (e @ e.T >= 0.9).sum(1) - 1
     found = {r.vec_id: r.n_links for r in queries.op7_embedding_dedup(spark, path).collect()}
     assert all(found[i] <= links[i] for i in found) and sum(found.values()) >= 0.9 * links.sum()
+
+
+def test_plain_doubling_finds_the_same_strings(spark, written):
+    """Round after round over all positions, as the method is told, against the operator's few chosen ones."""
+    from faultline.llm.storage import Workspace
+    from faultline.llm.suffix_dedup import prefix_doubling, suffix_dedup
+
+    rows = [(i, t or "") for i, t, *_ in documents()][:40]
+    df = written(rows, "row long, text string", 3)
+    found, sizes = prefix_doubling(df, 400, Workspace(spark, "doubling"))
+    gone = defaultdict(set)
+    for r in found.collect():
+        gone[r.row].update(range(r.p, r.p + 400))
+    got = {r.row: r.n_removed for r in suffix_dedup(df, 400, 0, key="row").collect()}
+    assert got == {i: len(gone[i]) for i, _ in rows} and sizes == sorted(sizes, reverse=True) and sizes[0] == sum(len(t.encode()) for _, t in rows)
