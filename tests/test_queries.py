@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from faultline.plans import decision, explore, learning, records, registry, relational, roles, suggest, text, triage  # noqa: F401
+from faultline.plans import decision, explore, learning, records, registry, relational, roles, service, suggest, text, triage  # noqa: F401
 from faultline.sources.views import TABLES
 
 PATH = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -44,6 +45,9 @@ def decisions(rows, end, threshold=100):
         held |= failed is not None and at - failed < timedelta(minutes=5) and (reason == "events" or not cold)
         return not held and not (asked is not None and at - asked < timedelta(hours=1))
 
+    by_time = {}
+    for _, t, k in rows:
+        by_time.setdefault(t, []).append(k)
     at = rows[0][1]
     while at < end:
         if at.hour == 2 and at.minute == 0 and at > rows[0][1]:
@@ -53,7 +57,7 @@ def decisions(rows, end, threshold=100):
         if want and free("events", at):
             out.append((at, "events", "train"))
             asked, want = at, False
-        kinds = sorted(k for _, t, k in rows if t == at)
+        kinds = sorted(by_time.get(at, []))
         for kind in dict.fromkeys(kinds):
             if kind == "label":
                 new += kinds.count("label")
@@ -164,3 +168,29 @@ def test_late_rows_of_items_count(spark, rocks, tmp_path):
         (1, 1, days(0), "marked", 1), (1, 1, seen, "unmarked", 1), (1, 4, seen, "marked", 1), (1, 8, days(10), "marked", 1),
         (1, 4, seen + timedelta(days=30), "swept", 1), (1, 8, days(40), "swept", 1),
     ])
+
+
+PATH = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(PATH), reason="no test tables")
+def test_queries_give_what_the_rules_give(spark):
+    from faultline.plans.registry import QUERIES
+    from faultline.plans import service  # noqa: F401
+
+    events = sorted(spark.read.parquet(f"{PATH}/events.parquet").collect(), key=lambda r: r.ts)
+    rows = []
+    for r in events:
+        kind = ("shipped", "rejected", "cold")[r.event_id % 3] if r.event_id % 37 == 0 else "route" if r.event_id % 50 == 1 else "label"
+        rows.append((f"project-{r.user_id % 2}", r.ts.replace(second=0, microsecond=0), kind))
+    got = [tuple(r) for r in QUERIES["l9_training_requests"](spark, PATH).collect()]
+    for model in ("project-0", "project-1"):
+        want = decisions([r for r in rows if r[0] == model], rows[-1][1] - timedelta(minutes=10))
+        # a row's decision is told when its minute is over
+        assert sorted(r[1:] for r in got if r[0] == model and r[1] < rows[-1][1] - timedelta(minutes=12)) == sorted(w for w in want if w[0] < rows[-1][1] - timedelta(minutes=12))
+        assert len(want) > 30
+    kinds = {"signup": "item", "error": "gone"}
+    items = [(1 + r.user_id % 2, r.user_id, r.ts.replace(microsecond=0), kinds.get(r.event_type, "label")) for r in events]
+    items.sort(key=lambda r: (r[2], {"item": 0, "label": 1, "gone": 2}[r[3]]))
+    got = [tuple(r) for r in QUERIES["l12_orphan_sweeps"](spark, PATH).collect()]
+    assert sorted(got) == reaped(items, items[-1][2] - timedelta(hours=1), 3) and {r[3] for r in got} == {"marked", "unmarked", "swept"}
