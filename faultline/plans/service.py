@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.icicle import icicle
+from ..operators.modes import members, modes, purity
 from ..sources import messages
 from ..sources.shared import Scratch
 from ..streaming.dispatch import dispatched
@@ -94,3 +95,58 @@ def a29_map(v: Views) -> DataFrame:
     """The logs of each level as nested intervals by their first words."""
     t = v("v_log").groupBy("log_level", F.coalesce("message", F.lit("")).alias("pattern")).agg(F.count("*").alias("n"))
     return icicle(t, Scratch(t.sparkSession, "icicle"), "log_level")
+
+
+# modes from the log of what was done to them: each event is a step
+
+_LOG_SQL = """
+e AS (SELECT event_id, user_id, 1 + user_id % 2 AS project_id, event_type, value, user_id * 5 + event_id % 5 AS mode_id, {div} * 5 + event_id % 3 AS dst FROM {events}),
+lg AS (SELECT DISTINCT project_id, -1 - m AS seq, 'spawn' AS op, m AS mode_id, NULL AS other_id, NULL AS item_id, NULL AS score, NULL AS matched_by, 'candidate' AS status, CASE WHEN m % 3 = 0 THEN 'pb001' END AS label
+    FROM (SELECT project_id, mode_id AS m FROM e UNION SELECT project_id, dst AS m FROM e)
+  UNION ALL SELECT project_id, event_id * 4, 'merge', mode_id, dst, NULL, NULL, NULL, NULL, NULL FROM e WHERE event_id % 9 = 2
+  UNION ALL SELECT project_id, event_id * 4, 'status', mode_id, NULL, NULL, NULL, NULL, 'confirmed', CASE WHEN event_id % 2 = 0 THEN 'ab001' END FROM e WHERE event_id % 9 = 4
+  UNION ALL SELECT project_id, event_id * 4, 'spawn', 1000000000 + event_id, mode_id, NULL, NULL, NULL, 'candidate', NULL FROM e WHERE event_id % 9 = 7
+  UNION ALL SELECT project_id, event_id * 4 + 1, 'add', 1000000000 + event_id, NULL, user_id, CAST(1.0 AS DOUBLE), 'human', NULL, NULL FROM e WHERE event_id % 9 = 7
+  UNION ALL SELECT project_id, event_id * 4 + 2, 'retire', mode_id, NULL, NULL, NULL, NULL, NULL, NULL FROM e WHERE event_id % 9 = 7
+  UNION ALL SELECT project_id, event_id * 4, 'add', mode_id, NULL, event_id % 60, value, event_type, NULL, NULL FROM e WHERE event_id % 9 NOT IN (2, 4, 7))"""
+_MODES_SQL = "WITH RECURSIVE " + _LOG_SQL.replace("{div}", "(user_id // 4 * 2 + user_id % 2)").replace("{events}", "events").lstrip() + """,
+mg AS (SELECT project_id, mode_id AS src, other_id AS dst, seq, coalesce(lag(seq) OVER (PARTITION BY project_id, mode_id ORDER BY seq), -9000000000) AS prior FROM lg WHERE op = 'merge' AND mode_id <> other_id),
+walk AS (SELECT project_id, item_id, seq AS id, CAST(score AS DOUBLE) AS score, matched_by, mode_id, seq AS came, [seq] AS times FROM lg WHERE op = 'add'
+  UNION ALL SELECT w.project_id, item_id, id, score, matched_by, dst, seq, list_prepend(seq, times) FROM walk w JOIN mg ON mg.project_id = w.project_id AND src = w.mode_id AND seq > came AND prior < came),
+stay AS (SELECT w.*, coalesce(mg.seq, 9000000000) AS left_at, mg.seq IS NULL AS final FROM walk w LEFT JOIN mg ON mg.project_id = w.project_id AND src = w.mode_id AND seq > came AND prior < came),
+lost AS (SELECT DISTINCT s.project_id, s.id FROM stay s JOIN lg a ON a.op = 'add' AND a.project_id = s.project_id AND a.mode_id = s.mode_id AND a.item_id = s.item_id AND a.seq > s.came AND a.seq < s.left_at),
+found AS (SELECT project_id, mode_id, item_id, max(score) AS score, arg_min(matched_by, times) AS matched_by FROM stay WHERE final AND (project_id, id) NOT IN (SELECT project_id, id FROM lost) GROUP BY ALL),
+up AS (SELECT project_id, mode_id, mode_id AS ancestor, 0 AS far, 9000000000 AS until FROM lg WHERE op = 'spawn'
+  UNION ALL SELECT u.project_id, u.mode_id, other_id, far + 1, seq FROM up u JOIN lg l ON l.op = 'spawn' AND l.project_id = u.project_id AND l.mode_id = ancestor AND other_id IS NOT NULL),
+lb AS (SELECT u.project_id, u.mode_id, arg_max(label, {'f': -far, 's': seq}) AS label FROM up u JOIN lg l ON l.project_id = u.project_id AND l.mode_id = ancestor AND l.label IS NOT NULL AND seq < until GROUP BY ALL),
+st AS (SELECT project_id, mode_id, arg_max(CASE WHEN op IN ('merge', 'retire') THEN 'retired' ELSE status END, seq) AS status FROM lg WHERE op IN ('spawn', 'status', 'retire') OR op = 'merge' AND mode_id <> other_id GROUP BY ALL)"""
+
+
+def _log(v: Views) -> DataFrame:
+    """The log as ``modes.LOG``."""
+    e = v("events")
+    text = "WITH " + _LOG_SQL.replace("{div}", "(user_id div 4 * 2 + user_id % 2)").lstrip() + " SELECT project_id, seq, op, mode_id, CAST(other_id AS BIGINT) AS other_id, CAST(item_id AS BIGINT) AS item_id, CAST(score AS DOUBLE) AS score, CAST(matched_by AS STRING) AS matched_by, status, label FROM lg"
+    return e.sparkSession.sql(text, events=e)
+
+
+@query("k3_mode_members", _MODES_SQL + " SELECT project_id, mode_id, item_id, score, matched_by FROM found")
+def k3_members(v: Views) -> DataFrame:
+    """Who is linked with which mode after all spawns, adds, merges and splits."""
+    log = _log(v)
+    scratch = Scratch(log.sparkSession, "modes")
+    return members(scratch.write(log, "log"), scratch)
+
+
+@query("k3_mode_list", _MODES_SQL + """,
+m AS (SELECT f.project_id, f.mode_id, issue_type, count(*) AS n FROM found f LEFT JOIN v_item i USING (project_id, item_id) GROUP BY ALL),
+p AS (SELECT project_id, mode_id, CAST(sum(n) AS BIGINT) AS members, CAST(coalesce(sum(n) FILTER (WHERE issue_type IS NOT NULL), 0) AS BIGINT) AS support, max(n) FILTER (WHERE issue_type IS NOT NULL) AS most FROM m GROUP BY ALL)
+SELECT st.project_id, st.mode_id, status, label, coalesce(members, 0) AS members, coalesce(support, 0) AS support, coalesce(most / nullif(support, 0), 0.0) AS purity FROM st LEFT JOIN lb USING (project_id, mode_id) LEFT JOIN p USING (project_id, mode_id)""")
+def k3_list(v: Views) -> DataFrame:
+    """All modes with status, label, members, and how pure they are by their members' labels of now."""
+    log = _log(v)
+    scratch = Scratch(log.sparkSession, "modes")
+    log = scratch.write(log, "log")
+    pure = purity(members(log, scratch), v("v_item").select("project_id", "item_id", "issue_type"))
+    rows = modes(log, scratch).join(pure, ["project_id", "mode_id"], "left")
+    zero = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return rows.select("project_id", "mode_id", "status", "label", zero("members", 0), zero("support", 0), zero("purity", 0.0))
