@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators.icicle import icicle
 from ..operators.modes import members, modes, purity
+from ..operators.replay import paired, report
 from ..sources import messages
 from ..sources.shared import Scratch
 from ..streaming.dispatch import dispatched
 from ..streaming.miner import PROVIDER
 from ..streaming.timers import orphans, retrain_requests
 from .registry import QUERIES, Views, query
+from .relational import g4
 from .text import _streamed
 
 # messages: every 50th line of the queue is torn, every fourth sender waits for an answer
@@ -150,3 +153,23 @@ def k3_list(v: Views) -> DataFrame:
     rows = modes(log, scratch).join(pure, ["project_id", "mode_id"], "left")
     zero = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
     return rows.select("project_id", "mode_id", "status", "label", zero("members", 0), zero("support", 0), zero("purity", 0.0))
+
+
+# decisions taken twice
+
+
+@query("l11_paired_replay", python=True)
+def l11(v: Views) -> DataFrame:
+    """By project, what a model over an item's vector and its launch's features decides of all items, and what it would decide of each
+    alone. The model is a small one, trained on the labelled items."""
+    items = v("v_item").select("project_id", "item_id", "launch_id", "issue_group")
+    groups = g4(v)
+    launches = groups.groupBy("launch_id").agg(F.sum("n").alias("failures"))
+    sizes = items.groupBy("launch_id").agg(F.count("*").alias("items"))
+    rows = v("v_signature").where("size(emb) > 0").select("project_id", "item_id", "error_hash", "emb").join(items, ["project_id", "item_id"]).join(groups, ["launch_id", "error_hash"]).join(launches, "launch_id").join(sizes, "launch_id")
+    launch = {"group_dominance": F.col("n") / F.col("failures"), "co_failure_group_size": F.log1p("n") / F.log1p(F.lit(200.0)), "launch_fail_fraction": F.col("failures") / F.col("items"), "si_prior": F.col("si_prior")}
+    vector = F.concat(F.array(*[F.least(F.lit(1.0), c).cast("double") for c in launch.values()]), F.transform("emb", lambda x: x.cast("double")))
+    placed = Scratch(items.sparkSession, "replay").write(rows.select("project_id", "item_id", "issue_group", vector.alias("features")), "features")
+    labelled = placed.where(F.col("issue_group").isin("pb", "ab", "si", "nd"))
+    model = boosting.boost(labelled.select("features", F.col("issue_group").alias("label")), boosting.Settings(rounds=4, leaves=8, rate=0.3, bins=31))
+    return report(paired(model, placed.drop("issue_group"), list(launch)), ["project_id"])
