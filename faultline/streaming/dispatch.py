@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,7 +55,12 @@ def sending(handlers: dict[str, Handler], out: str, exchange: str | None = "resu
     number, in the place of what an attempt before left there, so a repeated batch sends nothing twice."""
 
     def send(batch: DataFrame, epoch: int) -> None:
-        dispatched(batch, handlers, exchange).write.mode("overwrite").partitionBy("sink").parquet(f"{out.rstrip('/')}/epoch={epoch}")
+        # every handler looks at the batch, which is to be read and parsed once; what a lost executor held is read again
+        held = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            dispatched(held, handlers, exchange).write.mode("overwrite").partitionBy("sink").parquet(f"{out.rstrip('/')}/epoch={epoch}")
+        finally:
+            held.unpersist()
 
     return send
 
