@@ -6,7 +6,7 @@ exactly; the lexical leg asks a positional index, and trigrams of exceptions whe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
@@ -41,23 +41,43 @@ def lexical_hits(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFram
     return lexical_index.search(lexical_index.build_index(rows), queries.select("query_id", "project_id", "terms"), k).drop("sparse_rank")
 
 
-def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, item_id, lex_score) by trigrams of exception texts. Distinct texts of a project meet over a shared trigram, so
-    an exception that very many items have is one row there."""
+def _near_texts(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(project_id, asked, exc_text, lex_score): like exception texts by trigrams. Distinct texts of a project meet over a shared
+    trigram, so an exception that very many items have is one row there."""
     texts = lambda df: df.where("exc_text <> ''").select("project_id", "exc_text").distinct().withColumn("t", trigrams(F.col("exc_text")))
     exploded = lambda df: df.select("project_id", "exc_text", F.size("t").alias("n"), F.explode("t").alias("t"))
     a = exploded(texts(queries)).select("project_id", F.col("exc_text").alias("asked"), F.col("n").alias("n_asked"), "t")
     both = a.join(exploded(texts(items)), ["project_id", "t"]).groupBy("project_id", "asked", "n_asked", "exc_text", "n").agg(F.count("*").alias("both"))
-    near = both.withColumn("lex_score", F.round(F.col("both") / (F.col("n_asked") + F.col("n") - F.col("both")), 6)).where(F.col("lex_score") >= LEAST_TRIGRAM).select("project_id", "asked", "exc_text", "lex_score")
-    asked = queries.select("query_id", "project_id", F.col("exc_text").alias("asked")).join(near, ["project_id", "asked"])
+    return both.withColumn("lex_score", F.round(F.col("both") / (F.col("n_asked") + F.col("n") - F.col("both")), 6)).where(F.col("lex_score") >= LEAST_TRIGRAM).select("project_id", "asked", "exc_text", "lex_score")
+
+
+def trigram_hits(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, item_id, lex_score) of all items with a like exception text."""
+    asked = queries.select("query_id", "project_id", F.col("exc_text").alias("asked")).join(_near_texts(queries, items), ["project_id", "asked"])
     return asked.join(items.select("project_id", "item_id", "exc_text"), ["project_id", "exc_text"]).where("query_id <> item_id").select("query_id", "item_id", "lex_score")
 
 
+def trigram_best(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
+    """Of ``trigram_hits`` at least the k best of each query, equal scores by descending item. A text's items have one score, so its
+    k + 1 greatest, of which the query may be one, are enough, and of those the k + 1 best of each text that is asked: a query
+    meets no more however many items share its exception."""
+    near = _near_texts(queries, items)
+    heads = _first(items.where("exc_text <> ''").select("project_id", "exc_text", "item_id"), ["project_id", "exc_text"], [F.desc("item_id")], k + 1)
+    best = _first(near.join(heads, ["project_id", "exc_text"]), ["project_id", "asked"], [F.desc("lex_score"), F.desc("item_id")], k + 1)
+    asked = queries.select("query_id", "project_id", F.col("exc_text").alias("asked")).join(best, ["project_id", "asked"])
+    return asked.where("query_id <> item_id").select("query_id", "item_id", "lex_score")
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The rows of each key that hold one of its k first values of ``order``; repeated rows are all there."""
+    return rows.withColumn("first", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("first") <= k).drop("first")
+
+
 def sparse_leg(queries: DataFrame, items: DataFrame, k: int = LEG) -> DataFrame:
     """(query_id, item_id, lex_score, sparse_rank): the lexical hits, or for queries without any those by trigrams."""
     hits = Scratch(queries.sparkSession, "lexical").write(lexical_hits(queries, items, k), "hits")
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    return top_k(hits.union(trigram_hits(rest, items)), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
+    return top_k(hits.union(trigram_best(rest, items, k)), ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
 
 
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:

@@ -1,5 +1,12 @@
 """What may grow in memory and what may not, with brute force beside it."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from faultline.operators import retrieval
+from faultline.operators.lexical_index import covers, holding_covers
+from faultline.operators.relational import top_k
 from faultline.plans import registry, relational
 from tests.test_queries import PATH
 
@@ -20,3 +27,23 @@ def test_overlapping_pairs_in_shares(spark):
     parts = spark.createDataFrame(rows, "project_id int, item_id long, t int, less array<int>")
     got = sorted((r.item_id, r.other_id) for r in relational._meeting(parts, len(sets), 7).collect())
     assert got == [(a, b) for a in range(0, 120, 50) for b in range(120) if a != b and a % 2 == b % 2 and set(sets[a]) & set(sets[b])]
+
+
+def test_trigram_leg_meets_few_items_of_a_text(spark, written):
+    items = written([(1 + i % 2, i, f"a.b.Fault{i % 3}Error" if i % 7 else "") for i in range(900)] + [(1, 4, "a.b.Fault1Error")], "project_id int, item_id long, exc_text string")
+    queries = items.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    order = ["query_id"], [F.desc("lex_score"), F.desc("item_id")], 5
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "item_id", "lex_score", "rank").collect())
+    best = retrieval.trigram_best(queries, items, 5)
+    assert rows(top_k(best, *order)) == rows(top_k(retrieval.trigram_hits(queries, items), *order))
+    assert best.count() <= queries.count() * 7  # not the 300 items of each like text
+
+
+def test_covers_of_lexemes_in_one_pass():
+    rng = random.Random(4)
+    for _ in range(500):
+        places = [(p, 0, rng.randrange(5)) for p in sorted(rng.choices(range(40), k=rng.randint(0, 30)))]
+        needed = [set(rng.sample(range(5), rng.randint(1, 3))) for _ in range(rng.randint(1, 2))]
+        places = [p for p in places if any(p[2] in n for n in needed)]
+        satisfied = lambda span: any({t for *_, t in span} >= n for n in needed)  # noqa: E731, B023
+        assert list(holding_covers(places, needed)) == list(covers(places, satisfied))
