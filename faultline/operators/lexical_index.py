@@ -11,7 +11,8 @@ the query's lexemes in the span, divided by one more than the positions in it th
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ LAST_POSITION, MOST_POSITIONS = 16383, 255
 #: Words, which may hold dots: names of classes, hosts, versions.
 LEXEME = "[\\p{L}\\p{N}_]+(?:\\.[\\p{L}\\p{N}_]+)*"
 #: Lexemes of a shard, about, and queries that one task answers over one shard.
-SHARD_LEXEMES, QUERY_BLOCK = 4_000_000, 512
+SHARD_LEXEMES, QUERY_BLOCK = 1_000_000, 16_384
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEED = 42
 INDEX = "shard long, term long, rows binary, counts binary, places binary"
@@ -67,6 +68,12 @@ def websearch(text: str) -> list[Conjunction]:
     return [c for c in found if c[0]]
 
 
+@lru_cache(QUERY_BLOCK)
+def _parsed(text: str) -> list[Conjunction]:
+    """``websearch``: a task asks the same queries of many shards."""
+    return websearch(text)
+
+
 def covers(places: list[tuple[int, int, int]], satisfied: Callable[[list[tuple[int, int, int]]], bool]) -> Iterator[tuple[int, int]]:
     """(first, last) indexes of the least spans of ``places``, in order, that are satisfied."""
     begin, end = 0, -1
@@ -79,10 +86,39 @@ def covers(places: list[tuple[int, int, int]], satisfied: Callable[[list[tuple[i
         begin += 1
 
 
-def density(places: list[tuple[int, int, int]], satisfied: Callable[[list[tuple[int, int, int]]], bool], weights: tuple[float, ...] = tuple(WEIGHTS.values())) -> float:
+def holding_covers(places: list[tuple[int, int, int]], needed: list[set[int]]) -> Iterator[tuple[int, int]]:
+    """``covers`` for spans that must hold all lexemes of one of ``needed``: one pass, with counts of the lexemes in the span."""
+    counts: dict[int, int] = {}
+    of = [[c for c, terms in enumerate(needed) if t in terms] for *_, t in places]
+    lacking, whole, begin = [len(terms) for terms in needed], 0, 0
+    for end, (*_, t) in enumerate(places):
+        counts[t] = counts.get(t, 0) + 1
+        if counts[t] > 1:
+            continue
+        for c in of[end]:
+            lacking[c] -= 1
+            whole += not lacking[c]
+        if not whole:
+            continue
+        while whole:
+            first = places[begin][2]
+            counts[first] -= 1
+            if not counts[first]:
+                for c in of[begin]:
+                    whole -= not lacking[c]
+                    lacking[c] += 1
+            begin += 1
+        yield begin - 1, end
+
+
+def density(places: list[tuple[int, int, int]], satisfied: Callable[[list[tuple[int, int, int]]], bool]) -> float:
     """The score of a row whose (position, field, lexeme) of the query's lexemes are ``places``, in order."""
+    return _summed(places, covers(places, satisfied))
+
+
+def _summed(places: list[tuple[int, int, int]], found: Iterable[tuple[int, int]], weights: tuple[float, ...] = tuple(WEIGHTS.values())) -> float:
     score = 0.0
-    for a, z in covers(places, satisfied):
+    for a, z in found:
         span = places[a : z + 1]
         noise = span[-1][0] - span[0][0] - (z - a)
         # many lexemes share the last position: half of the span counts as noise
@@ -91,6 +127,7 @@ def density(places: list[tuple[int, int, int]], satisfied: Callable[[list[tuple[
     return score
 
 
+@lru_cache(1 << 16)
 def _key(word: str) -> int:
     k = xxhash.xxh64_intdigest(word.encode(), SEED)
     return k - (1 << 64) if k >> 63 else k
@@ -176,9 +213,9 @@ class Shard:
 
     def holding(self, terms: list[int]) -> np.ndarray:
         """Rows with all of the terms, from the rarest on."""
-        at = sorted((len(self.rows[self.row_of[t]]), self.row_of[t]) for t in set(terms) if t in self.row_of)
-        if len(at) < len(set(terms)):
+        if not all(t in self.row_of for t in terms):
             return np.zeros(0, np.int32)
+        at = sorted((len(self.rows[self.row_of[t]]), self.row_of[t]) for t in set(terms))
         rows = self.rows[at[0][1]]
         for _, k in at[1:]:
             if len(rows):
@@ -206,7 +243,10 @@ class Shard:
                     some = some[~np.isin(some, self.rows[self.row_of[t]])]
             rows = np.union1d(rows, some)
         rows = rows[(self.projects[rows] == project) & (self.items[rows] != item)].astype(int)
+        if not len(rows):
+            return []
         terms = sorted({t for needed, *_ in keys for t in needed})
+        sets, in_order = [set(needed) for needed, *_ in keys], any(phrases for _, phrases, _ in keys)
 
         def satisfied(span: list[tuple[int, int, int]]) -> bool:
             there = {t for *_, t in span}
@@ -224,7 +264,7 @@ class Shard:
             if len(found) == k and len(places) * max(strongest[f] for _, f, _ in places) < found[-1][0]:
                 continue
             self.scored += 1
-            score = round(density(places, satisfied), 6)
+            score = round(density(places, satisfied) if in_order else _summed(places, holding_covers(places, sets)), 6)
             if score > 0:
                 found = sorted([*found, (score, int(self.items[row]))], key=lambda x: (-x[0], -x[1]))[:k]
         return found
@@ -237,7 +277,7 @@ def _answered(k: int):
             read = lambda name: np.frombuffer(asked.column(name)[0].as_buffer(), "<i8")
             shard = Shard(lists, read("items"), read("projects"))
             for q in asked.column("queries")[0].as_py():
-                out += [(q["query_id"], item, score) for score, item in shard.best(q["project_id"], q["query_id"], websearch(q["terms"]), k)]
+                out += [(q["query_id"], item, score) for score, item in shard.best(q["project_id"], q["query_id"], _parsed(q["terms"]), k)]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "item_id": pa.array([o[1] for o in out], pa.int64()), "lex_score": pa.array([o[2] for o in out], pa.float64())})
 
     return run
@@ -246,7 +286,7 @@ def _answered(k: int):
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, term) of rows (part, terms): the lexemes that a query's conjunctions name."""
     for batch in batches:
-        rows = [(part, _key(w)) for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for needed, _, barred in websearch(text or "") for w in (*needed, *barred)]
+        rows = [(part, _key(w)) for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for needed, _, barred in _parsed(text or "") for w in (*needed, *barred)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["part", "term"])
 
 
@@ -261,6 +301,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 50, query_block: int =
     batches = asked.groupBy("part").agg(F.collect_list(F.struct("query_id", "project_id", "terms")).alias("queries"))
     heads = index.where("term IS NULL").select(F.col("shard").alias("of"), F.col("rows").alias("items"), F.col("counts").alias("projects"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("part"))
     tasks = heads.join(batches, "part").select("of", F.col("part").alias("in_part"), "items", "projects", "queries")
+    # a task gets few shards, however many there are
+    pairs = n_blocks * index.where("term IS NULL").count()
+    if pairs > int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        lists, tasks = lists.repartition(pairs, "shard", "part"), tasks.repartition(pairs, "of", "in_part")
     found = lists.groupBy("shard", "part").cogroup(tasks.groupBy("of", "in_part")).applyInArrow(_answered(k), "query_id long, item_id long, lex_score double")
     return top_k(found, ["query_id"], [F.desc("lex_score"), F.desc("item_id")], k, "sparse_rank")
 

@@ -28,6 +28,10 @@ from .relational import top_k
 SAMPLE, MOST_LISTS, ROUNDS = 20_000, 1024, 8
 #: Vectors of a block, about, and queries that meet it in one row.
 BLOCK, ASKED = 4096, 2048
+#: Vectors that a task compares with all centroids at once, and rows (query, list) that it makes at once.
+SLICE, ROWS = 1024, 16_384
+#: Visits of blocks that a task gets, about.
+VISITS = 16_384
 #: Lists that a search asks first.
 PROBES = 8
 #: Below a bound by so much a cosine is surely less: products of floats are rounded.
@@ -48,7 +52,7 @@ def fitted(x: np.ndarray, lists: int) -> np.ndarray:
     x = x[np.lexsort(x.T[:2])]
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
     for _ in range(ROUNDS):
-        own = (x @ c.T).argmax(1)
+        own = np.concatenate([(x[i : i + SLICE] @ c.T).argmax(1) for i in range(0, len(x), SLICE)])
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -70,8 +74,9 @@ def _posted(centroids: np.ndarray):
     """(project_id, item_id, emb, list, angle) of (project_id, item_id, emb)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                b = batch.slice(i, SLICE)
                 near = unit(matrix(b.column(2))) @ centroids.T
                 own = near.argmax(1)
                 angle = np.arccos(np.clip(near[np.arange(len(own)), own], -1, 1))
@@ -91,10 +96,10 @@ def _ordered(centroids: np.ndarray, probes: int):
     """(query_id, project_id, emb, list, angle, place) of (query_id, project_id, emb) for all lists, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query_id", "project_id", "emb", "list", "angle", "place"]
+        names, most = ["query_id", "project_id", "emb", "list", "angle", "place"], max(1, ROWS // min(probes, len(centroids)))
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, most):
+                part = b.slice(i, most)
                 angle = np.arccos(np.clip(unit(matrix(part.column(2))) @ centroids.T, -1, 1))
                 order = np.argsort(angle, axis=1, kind="stable")[:, :probes]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
@@ -105,7 +110,8 @@ def _ordered(centroids: np.ndarray, probes: int):
 
 
 def _scored(k: int):
-    """Of rows (ids, vectors, asked as query_id, emb): (query_id, item_id, cosine) of each query's k best of the block."""
+    """Of rows (ids, vectors, asked as query_id, emb, bar): (query_id, item_id, cosine) of each query's k best of the block, without
+    those that are surely under its bar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,14 +119,14 @@ def _scored(k: int):
                 ids = np.frombuffer(batch.column(0)[r].as_buffer(), "<i8")
                 x = np.frombuffer(batch.column(1)[r].as_buffer(), "<f8").reshape(len(ids), -1)
                 asked = batch.column(2)[r].values
-                queries, q = asked.field("query_id").to_numpy(), matrix(asked.field("emb"))
+                queries, q, bar = asked.field("query_id").to_numpy(), matrix(asked.field("emb")), asked.field("bar").to_numpy() - SLACK
                 size, q_size = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for i in range(0, len(q), 256):
                     cosine = (q[i : i + 256] @ x.T) / (q_size[i : i + 256, None] * size)
                     shown = np.round(cosine, 6)
                     for row, query in enumerate(queries[i : i + 256].tolist()):
-                        good = np.flatnonzero(ids != query)
+                        good = np.flatnonzero((ids != query) & (cosine[row] >= bar[i + row]))
                         s = shown[row, good]
                         if len(good) > k:
                             some = s >= np.partition(s, len(s) - k)[len(s) - k]
@@ -159,7 +165,7 @@ def build_index(items: DataFrame, sample: int = SAMPLE, lists: int | None = None
     n = rows.count()
     lists = lists or max(1, min(MOST_LISTS, math.isqrt(n)))
     few = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)).cast("long")) < sample).select("emb")
-    found = few.coalesce(1).mapInArrow(_fit(lists), "list int, centroid array<double>").collect()
+    found = few.repartition(1).mapInArrow(_fit(lists), "list int, centroid array<double>").collect()
     centroids = np.array([r["centroid"] for r in sorted(found)]) if found else None
     schema = rows.schema["emb"].dataType.simpleString()
     if centroids is None:
@@ -173,11 +179,13 @@ def build_index(items: DataFrame, sample: int = SAMPLE, lists: int | None = None
     return VectorIndex(blocks, posted.select("item_id", "list"), centroids, space)
 
 
-def _visited(index: VectorIndex, visits: DataFrame, n: int, k: int) -> DataFrame:
-    """(query_id, item_id, cosine): the best of each visited block, of (query_id, emb, project_id, list, block) of n queries."""
+def _visited(index: VectorIndex, visits: DataFrame, n: int, lists: int, k: int) -> DataFrame:
+    """(query_id, item_id, cosine): the best of each visited block, of (query_id, emb, bar, project_id, list, block) of n queries that
+    visit so many lists each. Visits are more than queries by the number of lists, so tasks grow with them."""
     keys = ["project_id", "list", "block"]
-    asked = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // ASKED))).cast("long")))
-    asked = asked.groupBy(*keys, "part").agg(F.collect_list(F.struct("query_id", "emb")).alias("asked"))
+    tasks = max(int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * lists // VISITS)
+    asked = visits.repartition(tasks, *keys).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // ASKED))).cast("long")))
+    asked = asked.groupBy(*keys, "part").agg(F.collect_list(F.struct("query_id", "emb", "bar")).alias("asked"))
     met = index.blocks.select(*keys, "ids", "vectors").join(asked, keys).select("ids", "vectors", "asked")
     return met.mapInArrow(_scored(k), "query_id long, item_id long, cosine double")
 
@@ -195,15 +203,15 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 50, probes: int = PR
     asked = with_direction(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("project_id").cast("long").alias("project_id"), "emb"))
     near = lambda rows, most: rows.mapInArrow(_ordered(index.centroids, most), f"query_id long, project_id long, emb {emb}, list int, angle double, place int")
     heads = index.blocks.select("project_id", "list", "block", "least", "most")
-    visits = near(asked, probes).join(heads, ["project_id", "list"]).select("query_id", "emb", "project_id", "list", "block")
-    found = space.write(_visited(index, visits, n, k), "found")
+    visits = near(asked, probes).join(heads, ["project_id", "list"]).select("query_id", "emb", F.lit(-2.0).alias("bar"), "project_id", "list", "block")
+    found = space.write(_visited(index, visits, n, probes, k), "found")
     if exact:
         # the k-th best so far; none where there are fewer
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("cosine"), asc=False), k)).alias("bar"))
         angles = near(asked, len(index.centroids)).where(F.col("place") >= probes)
         apart = F.greatest(F.lit(0.0), F.col("angle") - F.col("most"), F.col("least") - F.col("angle"))
         more = angles.join(heads, ["project_id", "list"]).join(least, "query_id", "left").where(F.col("bar").isNull() | (F.cos(apart) + SLACK >= F.col("bar")))
-        found = found.union(_visited(index, more.select("query_id", "emb", "project_id", "list", "block"), n, k))
+        found = found.union(_visited(index, more.select("query_id", "emb", F.coalesce("bar", F.lit(-2.0)).alias("bar"), "project_id", "list", "block"), n, len(index.centroids), k))
     return top_k(found.withColumn("cosine", F.round("cosine", 6)), ["query_id"], order, k, "dense_rank")
 
 

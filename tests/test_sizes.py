@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
-from faultline.operators import retrieval
+from faultline.operators import retrieval, vector_index
 from faultline.operators.lexical_index import covers, holding_covers
 from faultline.operators.relational import top_k
 from faultline.plans import registry, relational
@@ -47,3 +50,22 @@ def test_covers_of_lexemes_in_one_pass():
         places = [p for p in places if any(p[2] in n for n in needed)]
         satisfied = lambda span: any({t for *_, t in span} >= n for n in needed)  # noqa: E731, B023
         assert list(holding_covers(places, needed)) == list(covers(places, satisfied))
+
+
+def test_visits_give_no_row_under_the_bar():
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(200, 8)), rng.normal(size=(3, 8))
+    cosine = vector_index.unit(q) @ vector_index.unit(x).T
+    bars = [-2.0, float(np.sort(cosine[1])[-4]), 2.0]
+    asked = [[{"query_id": i, "emb": list(q[i]), "bar": bars[i]} for i in range(3)]]
+    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("emb", pa.list_(pa.float64())), ("bar", pa.float64())]))
+    row = pa.RecordBatch.from_arrays([pa.array([np.arange(200, 400, dtype="<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array(asked, kind)], ["ids", "vectors", "asked"])
+    got = [b.to_pydict()["query_id"] for b in vector_index._scored(50)([row])][0]
+    assert [got.count(i) for i in range(3)] == [50, 4, 0]
+
+
+def test_few_rows_are_made_at_once():
+    lists = vector_index._ordered(vector_index.unit(np.random.default_rng(1).normal(size=(1024, 4))), 1024)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([1] * 100), pa.array([[1.0, 0.0, 2.0, 1.0]] * 100)], ["query_id", "project_id", "emb"])
+    sizes = [b.num_rows for b in lists([rows])]
+    assert sum(sizes) == 100 * 1024 and max(sizes) <= vector_index.ROWS
