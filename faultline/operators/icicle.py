@@ -39,7 +39,9 @@ def icicle(templates: DataFrame, scratch: Scratch, tree: str) -> DataFrame:
     """
     words = F.slice(F.split(F.coalesce("pattern", F.lit("")), "\\s+"), 1, MAX_TOKENS)
     n = F.when(F.coalesce("n", F.lit(0)) == 0, 1).otherwise(F.col("n")).cast("long")
-    rows = templates.select(F.col(tree).alias("tree"), F.struct((-n).alias("n"), F.coalesce("pattern", F.lit("")).alias("pattern")).alias("first"), n.alias("n"), words.alias("words"))
+    # siblings differ in their words, so a pattern's first words and the sign behind them order them as whole patterns do
+    head = F.regexp_extract(F.coalesce("pattern", F.lit("")), f"^\\S*(?:\\s+\\S*){{0,{MAX_TOKENS - 1}}}\\s?", 0)
+    rows = templates.select(F.col(tree).alias("tree"), F.struct((-n).alias("n"), head.alias("pattern")).alias("first"), n.alias("n"), words.alias("words"))
     begun = rows.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("words"))))
     cells = begun.groupBy("tree", F.slice("words", F.lit(1), F.col("depth")).alias("path")).agg(F.sum("n").alias("n"), F.max(F.size("words") > F.col("depth")).alias("inner"), F.min("first").alias("first"))
     cells = scratch.write(cells.select("tree", "path", "first", F.when(F.col("inner"), 1).otherwise(F.col("n")).cast("long").alias("own")), "cells")

@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline.operators import retrieval, vector_index
+from faultline.operators.icicle import icicle
 from faultline.operators.lexical_index import covers, holding_covers
 from faultline.operators.relational import top_k
 from faultline.plans import registry, relational
+from faultline.sources.shared import Scratch
 from tests.test_queries import PATH
 
 
@@ -69,3 +71,35 @@ def test_few_rows_are_made_at_once():
     rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([1] * 100), pa.array([[1.0, 0.0, 2.0, 1.0]] * 100)], ["query_id", "project_id", "emb"])
     sizes = [b.num_rows for b in lists([rows])]
     assert sum(sizes) == 100 * 1024 and max(sizes) <= vector_index.ROWS
+
+
+def test_icicle_holds_first_words_only(spark, written):
+    tails = ["", " ", "\tx", "\x01", "c", "  y", "\n", " z" * 4000]
+    rows = [(t, 1) for a in ("a b c d", "a b", " a", "a  b c d", "a\tb c e", "") for t in (a + x for x in tails)]
+    held = []
+
+    class Space(Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            held.append((name, out))
+            return out
+
+    got = icicle(written(rows, "pattern string, n long").withColumn("t", F.lit(1)), Space(spark, "icicle"), "t").collect()
+    cells = next(df for name, df in held if name == "cells")
+    assert cells.agg(F.max(F.length("first.pattern"))).first()[0] < 20
+    whole: dict = {}
+    for text, n in rows:  # the least pattern of each cell
+        words = spark_words(text)
+        for d in range(1, len(words) + 1):
+            whole[words[:d]] = min(whole.get(words[:d], text), text)
+    for a in got:
+        for b in got:
+            pa_, pb = tuple(a.path.split(" ")), tuple(b.path.split(" "))
+            if len(pa_) == a.depth and len(pb) == b.depth and a.depth == b.depth and pa_[:-1] == pb[:-1] and pa_ != pb and a.value == b.value:
+                assert (a.x0 < b.x0) == (whole[pa_] < whole[pb])
+
+
+def spark_words(text):
+    import re
+
+    return tuple(re.split("[ \\t\\n\\x0b\\f\\r]+", text)[:4])
