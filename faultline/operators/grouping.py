@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import OrderedDict
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -65,7 +67,8 @@ class TemplateTree:
         if best is None or score < SIMILARITY and self.templates[best] != tokens:
             best, self.next = self.next, self.next + 1
             self.templates[best] = tokens
-            self.leaves.setdefault(leaf, []).append(best)
+            # of templates that are gone a leaf keeps no trace
+            self.leaves[leaf] = [*(c for c in self.leaves.get(leaf, ()) if c in self.templates), best]
             if len(self.templates) > MAX_CLUSTERS:
                 self.templates.popitem(last=False)
         else:
@@ -99,29 +102,35 @@ def mine_templates(lines: DataFrame, group: str, order: list[str], line: str, sh
     which there are at most ``MAX_CLUSTERS`` a shard, are mined again as lines, most frequent first.
     """
 
-    def mined(frame: pd.DataFrame, texts, weights) -> pd.DataFrame:
+    def mined(key, texts: Iterator[tuple[str, int]]) -> pd.DataFrame:
         tree, counts = TemplateTree(), {}
-        for text, weight in zip(texts, weights, strict=True):
+        for text, weight in texts:
             if isinstance(text, str) and text.strip():
                 c, _ = tree.add(text)
                 counts[c] = counts.get(c, 0) + weight
+                if len(counts) > 2 * MAX_CLUSTERS:
+                    counts = {c: counts[c] for c in tree.templates}
         patterns = {c: " ".join(t) for c, t in tree.templates.items()}
-        rows = [(frame[group].iloc[0], p, hashlib.md5(p.encode()).hexdigest(), counts[c]) for c, p in patterns.items()]
+        rows = [(key, p, hashlib.md5(p.encode()).hexdigest(), counts[c]) for c, p in patterns.items()]
         out = pd.DataFrame(rows, columns=[group, "template", "template_hash", "n"])
         return out.groupby([group, "template", "template_hash"], as_index=False)["n"].sum() if len(out) else out
 
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        return mined(frame, frame[line], [1] * len(frame))
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a task's shards one after the other, each in order: a batch of lines and one tree are held
+        lines_ = ((g, text) for frame in frames for g, text in zip(zip(frame["__shard"], frame[group], strict=True), frame[line], strict=True))
+        for (_, key), some in groupby(lines_, lambda x: x[0]):
+            yield mined(key, ((text, 1) for _, text in some))
 
     def second(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "template"], ascending=[False, True])
-        return mined(frame, frame["template"], frame["n"].astype(int))
+        return mined(frame[group].iloc[0], zip(frame["template"], frame["n"].astype(int), strict=True))
 
     names = [o for o in order if o not in (group, line)]
     schema = f"{group} {lines.schema[group].dataType.simpleString()}, template string, template_hash string, n long"
     dealt = lines.select(group, *names, line).withColumn("__shard", F.pmod(F.xxhash64(names[0]) if names else F.xxhash64(line), F.lit(shards)))
-    parts = dealt.groupBy(group, "__shard").applyInPandas(first, schema)
+    sorted_ = dealt.repartition(group, "__shard").sortWithinPartitions(group, "__shard", *[F.asc_nulls_last(o) for o in order]).select(F.col(group).cast("string").alias(group), "__shard", line)
+    # as text, as pandas makes floats of whole numbers among which are nulls
+    parts = sorted_.mapInPandas(first, f"{group} string, template string, template_hash string, n long").withColumn(group, F.col(group).cast(lines.schema[group].dataType))
     return parts.groupBy(group, "template", "template_hash").agg(F.sum("n").alias("n")).groupBy(group).applyInPandas(second, schema)
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline.operators import retrieval, vector_index
+from faultline.operators.grouping import TemplateTree, mine_templates
 from faultline.operators.icicle import icicle
 from faultline.operators.lexical_index import covers, holding_covers
 from faultline.operators.relational import top_k
@@ -103,3 +104,45 @@ def spark_words(text):
     import re
 
     return tuple(re.split("[ \\t\\n\\x0b\\f\\r]+", text)[:4])
+
+
+def test_mining_takes_lines_in_batches(spark, written):
+    """A shard's lines are streamed in order, so the outcome doesn't depend on how many are sent at once."""
+    rows = [(1 + i % 2, i // 3, f"w{i * 7 % 5} opens door {i % 11} of v{i % 13}x house{i % 4}") for i in range(400)]
+    lines = written(rows, "p long, pos long, line string", 3)
+    want: dict = {}
+    for p in (1, 2):
+        shard: dict = {}
+        of = {r.pos: r.s for r in lines.select("pos", F.pmod(F.xxhash64("pos"), F.lit(4)).alias("s")).collect()}
+        for _, pos, line in sorted(r for r in rows if r[0] == p):
+            tree, counts = shard.setdefault(of[pos], (TemplateTree(), {}))
+            c, _ = tree.add(line)
+            counts[c] = counts.get(c, 0) + 1
+        found: dict = {}
+        for tree, counts in shard.values():
+            for c, t in tree.templates.items():
+                found[" ".join(t)] = found.get(" ".join(t), 0) + counts[c]
+        whole, counts = TemplateTree(), {}
+        for t, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+            c, _ = whole.add(t)
+            counts[c] = counts.get(c, 0) + n
+        for c, t in whole.templates.items():
+            want[p, " ".join(t)] = want.get((p, " ".join(t)), 0) + counts[c]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        mined = mine_templates(lines, "p", ["pos", "line"], "line", 4)
+        assert "MapInPandas" in logical(mined)
+        assert {(r.p, r.template): r.n for r in mined.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_leaf_forgets_templates_that_are_gone(monkeypatch):
+    from faultline.operators import grouping
+
+    monkeypatch.setattr(grouping, "MAX_CLUSTERS", 3)
+    tree = TemplateTree()
+    for i in range(50):
+        tree.add(f"start {chr(97 + i % 26)}{chr(97 + i // 26)} {chr(98 + i % 24)}x {chr(99 + i % 23)}y {chr(100 + i % 22)}z")
+    assert sum(map(len, tree.leaves.values())) <= 4
