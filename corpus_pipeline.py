@@ -62,11 +62,16 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     while row in map(str.lower, docs.columns):
         row += "_"
     # written, so that all later reads see the same numbers
-    numbered = Workspace(spark, "pipeline-rows").write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = ngram_join(numbered, Fraction(4, 5), 5, key=row).select(row, "component_id")
-    ids = numbered.select(row, F.col("doc_id").alias("id"))
-    # structs compare a null as the least
-    kept = ids.join(groups, row).groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    space = Workspace(spark, "pipeline-rows")
+    numbered = space.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    with workspaces() as made:
+        groups = ngram_join(numbered, Fraction(4, 5), 5, key=row).select(row, "component_id")
+        ids = numbered.select(row, F.col("doc_id").alias("id"))
+        # structs compare a null as the least
+        kept = ids.join(groups, row).groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+        kept = space.write(kept, "kept")
+    for w in made:  # the rows to keep are written; the join's tables needn't stand beside the result
+        w.remove()
     return _as_documents(numbered.join(kept, row, "left_semi"), docs)
 
 

@@ -4,7 +4,9 @@ A document's shingles are dealt by hash over the segments of its size band's ske
 word of its segment. Two sets that differ in d shingles differ in at most d words, and in at most d bits of a one-bit-a-shingle
 sketch, so a similarity bound gives a bound D on both for each size band. Pigeonhole: of m words at least m - D agree, so any
 D + 1 words taken in an order that both documents share hold an equal one. The order takes the words of most shingles first,
-which are the rarest. Candidates that share a word are checked by the Hamming distance of bit sketches, then on the sets.
+which are the rarest. Candidates that share a word are checked by the Hamming distance of bit sketches, then on the sets. A
+sketch grows with its set, as one of far fewer bits than shingles tells nothing: else any two long documents with a passage in
+common would be checked on their sets, and those pairs grow with the square of the documents.
 
 Sets that are equal are one class, represented by its least id. In a bucket of documents with an equal word, each is first
 compared with one member only; components of these links then leave few pairs, those of different components, to compare.
@@ -26,8 +28,8 @@ from .shingles import mix, shingle_sets
 from .storage import Workspace
 
 _U = np.uint64
-#: Bits of the sketch whose Hamming distance is compared.
-SKETCH_BITS = 512
+#: Bits of the sketch whose Hamming distance is compared in buckets, where a document stands once a key: the least and the most.
+SKETCH_BITS, MOST_BITS = 512, 4096
 #: Larger buckets are compared in blocks of about so many members.
 BLOCK = 2048
 
@@ -71,22 +73,44 @@ def signature(s: np.ndarray, band: int, d: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8))
+    """A parity sketch of a power of two of bits, one a shingle or more."""
+    n = max(SKETCH_BITS, 1 << max(len(s) - 1, 0).bit_length())
+    bits = np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8)).view(_U)
+
+
+def folded(sketches: np.ndarray, k: int) -> np.ndarray:
+    """Sketches (in the last axis) as those of k words that the same sets have."""
+    return np.bitwise_xor.reduce(sketches.reshape(*sketches.shape[:-1], -1, k), axis=-2)
+
+
+def _aligned(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of as many words as the shortest has."""
+    words = np.array([len(x) // 8 for x in sketches])
+    k = int(words.min())
+    rows = np.empty((len(sketches), k), _U)
+    for n in np.unique(words):
+        at = np.flatnonzero(words == n)
+        rows[at] = folded(np.frombuffer(b"".join([sketches[i] for i in at]), _U).reshape(len(at), n), k)
+    return rows
 
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n, h1, h2, sk = [], [], [], []
+                n, h1, h2, sk, wide = [], [], [], [], []
                 for s in shingle_sets(batch.column(1), width):
                     n.append(len(s))
                     m = mix(s)
                     h1.append(int((m.sum() + _U(len(s))).astype(np.int64)) if len(s) else 0)
                     h2.append(int(np.bitwise_xor.reduce(mix(m + _U(77))).astype(np.int64)) if len(s) else 0)
-                    sk.append(sketch(s).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary())], ["id", "n", "h1", "h2", "sketch"])
+                    whole = sketch(s)
+                    k = min(max(len(whole) // 2, SKETCH_BITS // 64), MOST_BITS // 64)
+                    sk.append(folded(whole, k).tobytes())
+                    wide.append(whole.tobytes() if k < len(whole) else None)
+                columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in (n, h1, h2)], *[pa.array(c, pa.binary()) for c in (sk, wide)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "sketch", "wide"])
 
     return run
 
@@ -155,6 +179,24 @@ def _sets(width: int):
     return run
 
 
+def _near(p: int, q: int):
+    """Of rows (a, b, na, nb, wa, wb): the pairs (a, b) whose sizes and whole sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3)), batch.column(4), batch.column(5), strict=True):
+                near = p * max(n, m) <= q * min(n, m)
+                if near:
+                    x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                    k = min(len(x), len(y))
+                    near = int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum()) * (q + p) <= (q - p) * (n + m)
+                good.append(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _verified(p: int, q: int):
     """Of rows (a, b, sa, sb): the pairs (a, b) with q * intersection >= p * union."""
 
@@ -181,7 +223,7 @@ def _crossing(p: int, q: int, forest: bool):
         t = pa.Table.from_batches(rows)
         i, j, block, a, comp, n = (t.column(c).to_numpy() for c in ("i", "j", "block", "a", "component", "n"))
         comp = comp.copy()
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), _U).reshape(len(a), -1)
+        bits = _aligned(t.column("sketch").to_pylist())
         left = np.flatnonzero(block == i[0])
         right = np.flatnonzero(block == j[0])
         found = []
@@ -237,8 +279,8 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     space = Workspace(docs.sparkSession, "ngram-join")
     p, q = similarity.numerator, similarity.denominator
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    prints = space.write(rows.mapInArrow(_fingerprints(width), "id long, n long, h1 long, h2 long, sketch binary"), "prints")
-    classes = space.write(prints.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
+    prints = space.write(rows.mapInArrow(_fingerprints(width), "id long, n long, h1 long, h2 long, sketch binary, wide binary"), "prints")
+    classes = space.write(prints.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")), "classes")
     signatures = rows.mapInArrow(_signatures(width, similarity), "key long, h1 long")
     shared = space.write(signatures.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared, "key long, first long, h1 long"), "shared")
     # one class a hash in practice; should two classes have the same, both become candidates
@@ -247,18 +289,24 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     stars = stars.join(by_hash.withColumnRenamed("rep", "b"), "h1").join(by_hash.select(F.col("h1").alias("first"), F.col("rep").alias("a")), "first")
     twins = classes.groupBy("h1").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     stars = space.write(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(twins).distinct(), "stars")
-    involved = space.write(shared.select("h1").union(shared.select("first")).distinct().join(by_hash, "h1").select(F.col("rep").alias("id")).union(twins.select("a")).union(twins.select("b")).distinct(), "involved")
-    sets = _sets_of(rows, involved, width)
     repeated_ids = bool(prints.groupBy("id").count().where("count > 1").limit(1).count())
-    if repeated_ids:  # repeated rows give one set
-        sets = sets.groupBy("id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"))
-    sets = space.write(sets, "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_verified(p, q), "a long, b long")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, written. Sets are made and moved for those pairs only whose sketches allow a link."""
+        wide = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "sketch").alias(f"w{c}"))
+        near = pairs.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        near = space.write(near.mapInArrow(_near(p, q), "a long, b long").distinct(), "near")
+        involved = space.write(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "involved")
+        sets = _sets_of(rows, involved, width)
+        if repeated_ids:  # repeated rows give one set
+            sets = sets.groupBy("id", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"))
+        sets = space.write(sets, "sets")
+        both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        found = space.write(both.select("a", "b", "sa", "sb").mapInArrow(_verified(p, q), "a long, b long"), name)
+        space.remove("near", "involved", "sets")
+        return found
 
-    links = space.write(verified(stars), "links")
+    links = verified(stars, "links")
     if repeated_ids:  # the texts of one id are one document, so their classes are linked
         of_id = prints.where("n > 0").select("id", "n", "h1", "h2").distinct().join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep")
         least = of_id.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
@@ -268,16 +316,18 @@ def ngram_join(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: in
     # joined, then all that are left
     tried = stars
     for forest in (True, False):
-        members = shared.join(classes.select("h1", "n", "sketch", F.col("rep").alias("a")), "h1").join(linked.withColumnRenamed("id", "a"), "a", "left")
-        members = space.write(members.select("key", "a", "n", "sketch", F.coalesce("component", "a").alias("component")), "members")
+        members = shared.select("key", "h1").join(classes.select("h1", F.col("rep").alias("a")), "h1").join(linked.withColumnRenamed("id", "a"), "a", "left")
+        members = space.write(members.select("key", "h1", "a", F.coalesce("component", "a").alias("component")), "members")
         mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
         mixed = space.write(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-        dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        # sketches are fetched last, so that one shuffle moves them
+        dealt = members.join(mixed, "key").join(classes.select("h1", F.col("rep").alias("a"), "n", "sketch"), ["h1", "a"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "n", "sketch")
         crossing = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(p, q, forest), "a long, b long").distinct()
         crossing = space.write(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
         tried = tried.union(crossing)
-        links = links.union(space.write(verified(crossing), "more"))
+        space.remove("members", "mixed")
+        links = links.union(verified(crossing, "more"))
         linked = components(links, space)
     groups = space.write(classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "groups")
     found = prints.join(groups, ["n", "h1", "h2"], "left")

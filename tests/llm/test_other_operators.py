@@ -215,3 +215,20 @@ def test_pipeline_leaves_no_tables_of_its_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/sf").count() >= 30
     left = {f"{w.rsplit('-', 1)[0]}/{t.rsplit('-', 1)[0]}" for w in set(os.listdir(home)) - before for t in os.listdir(f"{home}/{w}")}
     assert {t for t in left if not t.startswith("packing")} <= {"pipeline/mixing"}, left
+
+
+def test_pipeline_stage_of_near_copies_leaves_its_rows_only(spark, written):
+    """Stages that a caller runs one by one keep nothing of the join beside its result."""
+    import os
+
+    import corpus_pipeline
+    from tests.llm.corpus import prose
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 60), "en", "s", 1) for i in range(5)]
+    home = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(home))
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    assert stage(spark, written(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long"), "").count() == 5
+    left = {f"{w.rsplit('-', 1)[0]}/{t.rsplit('-', 1)[0]}" for w in set(os.listdir(home)) - before for t in os.listdir(f"{home}/{w}")}
+    assert left == {"pipeline-rows/numbered", "pipeline-rows/kept"}, left

@@ -406,6 +406,47 @@ def test_a_passage_in_very_many_texts(spark, written):
     assert got == want
 
 
+def test_sketches_fold_and_bound_the_difference():
+    from faultline.llm.ngram_join import folded, sketch
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 512, 513, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.concatenate((x[: n // 2], np.unique(rng.integers(0, 2**63, n // 3, dtype=np.uint64))))
+        apart = len(x) - n // 2 + len(y) - n // 2
+        a, b = sketch(x), sketch(y)
+        assert 64 * len(a) >= n and len(a) >= 8
+        k = min(len(a), len(b))
+        for words in (k, 8):
+            assert np.bitwise_count(folded(a, words) ^ folded(b, words)).sum() <= apart
+        # of two parts, the sketch is the two sketches' XOR
+        if n == 5000:
+            assert (folded(sketch(x[:2000]), 8) ^ folded(sketch(x[2000:]), 8) == folded(a, 8)).all()
+
+
+def test_long_documents_with_a_passage_are_no_candidates(written, monkeypatch):
+    """Sets are made only for documents whose sketches allow a link, however many share a passage."""
+    from faultline.llm.ngram_join import ngram_join
+    from faultline.llm.storage import Workspace
+
+    rng = random.Random(31)
+    passage = prose(rng, 400)
+    rows = [(i, f"{prose(rng, 1500)} {passage} {prose(rng, 1500)}") for i in range(12)]
+    rows.append((20, rows[3][1].replace(" a", " changed", 5)))
+    made, write = {}, Workspace.write
+
+    def counted(self, df, name, free=True):
+        out = write(self, df, name, free)
+        if name in ("sets", "crossing"):
+            made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join(written(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 3 if i == 20 else i for i, _ in rows}
+    assert sum(made["sets"]) <= 2 and sum(made["crossing"]) <= 1, made
+
+
 def test_texts_of_one_id_are_one_document(written):
     from faultline.llm.ngram_join import ngram_join
 
